@@ -1,7 +1,12 @@
 """Queries and oracle SQL of this package, by name."""
 
-from chronofold.llm import packing
+from chronofold.llm import langid, neardup, packing, scoring
 
-QUERIES = {"op1_bestfit_packing": packing.op1_bestfit_packing}
+QUERIES = {
+    "op1_bestfit_packing": packing.op1_bestfit_packing,
+    "op2_superminhash_neardup": neardup.op2_superminhash_neardup,
+    "op7_ppm_scores": scoring.op7_ppm_scores,
+    "op10_marginal_langid": langid.op10_marginal_langid,
+}
 
 ORACLE_SQL: dict[str, str] = {}
