@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.shipping import ship
+
 #: Rows in an Arrow batch handed to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 256
 #: A key column or a small table of at most so many rows may be broadcast.
@@ -25,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches short: memory of a Python worker follows the batch."""
+    """Before Python runs on executors: they get this package, and short Arrow batches, as a worker's memory follows the batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -6,6 +6,10 @@ every position has a full context. Only counts of (order+1)-grams are kept: the
 counts of shorter contexts are their sums, so the symbols seen after a context
 are always among those seen after its suffixes, and the exclusion set at an
 order is the set of symbols seen one order above.
+
+Escape estimation: every symbol seen after a context gives up DISCOUNT of its
+count. After T symbols of D kinds, a symbol seen c times has (c - DISCOUNT) / T
+and the escape DISCOUNT * D / T, both after exclusion.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import numpy as np
 
 #: Symbols of the alphabet: all bytes (the newline is the end symbol).
 ALPHABET = 256
+DISCOUNT = 0.3
 
 
 def gram_codes(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +111,8 @@ class Trie:
             g = _find(level["grams"], gram)
             coded = g >= 0
             with np.errstate(divide="ignore", invalid="ignore"):
-                whole = (total + kinds).astype(float)
-                hit = np.log10(level["n"][np.maximum(g, 0)] / whole)
-                miss = np.where(kinds > 0, np.log10(kinds / whole), 0.0)
+                hit = np.log10((level["n"][np.maximum(g, 0)] - DISCOUNT) / total)
+                miss = np.where(kinds > 0, np.log10(DISCOUNT * kinds / total), 0.0)
             out[left] += np.where(coded, hit, miss)
             if k:
                 n_up[left] = np.where(there, level["below"][i], 0)

@@ -1,12 +1,20 @@
 """Queries and oracle SQL of this package, by name."""
 
-from chronofold.llm import langid, neardup, packing, scoring
+from chronofold.llm import chat, decontaminate, langid, linedup, nearest, neardup, packing, quality, scoring, warc
 
 QUERIES = {
     "op1_bestfit_packing": packing.op1_bestfit_packing,
     "op2_superminhash_neardup": neardup.op2_superminhash_neardup,
+    "op3_rule_quality": quality.op3_rule_quality,
+    "op4_suffix_line_dedup": linedup.op4_suffix_line_dedup,
+    "op5_simhash_decontamination": decontaminate.op5_simhash_decontamination,
+    "op6_reply_tree_chat": chat.op6_reply_tree_chat,
     "op7_ppm_scores": scoring.op7_ppm_scores,
+    "op8_int8_block_nearest": nearest.op8_int8_block_nearest,
+    "op9_warc_roundtrip": warc.op9_warc_roundtrip,
     "op10_marginal_langid": langid.op10_marginal_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_line_dedup": linedup.OP4_SQL,
+}
