@@ -1,5 +1,7 @@
 """All queries of the library outside the training-data package, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from chronofold.plans import queries
+
+QUERIES: dict = queries.QUERIES
+ORACLE_SQL: dict[str, str] = queries.SQL
 FLAGSHIP = "a6_final_state"
