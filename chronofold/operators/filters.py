@@ -72,6 +72,17 @@ def ignored(rules: list[EventRule], db: Column, tbl: Column, event: Column, sql:
     return F.coalesce(any_of([r.ignores(db, tbl, event, sql) for r in rules]), F.lit(False))
 
 
+def assembled(templates: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], tables: list[tuple[str, str, list[str]]]) -> list[EventRule]:
+    """Rules from named templates (events, statement patterns) and the tables that use them; an unknown name is refused."""
+    out = []
+    for schema, table, used in tables:
+        for name in used:
+            if name not in templates:
+                raise ValueError(f"no filter template named {name!r}")
+            out.append(EventRule(schema, table, *templates[name]))
+    return out
+
+
 def combined(rules: DataFrame) -> DataFrame:
     """Rules (rule_id, schema, table, events, sql_patterns) with those of one schema and table made one, in order."""
     parts = F.array_sort(F.collect_list(F.struct("rule_id", "events", "sql_patterns")))

@@ -58,6 +58,14 @@ def not_repeated(log: DataFrame, order: Column, ties: list[str]) -> DataFrame:
     return ordering.running(log, order, ties, F.col("commit_ts"), "__seen").filter(F.col("__seen").isNull() | (F.col("commit_ts") > F.col("__seen"))).drop("__seen")
 
 
+def idle_heartbeats(log: DataFrame, idle_ms: int = 3000) -> DataFrame:
+    """A heartbeat (start_ts = commit_ts) of each source that is behind the log by more than ``idle_ms``, at the log's end."""
+    last = log.groupBy("source_id").agg(F.max("commit_ts").alias("ts"))
+    top = last.agg(F.max("ts").alias("top"))
+    idle = last.join(F.broadcast(top), tso.physical(F.col("top")) - tso.physical(F.col("ts")) > idle_ms)  # one row
+    return idle.select("source_id", F.col("top").alias("start_ts"), F.col("top").alias("commit_ts"))
+
+
 def thinned_heartbeats(beats: DataFrame, gap_ms: int = 3000) -> DataFrame:
     """Of each source's heartbeats, each that comes more than ``gap_ms`` after the last one kept.
 

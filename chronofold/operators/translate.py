@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions import names
+
 
 def unnested(mutations: DataFrame) -> DataFrame:
     """Rows of each mutation (commit_ts, table_id, sequence, inserted, updated, deleted) in the order of its sequence.
@@ -36,9 +38,9 @@ def old_and_new(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("corrupt", F.col("times") != 2).drop("times")
 
 
-def to_map(names: Column, values: Column) -> Column:
+def to_map(columns: Column, values: Column) -> Column:
     """Column names by place to values."""
-    return F.map_from_arrays(names, values)
+    return F.map_from_arrays(columns, values)
 
 
 def argument(union: Column) -> Column:
@@ -65,6 +67,12 @@ def from_secondary(records: DataFrame) -> DataFrame:
     return t.select("commit_ts", "db", "tbl", "m.txn_seq", F.col("m.type").alias("op"), to_map(F.col("column_info"), F.col("m.row")).alias("values"))
 
 
+def file_ddl(db: Column, kind: Column, sql: Column) -> Column:
+    """A statement as file records carry it: after ``use`` of its database, unless it makes or drops one or names none."""
+    own = F.coalesce(kind.isin("create database", "drop database"), F.lit(False)) | (db == "")
+    return F.when(own, sql).otherwise(F.concat(F.lit("use "), names.quoted(db), F.lit("; "), sql))
+
+
 def formatted_value(value: Column, kind: Column) -> Column:
     """A value as the target writes it: dates and decimals as text, sets and enums by number, JSON as text."""
     return F.when(kind.isin("bit", "enum", "set"), value.cast("decimal(20,0)").cast("string")).otherwise(value.cast("string"))

@@ -1,7 +1,8 @@
 """All queries of the library outside the training-data package, with their SQL."""
 
-from chronofold.plans import queries
+from chronofold.plans import more, queries
 
+assert more  # its queries register themselves
 QUERIES: dict = queries.QUERIES
 ORACLE_SQL: dict[str, str] = queries.SQL
 FLAGSHIP = "a6_final_state"
