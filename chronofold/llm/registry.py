@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this package, by name."""
 
-from chronofold.llm import chat, decontaminate, langid, linedup, nearest, neardup, packing, quality, scoring, warc
+from chronofold.llm import chat, decontaminate, langid, linedup, nearest, neardup, oracle, packing, quality, scoring, warc
 
 QUERIES = {
     "op1_bestfit_packing": packing.op1_bestfit_packing,
@@ -16,5 +16,10 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_superminhash_neardup": oracle.OP2,
     "op4_suffix_line_dedup": linedup.OP4_SQL,
+    "op5_simhash_decontamination": oracle.OP5,
+    "op6_reply_tree_chat": oracle.OP6,
+    "op8_int8_block_nearest": oracle.OP8,
+    "op9_warc_roundtrip": oracle.OP9,
 }
