@@ -7,9 +7,9 @@ probability 1 - 5e-6. Representatives that share a band are candidates; every li
 is confirmed on full sets.
 
 Not all pairs of a bucket are made. Each member is first compared with the
-bucket's smallest member; links found join components. Only pairs of a bucket
-that still lie in different components are left, and those are all compared,
-so no link between components is lost.
+bucket's centre; links found join components. Of the pairs of a bucket that still
+lie in different components, those are compared that can be similar enough by
+what they share with the centre and beside it, so no link is lost.
 
 Defined results: a null or empty text has no shingles and links with nothing; a
 null doc_id links with nothing, is kept and has a null component; rows that repeat a doc_id
@@ -108,13 +108,8 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _similar_size(a: str, b: str, percent: int):
-    """Sets whose sizes differ more than this cannot reach the similarity."""
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their full sets, of what they share, and what of ``a`` is not in ``b``."""
     pairs = common.settle(pairs, "pairs")
 
     def side(of: str) -> DataFrame:
@@ -123,8 +118,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return sets.join(few, "doc_id", "left_semi").select(F.col("doc_id").alias(of), F.col("shingles").alias(f"of_{of}"))
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
+    return both.select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"), F.array_except("of_a", "of_b").alias("own"))
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The measured pairs whose sets are similar enough."""
+    return pairs.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
 
 
 def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -138,42 +137,59 @@ def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
     again = member.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most")
     own = member.join(again, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
 
-    buckets = common.settle(classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "bands")
-    centres = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("most")).filter("c.rep <> most").select("key", F.col("c.rep").alias("b"), F.col("c.n").alias("n_b"))
-    shared = common.settle(buckets.join(centres, "key"), "buckets")  # members of buckets of two or more
-    near = shared.filter(F.col("rep") != F.col("b")).filter(_similar_size("n", "n_b", percent)).groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("bands"))
-    near = common.settle(near, "near")
+    buckets = common.settle(classes.select("rep", F.explode("bands").alias("key")).distinct(), "bands")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = common.settle(buckets.join(sizes, "key"), "buckets")  # members of buckets of two or more
+    # a bucket's centre is the member whose buckets are largest: what the others were made from, if they are edited copies
+    weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = shared.drop("size").join(weight, "rep")
+    centres = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("b"))
+    shared = common.settle(shared.drop("size").join(centres, "key"), "centred")
     ids = common.settle(shared.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = common.settle(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.maybe_broadcast(ids, ids.count()), "doc_id", "left_semi"), width), "sets")
+    few = common.maybe_broadcast(ids, ids.count())
+    sets = common.settle(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi"), width), "sets")
 
-    # first the best centre of each, then its other centres, then pairs of a bucket still apart
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = common.settle(verified(best, sets, percent).unionByName(own), "links")
-    labels = graph.components(links)
-    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = common.settle(links.unionByName(verified(_apart(rest, labels), sets, percent)), "links")
+    # first each member with the centres of its buckets
+    near = common.settle(measured(shared.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), sets), "near")
+    links = common.settle(linked(near, percent).unionByName(own), "links")
     labels = graph.components(links)
 
-    named = shared.select("key", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    # then the buckets that still hold several components, c being the centre: what two members share is
+    # at most the smaller of what each shares with c, and what both have beside c
+    named = shared.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "b", F.coalesce("label", "rep").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    still = common.settle(named.join(open_keys, "key"), "open")
-    left, right = still.toDF("key", "a", "n_a", "label_a"), still.toDF("key", "b", "n_b", "label_b")
-    pairs = left.join(right, "key").filter("label_a > label_b").filter(_similar_size("n_a", "n_b", percent)).select("a", "b").distinct()
-    tried = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = common.settle(links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)), "links")
+    still = common.settle(named.join(open_keys, "key").filter("rep <> b"), "open")
+    to_centre = near.groupBy(F.col("a").alias("rep"), "b").agg(F.max("n_a").alias("n"), F.max("shared").alias("shared"))
+    held = still.join(to_centre, ["rep", "b"]).select("key", "rep", "label", "n", "shared", F.col("shared").alias("room"))
+    enough = F.expr(f"{100 + percent} * least(shared_a, shared_b) >= {percent} * (n_a + n_b)")
+    pairs = _across(held, ["key"], percent, enough).select("a", "b").distinct()
+    beside = still.select("rep", "b", "label").distinct().join(near.withColumnRenamed("a", "rep"), ["rep", "b"])
+    beside = common.settle(beside.select("rep", "b", "label", F.col("n_a").alias("n"), "shared", F.explode("own").alias("s")), "beside")
+    times = beside.groupBy("b", "s").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("times")).filter("least <> most").select("b", "s", "times")
+    # of what a member has beside c, its partner must have `need` at least: then both have one of the rarest others
+    member_of = beside.join(times, ["b", "s"]).groupBy("rep", "b", "label", "n", "shared").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("beside"))
+    member_of = member_of.withColumn("room", F.col("shared") + F.size("beside")).withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("shared")))
+    rarest = member_of.filter("size(beside) >= need").withColumn("s", F.explode(F.expr("slice(beside, 1, cast(size(beside) - need + 1 as int))"))).withColumn("s", F.col("s.s"))
+    reach = F.expr(f"{100 + percent} * (least(shared_a, shared_b) + least(room_a - shared_a, room_b - shared_b)) >= {percent} * (n_a + n_b)")
+    both = _across(rarest, ["b", "s"], percent, reach).select("a", "b").distinct()
+    links = common.settle(links.unionByName(linked(measured(pairs.unionByName(both).distinct(), sets), percent)), "links")
     labels = graph.components(links)
 
     named = member.select(*key, "rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("label", "rep").alias("label"))
-    linked = found.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    whole = found.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
     alone = found.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    a, b = labels.toDF("a", "label_a"), labels.toDF("b", "label_b")
-    named = pairs.join(a, "a", "left").join(b, "b", "left")
-    return named.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    return whole.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _across(rows: DataFrame, on: list[str], percent: int, also) -> DataFrame:
+    """Pairs of ``rows`` (rep, label, n, shared, room) equal in ``on``, of different components and of similar sizes."""
+    columns = ["rep", "label", "n", "shared", "room"]
+    a = rows.select(*[F.col(c).alias(f"on_{c}") for c in on], *[F.col(c).alias("a" if c == "rep" else f"{c}_a") for c in columns])
+    b = rows.select(*[F.col(c).alias(f"of_{c}") for c in on], *[F.col(c).alias("b" if c == "rep" else f"{c}_b") for c in columns])
+    same = F.expr(f"label_a > label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    for c in on:
+        same = same & (F.col(f"on_{c}") == F.col(f"of_{c}"))
+    return a.join(b, same & also).select("a", "b")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
