@@ -71,7 +71,7 @@ def is_truncate(sql: Column) -> Column:
 
 def is_replica_ddl(sql: Column) -> Column:
     """ALTER ... SET ... REPLICA statements, which only columnar replicas understand."""
-    return sql.rlike(r"(?is)^\s*alter\s+(?:table|database)\s+.*\bset\s+(?:tiflash|columnar)\s+replica\b")
+    return sql.rlike(r"(?is)^\s*alter\s+(?:table|database)\s+.*\bset\s+\w+\s+replica\b")
 
 
 def is_sequence_query(sql: Column) -> Column:

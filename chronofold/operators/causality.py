@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions import names
-from chronofold.shipping import ship
+from chronofold.shipping import checkpoint_folder, ship
 
 
 def conflict_keys(table: Column, unique_keys: list[list[str]], columns: list[str], is_update: Column, after: str = "", before: str = "old_") -> Column:
@@ -72,6 +72,7 @@ def linked_groups(changes: DataFrame, id_column: str = "id", rounds: int = 50) -
     Labels spread over key-to-change links by minima, with a jump to the label's own
     label in each round; every round cuts its lineage in the shared folder.
     """
+    checkpoint_folder(changes.sparkSession)
     links = changes.select(F.col(id_column).alias("id"), F.explode("keys").alias("key")).distinct()
     labels = changes.select(F.col(id_column).alias("id")).distinct().withColumn("group", F.col("id"))
     for _ in range(rounds):

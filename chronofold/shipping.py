@@ -11,6 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a folder: the one that spark.checkpoint.dir names, else one of our own (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+
+
 def ship(spark: SparkSession) -> None:
     """Python workers import this package wherever they run, whether or not it is installed there."""
     context = spark.sparkContext
