@@ -132,7 +132,8 @@ def _with_marks(docs: DataFrame, min_words: int) -> DataFrame:
     keep = F.expr("flatten(transform(arrays_zip(gone, prev), z -> concat(array_repeat(true, z.gone - z.prev - 1), array(false))))")
     marks = common.settle(gone.select(F.col("d").alias("__d"), F.col("th").alias("__th"), keep.alias("__keep")), "marks")
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    return docs.join(marks, (d == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left").drop("__d", "__th")
+    # the same plan at every size: marks grow with the documents, so they are never broadcast
+    return docs.join(marks.hint("merge"), (d == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left").drop("__d", "__th")
 
 
 _LEFT = "filter(split(text, '\\n'), (x, k) -> coalesce(get(__keep, k), true))"
