@@ -6,8 +6,8 @@ holds at once is bounded: grams are dealt into shards by the last three bytes of
 their context, so that all longer contexts of a position are in one shard and
 the shorter ones (at most 256^3 grams, however much is read) in each. One shard
 is the rule at moderate size; more shards are more passes, never fewer grams.
-Words that make up at least 1/HEAD_WORDS of all tokens are at most HEAD_WORDS and
-go to the tasks; the other words of each document are joined to their counts.
+The most frequent words, HEAD_WORDS at most, go to the tasks; the other words of
+each document are joined to their counts.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 not in the held-out fold and trains; rows that repeat count and are scored once
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from chronofold.llm import common, ppm
 
 ORDER = 5
-HEAD_WORDS = 1 << 17
+HEAD_WORDS = 1 << 19
 #: Grams in one shard of the trie; an entry takes about 60 bytes in a Python worker.
-SHARD_GRAMS = 4_000_000
+SHARD_GRAMS = 3_000_000
 #: Order from which grams are dealt into shards.
 SHARD_FROM = 3
 #: Distinct entries a counting task holds before it hands them on.
@@ -103,13 +103,21 @@ class Model:
         table = common.settle(counts(docs, order, trains), "counts")
         self.grams = table.filter("kind = 0").select("code", F.col("trained").alias("n"))
         self.words = table.filter("kind = 1").select("code", "trained", "total")
-        r = self.words.agg(F.sum("trained").alias("N"), F.sum(F.when(F.col("trained") > 0, 1)).alias("V"), F.sum("total").alias("all")).first()
+        r = self.words.agg(F.sum("trained").alias("N"), F.sum(F.when(F.col("trained") > 0, 1)).alias("V")).first()
         self.tokens, self.kinds = int(r["N"] or 0), int(r["V"] or 0)
-        common_words = self.words.filter(F.col("total") * head_words >= int(r["all"] or 0))  # at most head_words
-        code, trained = _arrays(common_words, "code", "trained")
+        # the least count whose words, with all of larger counts, are not too many; counted by ranges of counts
+        span = F.floor(F.log2("total") * 32)
+        held, least = 0, None
+        for row in self.words.groupBy(span.alias("span")).agg(F.count("*").alias("n")).orderBy(F.desc("span")).collect():  # 32 for each doubling
+            held += row["n"]
+            if held > head_words:
+                break
+            least = row["span"]
+        frequent = F.lit(False) if least is None else span >= least
+        code, trained = _arrays(self.words.filter(frequent), "code", "trained")
         by = np.argsort(code.view(np.uint64))
         self.head = (code.view(np.uint64)[by], trained[by])
-        self.tail = self.words.filter(F.col("total") * head_words < int(r["all"] or 0)).filter("trained > 0").select("code", "trained")
+        self.tail = self.words.filter(~frequent).filter("trained > 0").select("code", "trained")
         self.shards = max(1, -(-self.grams.count() // shard_grams))
 
     def lows(self) -> ppm.Trie:
