@@ -15,13 +15,14 @@ training folds; rows that repeat are scored once each; other columns are not rea
 
 from __future__ import annotations
 
-import hashlib
+import string
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronofold.llm import common
 
@@ -79,8 +80,12 @@ class Lattice:
     def find(self, letters: np.ndarray) -> np.ndarray:
         """(words, length - 1, start) -> piece, or -1."""
         codes = self.codes(letters)
-        at = np.minimum(np.searchsorted(self.code, codes), len(self.code) - 1)
-        return np.where((self.code[at] == codes) & (codes > 0), self.piece[at], -1)
+        out = np.full(codes.shape, -1, np.int32)
+        for k in range(codes.shape[1]):
+            own = codes[:, k, : letters.shape[1] - k]
+            at = np.minimum(np.searchsorted(self.code, own), len(self.code) - 1)
+            out[:, k, : own.shape[1]] = np.where(self.code[at] == own, self.piece[at], -1)
+        return out
 
 
 def stretches(word: bytes) -> list[bytes]:
@@ -98,23 +103,30 @@ def by_length(words: list[bytes], most: int = 20_000):
             yield part, np.frombuffer(b"".join(words[j] for j in part), np.uint8).reshape(len(part), n)
 
 
-def forward(found: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums (words, n + 1, languages), scaled, and the log of the scale (words, n + 1)."""
+def forward(found: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """(words, n + 1, languages): the probability of each word's first bytes, summed over their cuts.
+
+    ``probability`` ends in a row of zeros, which is what the place -1 (no piece) gives.
+    """
     words, most, n = found.shape
     alpha = np.zeros((words, n + 1, probability.shape[1]))
     alpha[:, 0] = 1
     for end in range(1, n + 1):
         for k in range(min(most, end)):
             piece = found[:, k, end - 1 - k]
-            has = piece >= 0
-            if has.any():
-                alpha[has, end] += alpha[has, end - 1 - k] * probability[piece[has]]
+            if k == 0 or piece.max() >= 0:
+                alpha[:, end] += alpha[:, end - 1 - k] * probability[piece]
     return alpha
 
 
+def _padded(probability: np.ndarray) -> np.ndarray:
+    return np.vstack([probability, np.zeros((1, probability.shape[1]))])
+
+
 def word_logs(words: list[bytes], lattice: Lattice, probability: np.ndarray) -> np.ndarray:
     """(words, languages): log of each word's probability summed over its cuts."""
     out = np.zeros((len(words), probability.shape[1]))
+    probability = _padded(probability)
     for own, letters in by_length(words):
         alpha = forward(lattice.find(letters), probability)
         out[own] = np.log(np.maximum(alpha[:, -1], 1e-300))
@@ -133,12 +145,12 @@ def fit(counts: list[Counter], lattice: Lattice, rounds: int = ROUNDS) -> np.nda
             expected = np.full(lattice.size, SMOOTHING)
             for weight, found in groups:
                 most, n = found.shape[1:]
-                alpha = forward(found, p)[:, :, 0]
+                alpha = forward(found, _padded(p))[:, :, 0]
                 # the backward sums are the forward sums of the mirrored lattice
                 mirror = np.full_like(found, -1)
                 for j in range(most):
                     mirror[:, j, : n - j] = found[:, j, : n - j][:, ::-1]
-                beta = forward(mirror, p)[:, ::-1, 0]
+                beta = forward(mirror, _padded(p))[:, ::-1, 0]
                 scale = weight / np.maximum(alpha[:, -1], 1e-300)
                 for j in range(most):
                     for start in range(n - j):
@@ -163,20 +175,13 @@ def sampled_words(docs: DataFrame, sample_docs: int, sample_words: int) -> dict[
         return {}
     rate = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    words = sample.select("lang", F.explode(F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_words)
     out: dict[str, Counter] = {}
-    for lang in sorted(share):
-        top = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words) if len(share) == 1 else None
-        if top is not None:
-            out[lang] = Counter({r["word"]: r["n"] for r in top.select("word", "n").collect()})
-    if len(share) > 1:
-        from pyspark.sql.window import Window
-
-        first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-        top = counted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_words)
-        for r in top.select("lang", "word", "n").toArrow().to_pylist():
-            out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    for r in top.select("lang", "word", "n").toArrow().to_pylist():
+        out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return out
 
 
@@ -209,37 +214,47 @@ def _lattice(file: str) -> Lattice:
 class WordMemory:
     """Scores of words seen by this task: a bounded memory, emptied when full."""
 
-    def __init__(self, lattice: Lattice, probability: np.ndarray, most: int = 200_000):
+    def __init__(self, lattice: Lattice, probability: np.ndarray, most: int = 500_000):
         self.lattice, self.probability, self.most = lattice, probability, most
         self.known: dict[bytes, int] = {}
         self.rows = np.zeros((0, probability.shape[1]))
 
     def totals(self, lists: list[list[bytes]]) -> np.ndarray:
-        """(texts, languages): sums over each text's words."""
-        out = np.zeros((len(lists), self.probability.shape[1]))
-        for i, words in enumerate(lists):
-            for at in range(0, len(words), self.most):
-                out[i] += self._sum(words[at : at + self.most])
+        """(texts, languages): sums over each text's words. Texts go together while their words fit the memory."""
+        out, start = np.zeros((len(lists), self.probability.shape[1])), 0
+        while start < len(lists):
+            stop, held = start + 1, len(lists[start])
+            while stop < len(lists) and held + len(lists[stop]) <= self.most:
+                held += len(lists[stop])
+                stop += 1
+            for at in range(0, max(held, 1), self.most):  # more than once only for one very long text
+                part = lists[start:stop] if held <= self.most else [lists[start][at : at + self.most]]
+                flat = [w for words in part for w in words]
+                if flat:
+                    sizes = np.array([len(w) for w in part])
+                    full = np.flatnonzero(sizes)
+                    firsts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                    out[start + full] += np.add.reduceat(self._rows(flat), firsts, axis=0)
+            start = stop
         return out
 
-    def _sum(self, words: list[bytes]) -> np.ndarray:
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        """A row of scores for each word."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known, self.rows, new = {}, self.rows[:0], list(dict.fromkeys(words))
         if new:
             cuts = [stretches(w) for w in new]
-            flat = [s for c in cuts for s in c]
-            logs = word_logs(flat, self.lattice, self.probability)
-            at = np.concatenate([[0], np.cumsum([len(c) for c in cuts[:-1]])]).astype(np.int64)
-            rows = np.add.reduceat(logs, at, axis=0)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            logs = word_logs([s for c in cuts for s in c], self.lattice, self.probability)
+            rows = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(c) for c in cuts[:-1]])]).astype(np.int64), axis=0)
+            used = len(self.known)
+            self.known.update(zip(new, range(used, used + len(new)), strict=True))
             if len(self.known) > len(self.rows):
-                grown = np.zeros((min(self.most, max(2 * len(self.known), 1024)), rows.shape[1]))
-                used = len(self.known) - len(new)
+                grown = np.zeros((min(self.most, 2 * len(self.known) + 1024), rows.shape[1]))
                 grown[:used] = self.rows[:used]
                 self.rows = grown
-            self.rows[len(self.known) - len(new) : len(self.known)] = rows
-        return self.rows[[self.known[w] for w in words]].sum(axis=0) if words else np.zeros(self.rows.shape[1])
+            self.rows[used : used + len(new)] = rows
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,7 +272,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for t in texts:
                 letters.append(bool(t) and any(map(str.isalpha, t)))
                 new_lists.append(common.words_of(t.encode()) if letters[-1] else [])
-            logs = _totals_batched(memory, new_lists)
+            logs = memory.totals(new_lists) if languages else np.zeros((len(texts), 0))
             names, scores = [], []
             for row, has in zip(logs, letters, strict=True):
                 if not has or not languages:
@@ -272,19 +287,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def _totals_batched(memory: WordMemory, lists: list[list[bytes]]) -> np.ndarray:
-    """Texts are scored together while their new words fit the memory, so that words of one length share a step."""
-    fresh = list(dict.fromkeys(w for words in lists for w in words))
-    for at in range(0, len(fresh), memory.most):
-        if len(fresh) <= memory.most:
-            memory._sum(fresh)
-    return memory.totals(lists)
-
-
-def vocabulary_digest(file: str = VOCABULARY) -> str:
-    return hashlib.sha256(b"\0".join(pieces(file))).hexdigest()
-
-
 def op10_marginal_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.in_fold("doc_id", FOLDS, HELD_OUT)
