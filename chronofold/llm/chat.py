@@ -93,8 +93,8 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     for k in reversed(range(len(jumps))):
         up = jumps[k].toDF("up_tree", "up_node", "up_anc")
         more = paths.join(up, paths["tree"].eqNullSafe(up["up_tree"]) & (paths["node"] == up["up_node"])).select("tree", "leaf", (F.col("place") - (1 << k)).alias("place"), F.col("up_anc").alias("node"))
-        paths = paths.unionByName(more)
-    return common.settle(paths, "paths")
+        paths = common.settle(paths.unionByName(more), "paths")  # else each round would run all before it twice
+    return paths
 
 
 def formatted(nodes: DataFrame, per_tree: int | None = 1, loss_role: str = LOSS_ROLE) -> DataFrame:
