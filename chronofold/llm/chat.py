@@ -78,10 +78,12 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
         jumps.append(jump.filter("anc is not null").select("tree", "node", "anc"))
         if jumps[-1].isEmpty():
             break
+        # only what has not reached its root goes on; the others are looked up
+        active = jump.filter("anc is not null")
         up = jump.toDF("up_tree", "up_node", "up_anc", "up_total", "up_size")
-        joined = jump.join(up, jump["tree"].eqNullSafe(up["up_tree"]) & (jump["anc"] == up["up_node"]), "left")
-        jump = joined.select("tree", "node", F.col("up_anc").alias("anc"), (F.col("total") + F.coalesce("up_total", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("up_size", F.lit(0))).alias("size"))
-        jump = common.settle(jump, "jump")
+        joined = active.join(up, active["tree"].eqNullSafe(up["up_tree"]) & (active["anc"] == up["up_node"]), "left")
+        further = joined.select("tree", "node", F.col("up_anc").alias("anc"), (F.col("total") + F.coalesce("up_total", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("up_size", F.lit(0))).alias("size"))
+        jump = common.settle(jump.filter("anc is null").unionByName(further), "jump")
     parents = nodes.filter("parent is not null").select(F.col("tree").alias("p_tree"), F.col("parent").alias("p_node")).distinct()
     rooted = jump.filter("anc is null")  # what still has an ancestor is on a cycle
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["p_tree"]) & (rooted["node"] == parents["p_node"]), "left_anti")
