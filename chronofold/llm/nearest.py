@@ -42,6 +42,14 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.float32), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed component by component, so that the last digit is the same everywhere."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     """(query, candidate, product) of each query's k nearest of these candidates, and ties with the k-th."""
     q, q_scale, q_lost = quantised(queries)
@@ -64,7 +72,7 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         else:
             floor = np.full(low.shape[0], -np.inf)
         i, j = np.nonzero((near + slack >= floor[:, None]) & ~own)
-        score = np.einsum("ij,ij->i", queries[part][i], vectors[j])
+        score = products(queries[part][i], vectors[j])
         by = np.lexsort((ids[j], -score, i))
         i, j, score = i[by], j[by], score[by]
         first = np.searchsorted(i, np.arange(low.shape[0]))
