@@ -34,6 +34,8 @@ MIN_WORDS = 25
 WORD = r"[^\\x20\\x09-\\x0D]+"
 #: Ranks are counted within so many ranges first.
 RANGES = 1024
+#: Tasks among which the places of one run are dealt.
+SALTS = 16
 
 _AT = ["d", "th"]
 
@@ -117,10 +119,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = ranks.select(*_AT, "k", F.col("i").alias("start"), F.col("rank").alias("rank_start"))
     last = ranks.select(*_AT, "k", F.col("i").alias("end"), F.col("rank").alias("rank_end"))
     named = runs.join(first, [*_AT, "k", "start"]).withColumn("end", F.expr("start + length - shiftleft(1, k)").cast("int")).join(last, [*_AT, "k", "end"])
-    named = common.settle(named.select(*_AT, "start", "length", "rank_start", "rank_end", F.struct(*_AT, "start").alias("at")), "named")
+    # a run that very many documents have meets its first place in SALTS tasks
+    salt = F.pmod(F.xxhash64(*_AT, "start"), F.lit(SALTS))
+    named = common.settle(named.select(*_AT, "start", "length", "rank_start", "rank_end", F.struct(*_AT, "start").alias("at"), salt.alias("salt")), "named")
     same = ["length", "rank_start", "rank_end"]
     earliest = named.groupBy(*same).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select(*same, "first")
-    late = named.join(earliest, same).filter(F.col("at") > F.col("first"))
+    earliest = earliest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    late = named.join(earliest, [*same, "salt"]).filter(F.col("at") > F.col("first"))
     covered = late.select(*_AT, F.explode(F.expr("sequence(start, start + length - 1)")).alias("i")).distinct()
     return covered.join(levels[0].select(*_AT, "i", "ln"), [*_AT, "i"]).select(*_AT, "ln")
 
