@@ -13,7 +13,7 @@ def planted(path, spark):
     def text(k):
         return "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(k))
 
-    clean = {i: text(rng.randrange(3, 12)) for i in range(300)}
+    clean = {i: text(8 if i < 10 else rng.randrange(3, 12)) for i in range(300)}  # the first ten get near copies
     junk = {1000 + i: " ".join([rng.choice(words)] * 80) for i in range(80)}
     items = [(i, " ".join(rng.choices(words, k=30))) for i in range(10)]
     leaks = {2000 + i: text(3) + "\n" + items[i][1] + "\n" + text(2) for i in range(10)}
