@@ -160,19 +160,27 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L1-penalised logistic regression, by accelerated proximal gradient."""
     n = len(y)
-    mean, scale = z.mean(0), np.maximum(z.std(0), 1e-3)
-    z = (z - mean) / scale
+    mean, scale = z.mean(0, dtype=float), np.maximum(z.std(0, dtype=float), 1e-3)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        """Standardised columns times weights, without a second matrix."""
+        w = w / scale
+        return z @ w.astype(z.dtype) - float(mean @ w)
+
+    def across(e: np.ndarray) -> np.ndarray:
+        return (z.T @ e.astype(z.dtype) - mean * e.sum()) / scale
+
     rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
     w, b = np.zeros(z.shape[1]), float(np.log(rate / (1 - rate)))
     v, c, t = w.copy(), b, 1.0
     probe = np.ones(z.shape[1])
     for _ in range(30):  # the largest eigenvalue, for the step
-        probe = z.T @ (z @ probe)
+        probe = across(times(probe))
         probe /= np.linalg.norm(probe) + 1e-12
-    size = 4 / (np.linalg.norm(z @ probe) ** 2 / n + 1)
+    size = 4 / (np.linalg.norm(times(probe)) ** 2 / n + 1)
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-(z @ v + c))) - y
-        nw = v - size * (z.T @ error) / n
+        error = 1 / (1 + np.exp(-(times(v) + c))) - y
+        nw = v - size * across(error) / n
         nw = np.sign(nw) * np.maximum(np.abs(nw) - size * penalty, 0)
         nb = c - size * error.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -199,10 +207,13 @@ class Model:
             n = min(3000, max(len(heavy), len(light)))
             own = np.concatenate([rng.choice(heavy, n), rng.choice(light, n)])
             found.update(dict.fromkeys(_paths(rows[own], y[own], rng, depth)))
-        rules = list(found)
-        z = np.stack([holds(r, rows) for r in rules], 1).astype(float) if rules else np.zeros((len(y), 0))
-        _, first = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows count once
-        rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
+        apart: dict[bytes, Rule] = {}
+        for rule in found:  # rules that hold for the same rows count once
+            apart.setdefault(np.packbits(holds(rule, rows)).tobytes(), rule)
+        rules = list(apart.values())
+        z = np.zeros((len(y), len(rules)), np.float32)
+        for i, rule in enumerate(rules):
+            z[:, i] = holds(rule, rows)
         w, self.intercept = lasso_logistic(z, y.astype(float), penalty)
         self.rules = [(r, float(x)) for r, x in zip(rules, w, strict=True) if abs(x) > 1e-6]
 
