@@ -18,6 +18,9 @@ BATCH_ROWS = 256
 #: A key column or a small table of at most so many rows may be broadcast.
 BROADCAST_ROWS = 4_000_000
 
+#: Characters of a plan's text that the driver keeps for each of its last thousand executions.
+PLAN_CHARS = 4096
+
 _own_folder: list[str] = []
 _settled: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +72,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def settle(df: DataFrame, what: str = "settled") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))  # many small executions follow one another
     path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
