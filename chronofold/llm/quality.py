@@ -218,20 +218,20 @@ class Model:
         self.rules = [(r, float(x)) for r, x in zip(rules, w, strict=True) if abs(x) > 1e-6]
 
     def column(self, of: str) -> Column:
-        """The score as an expression over the struct of statistics. Rules are summed as a balanced tree."""
-
-        def condition(rule: Rule) -> Column:
-            out = None
-            for c, above, at in rule:
-                value = F.col(f"{of}.{STATISTICS[c]}")
-                one = (value > at) if above else (value <= at)
-                out = one if out is None else out & one
-            return out
-
-        parts = [F.lit(self.intercept)] + [F.when(condition(r), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules]
-        while len(parts) > 1:
-            parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-parts[0]))
+        """The score as an expression over the struct of statistics.
+
+        The rules' weights are an array that is summed: one flat expression, which
+        the driver analyses and compiles in little memory.
+        """
+
+        def weight(rule: Rule, w: float) -> str:
+            conditions = " and ".join(f"{of}.{STATISTICS[c]} {'>' if above else '<='} {float(at)!r}D" for c, above, at in rule)
+            return f"if({conditions}, {float(w)!r}D, 0D)"
+
+        total = f"{float(self.intercept)!r}D"
+        if self.rules:
+            total += f" + aggregate(array({', '.join(weight(r, w) for r, w in self.rules)}), 0D, (a, x) -> a + x)"
+        return F.expr(f"1D / (1D + exp(-({total})))")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
