@@ -2,10 +2,12 @@
 
 A symbol is a byte of the token stream (words joined by one space, closed by a
 newline, which is the end symbol). Documents start after ``order`` newlines, so
-every position has a full context. Only counts of (order+1)-grams are kept: the
-counts of shorter contexts are their sums, so the symbols seen after a context
-are always among those seen after its suffixes, and the exclusion set at an
-order is the set of symbols seen one order above.
+every position has a full context. Only counts of (order+1)-grams are kept. The
+count of a shorter gram is the number of different grams one byte longer that end
+in it (update exclusion: a short context learns a symbol once for each longer
+context that had not seen it). The symbols seen after a context are always among
+those seen after its suffixes, so the exclusion set at an order is the set of
+symbols seen one order above.
 
 Escape estimation: every symbol seen after a context gives up DISCOUNT of its
 count. After T symbols of D kinds, a symbol seen c times has (c - DISCOUNT) / T
@@ -61,31 +63,35 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def shorter(grams: np.ndarray, k: int) -> np.ndarray:
+    """The last k + 1 bytes of each gram."""
+    return grams & np.uint64((1 << (8 * (k + 1))) - 1)
+
+
 class Trie:
     """The context trie as one level of sorted arrays for each order.
 
     ``lows`` gives the levels below ``from_order`` (built from all grams), so a
-    shard that holds only the grams of some order-3 contexts still escapes to
-    the whole corpus's short contexts.
+    part that holds only the grams of some contexts of ``from_order`` bytes still
+    escapes to the whole corpus's short contexts.
     """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, lows: Trie | None = None, from_order: int = 0):
-        self.order, self.levels = order, []
-        for k in range(order + 1):
-            if lows is not None and k < from_order:
-                self.levels.append(lows.levels[k])
-                continue
-            mask = np.uint64((1 << (8 * (k + 1))) - 1)
-            grams, n = summed(codes & mask, counts)
+        self.order = order
+        low = from_order if lows is not None else 0
+        self.levels: list[dict] = [lows.levels[k] for k in range(low)] + [{} for _ in range(low, order + 1)]
+        grams, n = summed(codes, counts)
+        for k in range(order, low - 1, -1):
+            if k < order:
+                grams, n = summed(shorter(grams, k), np.ones(len(grams), np.int64))
             ctx = grams >> np.uint64(8)
             contexts, total = summed(ctx, n)
             _, kinds = summed(ctx, np.ones(len(ctx), np.int64))
-            level = {"grams": grams, "n": n, "ctx": contexts, "total": total, "kinds": kinds}
-            if k:  # what the context's symbols have one order below
-                up = self.levels[k - 1]
-                lower = up["n"][np.maximum(_find(up["grams"], grams & np.uint64((1 << (8 * k)) - 1)), 0)] if len(grams) else n
-                _, level["below"] = summed(ctx, lower)
-            self.levels.append(level)
+            self.levels[k] = {"grams": grams, "n": n, "ctx": contexts, "total": total, "kinds": kinds}
+        for k in range(max(low, 1), order + 1):  # what the context's symbols have one order below
+            level, up = self.levels[k], self.levels[k - 1]
+            below = up["n"][np.maximum(_find(up["grams"], shorter(level["grams"], k - 1)), 0)] if len(level["grams"]) else level["n"]
+            _, level["below"] = summed(level["grams"] >> np.uint64(8), below)
 
     def size(self) -> int:
         return sum(len(x["grams"]) for x in self.levels)
@@ -100,7 +106,7 @@ class Trie:
             level = self.levels[k]
             if not len(left):
                 break
-            gram = codes[left] & np.uint64((1 << (8 * (k + 1))) - 1)
+            gram = shorter(codes[left], k)
             at = _find(level["ctx"], gram >> np.uint64(8))
             there = at >= 0
             i = np.maximum(at, 0)

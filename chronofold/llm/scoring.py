@@ -1,17 +1,25 @@
 """Language-model scores: a pretrained byte PPM beside a word unigram base.
 
-Pass one counts, over all training documents, byte (order+1)-grams and words.
-Pass two scores every document. The trie's grams are a table; the part a task
-holds at once is bounded: grams are dealt into shards by the last three bytes of
-their context, so that all longer contexts of a position are in one shard and
-the shorter ones (at most 256^3 grams, however much is read) in each. One shard
-is the rule at moderate size; more shards are more passes, never fewer grams.
-The most frequent words, HEAD_WORDS at most, go to the tasks; the other words of
-each document are joined to their counts.
+Documents lie in blocks of about BLOCK_BYTES. A block asks for the codes it holds,
+each once: its byte grams and the hashes of its words. The trie and the word counts
+are one table, dealt into BUCKETS by the last three bytes of a gram's context (so
+all longer contexts of a position lie in one bucket) and by the hash of a word.
+
+    blocks -> asked (bucket, block, codes and training counts)
+           -> parts (bucket, codes, counts): the model
+           -> answers (block, codes, values), where a bucket's part meets what was asked of it
+           -> scores, where a block's answers meet its texts
+
+Only contexts of up to two bytes go through the driver (at most 256^3 grams, however
+much is read). A task holds one bucket's part and streams past it what was asked;
+then one block's answers, and streams past them the block's texts. What many blocks
+ask of one bucket is dealt among salts of SALT_BLOCKS blocks. The corpus is read
+once to store the blocks, and the stored blocks twice, whatever the number of grams.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 not in the held-out fold and trains; rows that repeat count and are scored once
-each; without training rows every count is 0; other columns are not read.
+each; an empty table gives no rows; without training rows every count is 0; other
+columns are not read; a very long text is one row of its block.
 """
 
 from __future__ import annotations
@@ -24,16 +32,18 @@ from pyspark.sql import functions as F
 from chronofold.llm import common, ppm
 
 ORDER = 5
-HEAD_WORDS = 1 << 19
-#: Grams in one shard of the trie; an entry takes about 60 bytes in a Python worker.
-SHARD_GRAMS = 3_000_000
-#: Order from which grams are dealt into shards.
-SHARD_FROM = 3
-#: Distinct entries a counting task holds before it hands them on.
-FLUSH = 600_000
+BLOCK_BYTES = 16 << 20
+BUCKETS = 512
+#: Blocks whose questions to one bucket are one task's.
+SALT_BLOCKS = 1024
+#: Context bytes by which grams are dealt; shorter contexts are held by every task.
+DEAL_BY = 3
+#: Distinct entries that a task gathers before it hands them on.
+FLUSH = 3_000_000
 #: Stands for the end token among word hashes.
 END = np.uint64(0x656E64)
 FOLDS, HELD_OUT = 5, 1
+GRAM, WORD = 0, 1
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -41,186 +51,279 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.append(common.hashed(words), END)
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, without the planes that are all zero."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8
+    while used > 1 and not planes[used - 1].any():
+        used -= 1
+    return planes[:used].tobytes()
 
 
-def counts(docs: DataFrame, order: int, trains) -> DataFrame:
-    """(kind, code, trained, total): kind 0 for byte grams of training texts, 1 for words of all texts."""
-    common.arrow_batches(docs.sparkSession)
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` integers that packed() made ``data`` from."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def bucket_of(kind: int, codes: np.ndarray, buckets: int) -> np.ndarray:
+    own = codes >> np.uint64(8) & np.uint64((1 << 8 * DEAL_BY) - 1) if kind == GRAM else codes
+    return (common.mixed(own) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_keys(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token (words and the end) of all documents, and each token's document."""
+    keys = np.concatenate([common.hashed([w for ws in lists for w in ws]), np.full(len(lists), END)])
+    return keys, np.concatenate([np.repeat(np.arange(len(lists)), [len(w) for w in lists]), np.arange(len(lists))])
+
+
+def blocks(docs: DataFrame, trains, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows with the number of the block each lies in, settled: neighbours in the input share a block."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("train"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    most = max(1, int(n * block_bytes / max(size, 1)))  # rows of mean length that make a block
+    at = F.monotonically_increasing_id()
+    inside = F.floor(at.bitwiseAND((1 << 33) - 1) / F.lit(most))
+    return common.settle(rows.withColumn("block", F.shiftright(at, 33) * F.lit(1 << 33) + inside), "blocks")
+
+
+def _runs(values: list) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal values."""
+    cuts = [0] + [i for i in range(1, len(values)) if values[i] != values[i - 1]] + [len(values)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+_ASKED = "kind int, bucket int, block long, n long, codes binary, trained binary"
+
+
+def asked(stored: DataFrame, order: int, buckets: int, flush: int = FLUSH) -> DataFrame:
+    """For each block and bucket the distinct codes that the block holds, with their counts in its training texts.
+
+    A block may come in several parts (it lies in two files, or holds more than ``flush`` codes).
+    """
+    common.arrow_batches(stored.sparkSession)
+
+    def run(batches):
+        held: dict[int, list] = {GRAM: [], WORD: []}
+        block, pending = None, 0
+
+        def merge():
+            for kind, parts in held.items():
+                if len(parts) > 1:
+                    held[kind] = [ppm.summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+            return sum(len(p[0]) for parts in held.values() for p in parts)
+
+        def emit():
+            merge()
+            rows = []
+            for kind, parts in held.items():
+                if not parts:
+                    continue
+                codes, n = parts[0]
+                bucket = bucket_of(kind, codes, buckets)
+                by = np.argsort(bucket, kind="stable")
+                codes, n, bucket = codes[by], n[by], bucket[by]
+                ends = np.searchsorted(bucket, np.arange(buckets), "right")
+                starts = np.concatenate([[0], ends[:-1]])
+                rows += [(kind, b, block, int(e - s), packed(codes[s:e]), packed(n[s:e].view(np.uint64))) for b, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s]
+                held[kind] = []
+            for i in range(0, len(rows), 256):
+                yield _batch(rows[i : i + 256], _ASKED)
+
+        for batch in batches:
+            texts, trains, of = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).to_pylist()
+            for a, b in _runs(of):
+                if of[a] != block:
+                    yield from emit()
+                    block, pending = of[a], 0
+                lists, train = [common.words_of(t) for t in texts[a:b]], trains[a:b]
+                for own, counts in ((train, True), (~train, False)):
+                    streams = [stream(w) for w, t in zip(lists, own, strict=True) if t]
+                    codes, n = np.unique(ppm.gram_codes(streams, order)[0], return_counts=True)
+                    held[GRAM].append((codes, n.astype(np.int64) * counts))
+                    keys, n = np.unique(_word_keys([w for w, t in zip(lists, own, strict=True) if t])[0], return_counts=True)
+                    held[WORD].append((keys, n.astype(np.int64) * counts))
+                    pending += len(codes) + len(keys)
+                if pending > flush:
+                    pending = merge()
+                    if pending > flush // 2:
+                        yield from emit()
+                        pending = 0
+        yield from emit()
+
+    return stored.select("text", "train", "block").mapInArrow(run, _ASKED)
+
+
+_PART = "kind int, bucket int, n long, codes binary, trained binary"
+
+
+def _merged(rows: DataFrame, keys: list[str], flush: int = FLUSH) -> DataFrame:
+    """For each key one row of the codes that training texts hold, with their counts. Rows stream past the sum so far."""
 
     def run(batches):
-        grams, held, words = [], 0, []
-
-        def flush():
-            nonlocal grams, held, words
-            g, n = ppm.summed(np.concatenate([x[0] for x in grams] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in grams] or [np.zeros(0, np.int64)]))
-            w = np.concatenate([x[0] for x in words] or [np.zeros(0, np.uint64)])
-            w_all, total = ppm.summed(w, np.concatenate([x[1] for x in words] or [np.zeros(0, np.int64)]))
-            _, trained = ppm.summed(w, np.concatenate([x[2] for x in words] or [np.zeros(0, np.int64)]))
-            grams, held, words = [], 0, []
-            for kind, code, a, b in ((0, g, n, n), (1, w_all, trained, total)):
-                for i in range(0, len(code), 50_000):
-                    part = code[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["kind", "code", "trained", "total"])
+        key, parts, pending = None, [], 0
+
+        def total():
+            return ppm.summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+        def done():
+            if key is not None:
+                codes, n = total()
+                codes, n = codes[n > 0], n[n > 0]
+                if len(codes):
+                    yield _batch([(*key[:2], len(codes), packed(codes), packed(n.view(np.uint64)))], _PART)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for kind, bucket, salt, n, codes, trained in zip(*columns, strict=True):
+                if (kind, bucket, salt) != key:
+                    yield from done()
+                    key, parts, pending = (kind, bucket, salt), [], 0
+                parts.append((unpacked(codes, n), unpacked(trained, n).view(np.int64)))
+                pending += n
+                if pending > flush:  # entries since the last sum
+                    parts, pending = [total()], 0
+        yield from done()
+
+    ready = rows.select("kind", "bucket", F.col("salt") if "salt" in keys else F.lit(0).alias("salt"), "n", "codes", "trained")
+    return ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PART)
+
 
+def _short_contexts(parts: DataFrame, order: int) -> DataFrame:
+    """(kind, code, n): grams of contexts of fewer than DEAL_BY bytes; for words the sum (code 0) and number (code 1) of counts."""
+    by = min(order + 1, DEAL_BY)  # bytes of a gram of the longest short context
+
+    def run(batches):
         for batch in batches:
-            lists = [common.words_of(t) for t in batch.column(0).to_pylist()]
-            train = np.array(batch.column(1).to_pylist(), bool)
-            codes, _ = ppm.gram_codes([stream(w) for w, t in zip(lists, train, strict=True) if t], order)
-            u, n = np.unique(codes, return_counts=True)
-            grams.append((u, n.astype(np.int64)))
-            keys = np.concatenate([common.hashed([w for ws in lists for w in ws]), np.full(len(lists), END)])
-            of = np.concatenate([np.repeat(train, [len(w) for w in lists]), train])
-            u, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-            words.append((u, n.astype(np.int64), np.bincount(inverse, of, len(u)).astype(np.int64)))
-            held += len(grams[-1][0]) + len(u)
-            if held > FLUSH:
-                grams = [ppm.summed(np.concatenate([x[0] for x in grams]), np.concatenate([x[1] for x in grams]))]
-                k = np.concatenate([x[0] for x in words])
-                u, total = ppm.summed(k, np.concatenate([x[1] for x in words]))
-                words = [(u, total, ppm.summed(k, np.concatenate([x[2] for x in words]))[1])]
-                held = len(grams[0][0]) + len(u)
-                if held > FLUSH // 2:
-                    yield from flush()
-        yield from flush()
-
-    rows = docs.select(F.col("text").cast("binary").alias("text"), trains.alias("train"))
-    out = rows.mapInArrow(run, "kind int, code long, trained long, total long")
-    return out.groupBy("kind", "code").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total"))
-
-
-def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    found = df.select(*columns).toArrow()
-    return [found.column(c).to_numpy() for c in columns]
+            for kind, n, codes, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes, counts = unpacked(codes, n), unpacked(trained, n).view(np.int64)
+                if kind == WORD:
+                    codes, counts = np.array([0, 1], np.uint64), np.array([counts.sum(), n])
+                else:
+                    for k in range(order - 1, by - 2, -1):  # ever shorter grams, each counted once for each longer one
+                        codes, counts = ppm.summed(ppm.shorter(codes, k), np.ones(len(codes), np.int64))
+                for i in range(0, len(codes), 50_000):
+                    part = codes[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(counts[i : i + 50_000])], names=["kind", "code", "n"])
+
+    return parts.select("kind", "n", "codes", "trained").mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Tables of both models and the bounded parts that tasks hold."""
+    """The stored blocks, what they ask, and the partitioned trie and word counts."""
 
-    def __init__(self, docs: DataFrame, trains, order: int = ORDER, head_words: int = HEAD_WORDS, shard_grams: int = SHARD_GRAMS):
+    def __init__(self, docs: DataFrame, trains, order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS, salt_blocks: int = SALT_BLOCKS, flush: int = FLUSH):
         self.order = order
-        table = common.settle(counts(docs, order, trains), "counts")
-        self.grams = table.filter("kind = 0").select("code", F.col("trained").alias("n"))
-        self.words = table.filter("kind = 1").select("code", "trained", "total")
-        r = self.words.agg(F.sum("trained").alias("N"), F.sum(F.when(F.col("trained") > 0, 1)).alias("V")).first()
-        self.tokens, self.kinds = int(r["N"] or 0), int(r["V"] or 0)
-        # the least count whose words, with all of larger counts, are not too many; counted by ranges of counts
-        span = F.floor(F.log2("total") * 32)
-        held, least = 0, None
-        for row in self.words.groupBy(span.alias("span")).agg(F.count("*").alias("n")).orderBy(F.desc("span")).collect():  # 32 for each doubling
-            held += row["n"]
-            if held > head_words:
-                break
-            least = row["span"]
-        frequent = F.lit(False) if least is None else span >= least
-        code, trained = _arrays(self.words.filter(frequent), "code", "trained")
-        by = np.argsort(code.view(np.uint64))
-        self.head = (code.view(np.uint64)[by], trained[by])
-        self.tail = self.words.filter(~frequent).filter("trained > 0").select("code", "trained")
-        self.shards = max(1, -(-self.grams.count() // shard_grams))
-
-    def lows(self) -> ppm.Trie:
-        """Contexts of up to two bytes."""
-        low = self.grams.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.sum("n").alias("n"))
-        code, n = _arrays(low, "code", "n")
-        return ppm.Trie(code.view(np.uint64), n, min(self.order, SHARD_FROM - 1))
-
-    def shard(self, k: int, lows: ppm.Trie) -> ppm.Trie:
-        of = F.shiftright("code", 8).bitwiseAND(0xFFFFFF) % self.shards
-        code, n = _arrays(self.grams.filter(of == k), "code", "n")
-        return ppm.Trie(code.view(np.uint64), n, self.order, lows, min(SHARD_FROM, self.order + 1))
-
-    def word_log(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
-
-
-def score(docs: DataFrame, trains, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row, and whether it trained."""
-    spark = docs.sparkSession
-    common.arrow_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("train"))
-    head = spark.sparkContext.broadcast(model.head)
-    shards, order, log = model.shards, model.order, model.word_log
-    floor, tokens_n, kinds_n = float(log(np.zeros(1))[0]), model.tokens, model.kinds
-    lows = model.lows()
-
-    def scorer(trie, k: int):
-        def run(batches):
-            for batch in batches:
-                lists = [common.words_of(t) for t in batch.column(1).to_pylist()]
-                codes, sizes = ppm.gram_codes([stream(w) for w in lists], order)
-                of = np.repeat(np.arange(len(lists)), sizes)
-                if shards > 1:
-                    mine = (codes >> np.uint64(8) & np.uint64(0xFFFFFF)) % np.uint64(shards) == k
-                    codes, of = codes[mine], of[mine]
-                u, inverse = np.unique(codes, return_inverse=True)
-                bits = np.bincount(of, trie.value.log10(u)[inverse] if len(u) else None, len(lists)) if len(of) else np.zeros(len(lists))
-                n, known, base, rare = [], [], [], []
-                table, trained = head.value
-                for words in lists if k == 0 else []:
-                    keys = word_keys(words)
-                    at = ppm._find(table, keys)
-                    c = trained[at[at >= 0]]
-                    n.append(len(keys))
-                    known.append(int((c > 0).sum()))
-                    base.append(float(np.log10((c + 0.5) / (tokens_n + 0.5 * (kinds_n + 1))).sum()))
-                    rare.append(keys[at < 0].view(np.int64))
-                if k:
-                    n, known, base, rare = [0] * len(lists), [0] * len(lists), [0.0] * len(lists), [None] * len(lists)
-                arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(rare, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "train", "n_tokens", "n_known", "head_score", "score", "rare"])
-
-        return run
-
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, head_score double, score double, rare array<long>"
-    # rows keep a number of their own through the passes: the text's hash and its place
-    parts = []
-    if shards > 1:
-        rows = common.settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    for k in range(shards):
-        trie = spark.sparkContext.broadcast(model.shard(k, lows))
-        if shards == 1:
-            parts.append(rows.mapInArrow(scorer(trie, k), schema))
-        else:
-            parts.append(_with_row(rows, scorer(trie, k), schema))
-    if shards == 1:
-        scored = parts[0].withColumn("row", F.monotonically_increasing_id())
-    else:
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-        scored = scored.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "head_score", "score")], F.max("rare").alias("rare"))
-    scored = common.settle(scored, "scored")
-    tails = scored.select("row", F.explode("rare").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
-    tails = tails.join(model.tail, "code", "left")
-    c = F.coalesce("trained", F.lit(0))
-    bottom = tokens_n + 0.5 * (kinds_n + 1)
-    sums = tails.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(bottom))).alias("tail_score"))
-    out = scored.drop("rare").join(sums, "row", "left")
-    return out.select(
-        "doc_id",
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def _with_row(rows: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over rows that carry a number; it returns a row for each, in order."""
-
-    def numbered(batches):
+        self.stored = blocks(docs, trains, block_bytes)
+        found = common.settle(asked(self.stored, order, buckets, flush), "asked")
+        self.salts = max(1, -(-found.select(F.approx_count_distinct("block")).first()[0] // salt_blocks))
+        self.asked = found.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int"))
+        parts = _merged(self.asked, ["kind", "bucket", "salt"], flush)
+        if self.salts > 1:
+            parts = _merged(parts, ["kind", "bucket"], flush)
+        self.parts = common.settle(parts, "parts")
+        short = _short_contexts(self.parts, order).toArrow()  # 256^3 grams at most
+        kind, code, n = (short.column(c).to_numpy() for c in ("kind", "code", "n"))
+        told = dict(zip(code[kind == WORD].tolist(), n[kind == WORD].tolist(), strict=True))
+        self.tokens, self.kinds = told.get(0, 0), told.get(1, 0)
+        self.short = ppm.Trie(code[kind == GRAM].view(np.uint64), n[kind == GRAM], min(order, DEAL_BY - 1))
+
+
+_ANSWER = "block long, kind int, n long, codes binary, values binary"
+
+
+def answers(model: Model) -> DataFrame:
+    """For each block the value of each code: a gram's log10 probability, a word's count in training texts."""
+    shared, order = model.asked.sparkSession.sparkContext.broadcast(model.short), model.order
+    salts = F.explode(F.sequence(F.lit(0), F.lit(model.salts - 1)))
+    held = model.parts.select("kind", "bucket", salts.alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), "n", "codes", "trained")
+    wanted = model.asked.select("kind", "bucket", "salt", F.lit(1).alias("role"), "block", "n", "codes", F.lit(None).cast("binary").alias("trained"))
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def table(kind: int, codes: np.ndarray, n: np.ndarray):
+        if kind == WORD:
+            return codes, n
+        if order < DEAL_BY:
+            return shared.value
+        return ppm.Trie(codes, n, order, shared.value, DEAL_BY)
+
+    def run(batches):
+        key, own = None, None
         for batch in batches:
-            for out in run(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3)], names=[*out.schema.names, "row"])
+            rows = []
+            for kind, bucket, salt, role, block, n, codes, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = unpacked(codes, n)
+                if (kind, bucket, salt) != key:
+                    key, own = (kind, bucket, salt), table(kind, *(nothing if role else (codes, unpacked(trained, n).view(np.int64))))
+                if not role:
+                    continue
+                if kind == WORD:
+                    at = ppm._find(own[0], codes)
+                    values = np.where(at >= 0, own[1][np.maximum(at, 0)], 0).astype(float) if len(own[0]) else np.zeros(n)
+                else:
+                    values = own.log10(codes)
+                rows.append((block, kind, n, packed(codes), values.astype("<f8").tobytes()))
+            if rows:
+                yield _batch(rows, _ANSWER)
+
+    keys = ["kind", "bucket", "salt"]
+    return held.unionByName(wanted).repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(run, _ANSWER)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row that the model's blocks hold."""
+    order, tokens, bottom = model.order, model.tokens, model.tokens + 0.5 * (model.kinds + 1)
+    told = answers(model).select("block", F.lit(0).alias("role"), "kind", "n", "codes", "values", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "binary"), ("train", "boolean"))])
+    texts = model.stored.select("block", F.lit(1).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "long"), ("codes", "binary"), ("values", "binary"))], "doc_id", "text", "train")
 
-    return rows.select("doc_id", "text", "train", "row").mapInArrow(numbered, schema + ", row long")
+    def run(batches):
+        block, got, tables = None, {GRAM: [], WORD: []}, None
+        for batch in batches:
+            of, roles, kinds, n, codes, values, ids, texts, trains = (c.to_pylist() for c in batch.columns)
+            for a, b in _runs(list(zip(of, roles, strict=True))):
+                if of[a] != block:
+                    block, got, tables = of[a], {GRAM: [], WORD: []}, None
+                if not roles[a]:
+                    for i in range(a, b):
+                        got[kinds[i]].append((unpacked(codes[i], n[i]), np.frombuffer(values[i], "<f8")))
+                    continue
+                if tables is None:
+                    tables = {}
+                    for kind, parts in got.items():
+                        c = np.concatenate([p[0] for p in parts])
+                        by = np.argsort(c)
+                        tables[kind] = (c[by], np.concatenate([p[1] for p in parts])[by])
+                    got = {GRAM: [], WORD: []}
+                lists = [common.words_of(t) for t in texts[a:b]]
+                grams, sizes = ppm.gram_codes([stream(w) for w in lists], order)
+                u, inverse = np.unique(grams, return_inverse=True)
+                log = tables[GRAM][1][np.searchsorted(tables[GRAM][0], u)][inverse]
+                bits = np.bincount(np.repeat(np.arange(len(lists)), sizes), log, len(lists))
+                keys, doc = _word_keys(lists)
+                c = tables[WORD][1][np.searchsorted(tables[WORD][0], keys)]
+                base = np.bincount(doc, np.log10((c + 0.5) / bottom), len(lists))
+                known = np.bincount(doc, c > 0, len(lists)).astype(np.int64)
+                m = [len(w) + 1 for w in lists]
+                rows = list(zip(ids[a:b], [not t for t in trains[a:b]], m, known.tolist(), [tokens] * len(m), base.tolist(), bits.tolist(), strict=True))
+                yield _batch(rows, _SCORED)
+
+    return told.unionByName(texts).repartition("block").sortWithinPartitions("block", "role").mapInArrow(run, _SCORED)
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[f[1]]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    trains = ~common.in_fold("doc_id", FOLDS, HELD_OUT)
-    return score(docs, trains, Model(docs, trains))
+    return score(Model(docs, ~common.in_fold("doc_id", FOLDS, HELD_OUT)))

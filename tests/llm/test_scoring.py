@@ -20,8 +20,11 @@ class PlainPpm:
         for s in streams:
             padded = b"\n" * order + s
             for i in range(order, len(padded)):
-                for k in range(order + 1):
-                    self.counts[k][padded[i - k : i]][padded[i]] += 1
+                self.counts[order][padded[i - order : i]][padded[i]] += 1
+        for k in range(order - 1, -1, -1):  # a short context learns a symbol once for each longer context that has it
+            for context, seen in self.counts[k + 1].items():
+                for symbol in seen:
+                    self.counts[k][context[1:]][symbol] += 1
 
     def log10(self, stream):
         total, padded = 0.0, b"\n" * self.order + stream
@@ -86,34 +89,38 @@ def test_same_as_plain_counting(spark):
     docs = corpus()
     df = spark.createDataFrame([(d, t, 0.0, 1) for d, t in docs], DOCS).repartition(3)
     trains = ~common.in_fold("doc_id", 5, 1)
-    want = expected(docs, 4)
-    for options in ({}, {"head_words": 5, "shard_grams": 150}, {"head_words": 0}):
-        model = scoring.Model(df, trains, order=4, **options)
-        assert options.get("shard_grams") is None or model.shards > 3
-        got = scoring.score(df, trains, model).collect()
-        assert len(got) == len(docs)
-        for r in got:
-            w = want[r["doc_id"]]
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4]
-            assert abs(r["base_score"] - w[4]) < 1e-6 and abs(r["score"] - w[5]) < 1e-6
-
-
-def test_flushes_lose_nothing(spark, monkeypatch):
-    docs = corpus(40)
-    df = spark.createDataFrame([(d, t, 0.0, 1) for d, t in docs], DOCS)
-    trains = ~common.in_fold("doc_id", 5, 1)
-    one = {tuple(r) for r in scoring.counts(df, 3, trains).collect()}
-    monkeypatch.setattr(scoring, "FLUSH", 50)
-    common.arrow_batches(spark, 4)
-    assert {tuple(r) for r in scoring.counts(df, 3, trains).collect()} == one
+    for order in (4, 2):
+        want = expected(docs, order)
+        for options in ({}, {"block_bytes": 300, "buckets": 7, "salt_blocks": 2, "flush": 50}):
+            common.arrow_batches(spark, 7 if options else 256)
+            model = scoring.Model(df, trains, order=order, **options)
+            assert (model.salts > 2) == bool(options)
+            got = scoring.score(model).collect()
+            assert len(got) == len(docs)
+            for r in got:
+                w = want[r["doc_id"]]
+                assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4]
+                assert abs(r["base_score"] - w[4]) < 1e-6 and abs(r["score"] - w[5]) < 1e-6
+
+
+def test_packing_integers():
+    for values in ([], [0], [1, 255, 256], [2**64 - 1, 0, 3], list(range(1000))):
+        x = np.array(values, np.uint64)
+        assert (scoring.unpacked(scoring.packed(x), len(x)) == x).all()
 
 
 def test_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     trains = ~common.in_fold("doc_id", 5, 1)
-    assert scoring.score(empty, trains, scoring.Model(empty, trains)).count() == 0
+    assert scoring.score(scoring.Model(empty, trains)).count() == 0
     df = spark.createDataFrame([(1, "a b", 0.0, 0), (1, "a b", 0.0, 0), (2, "x " * 50_000, 0.0, 0)], DOCS)
-    got = scoring.score(df, F.lit(False), scoring.Model(df, F.lit(False))).collect()  # nothing trains
+    got = scoring.score(scoring.Model(df, F.lit(False))).collect()  # nothing trains
     assert len(got) == 3 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
     # without training every byte is as likely as another
     assert abs(min(r["score"] for r in got) + 100_000 * math.log10(256)) < 1e-3
+
+
+def test_trained_by_one_text(spark):
+    df = spark.createDataFrame([(2, "one two", 0.0, 0)] * 3, DOCS)
+    rows = scoring.score(scoring.Model(df, F.lit(True))).collect()
+    assert len(rows) == 3 and {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows} == {(3, 3, 9)}
