@@ -1,30 +1,36 @@
 """Line dedup by a suffix array over line-ID sequences, with DataFrame functions only.
 
 The corpus is the sequence of its documents' lines (by doc_id; blank lines are
-passed over, and no run crosses documents). Prefix doubling gives every suffix
-its rank by its first 1, 2, 4, ... lines; suffixes of one rank are an interval of
-the suffix array whose longest common prefix is at least that many lines. Only
-suffixes that share their rank go on, so each round is smaller than the last.
-
-A maximal repeated run is what is left of overlapping common prefixes. A line is
-deleted if some run of lines around it, of MIN_WORDS words at least, occurs
-earlier in the corpus. It is enough to look at the shortest such runs that start
-and that end at each line: they cover the same lines, have at most MIN_WORDS
-lines, and two ranks, at the start and at the end, say whether two are equal.
+passed over, and no run crosses documents). Prefix doubling gives every suffix its
+rank by its first 1, 2, 4, ... lines, until no ranks are shared: suffixes of one
+rank are an interval of the suffix array whose longest common prefix is at least
+that many lines. Only suffixes that share their rank go on, so each round is
+smaller than the last.
+
+Between the doubled lengths the intervals are split by bisection: at depth m the
+members of an interval are told apart by the rank of what follows m lines on. Of
+each part that shares more, the earliest member stands for the part in the
+shallower interval, and the others go on inside the part. This finds, for every
+suffix, the deepest interval in which an earlier suffix lies: its longest common
+prefix with anything earlier, hence the longest run of lines from there on that is
+a later copy. Runs that do not lie inside the run of the line before are the
+maximal repeated runs; the lines of those of MIN_WORDS words or more are deleted.
 
 Lines are equal if they are once spaces, tabs and carriage returns around them are
-taken away. Ranks count rows in two levels, so a line that a third of all
-documents have is no single task's work.
+taken away. Ranks count rows in two levels, and a rank's ranges are summed in one
+row, so a line that a third of all documents have is no single task's work; joins
+on ranks are plain equi-joins, which the skew join splits.
 
 Defined results: a null or empty text has no lines and stays as it is; a null
 doc_id comes first; rows that repeat doc_id and text are one document, and each is
 edited alike; documents of one doc_id and other texts are ordered by a hash of
-the text; an empty table gives no rows; other columns pass through.
+the text; an empty table gives no rows; a very long text is many lines of one
+document; other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,10 +38,8 @@ from chronofold.llm import common
 
 MIN_WORDS = 25
 WORD = r"[^\\x20\\x09-\\x0D]+"
-#: Ranks are counted within so many ranges first.
-RANGES = 1024
-#: Tasks among which the places of one run are dealt.
-SALTS = 16
+#: Ranks are counted within so many ranges first: of all lines, and of one rank's suffixes.
+LINE_RANGES, RANGES = 1 << 14, 1024
 
 _AT = ["d", "th"]
 
@@ -49,85 +53,105 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return one.select(*_AT, "i", F.col("s.ln").alias("ln"), *ids, F.expr(f"regexp_count(s.line, '{WORD}')").alias("w"))
 
 
-def _before(groups: DataFrame, within: list[str], span, order: list[str]):
-    """``groups`` (rows with a count n) with ``before``: the sum of n of those before it in ``order``.
+def _line_ranks(classes: DataFrame) -> DataFrame:
+    """``classes`` (h1, h2, n, first) with ``rank``: the lines before each in the order of line IDs. Sums over ranges, then inside them."""
+    ranged = classes.withColumn("range", F.shiftright("h1", 64 - LINE_RANGES.bit_length() + 1))
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("in_range"))  # LINE_RANGES rows at most
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("in_range").over(earlier), F.lit(0))).drop("in_range")
+    inside = Window.partitionBy("range").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return inner.join(sums, "range").select("h1", "h2", "first", (F.col("before") + F.col("inside")).alias("rank"))
+
+
+def _refined(children: DataFrame, width: int) -> DataFrame:
+    """``children`` (rank, next, n, first) with ``refined``: the rank plus the suffixes of that rank with a smaller next.
 
-    Sums first over ranges (``span`` names a row's range, RANGES at most for each key
-    of ``within``) and then inside them, so no window holds all groups of a hot key.
+    ``next`` falls into RANGES ranges of ``width``; a rank's sums over its ranges are
+    one row, so no window holds all children of a hot rank.
     """
-    ranged = groups.withColumn("range", span)
-    sums = ranged.groupBy(*within, "range").agg(F.sum("n").alias("in_range"))
-    earlier = Window.partitionBy(*within).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ranges_before", F.coalesce(F.sum("in_range").over(earlier), F.lit(0))).drop("in_range")
-    inside = Window.partitionBy(*within, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = children.withColumn("range", F.expr(f"next div {width}"))
+    sums = ranged.groupBy("rank", "range").agg(F.sum("n").alias("in_range"))
+    sums = sums.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("range", "in_range"))).alias("parts"))  # RANGES entries at most
+    before = "inline(transform(parts, (p, j) -> named_struct('range', p.range, 'before', aggregate(slice(parts, 1, j), 0L, (a, x) -> a + x.in_range))))"
+    inside = Window.partitionBy("rank", "range").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return inner.join(sums, [*within, "range"]).withColumn("before", F.col("ranges_before") + F.col("inside")).drop("range", "ranges_before", "inside")
-
-
-def suffix_ranks(lines: DataFrame, rounds: int) -> list[DataFrame]:
-    """For k = 0, 1, ...: d, th, i, rank of the suffixes that share their first 2^k lines with another."""
-    classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-    span = F.shiftright("h1", 54) + F.lit(RANGES // 2)
-    classes = _before(classes.withColumn("all", F.lit(0)), ["all"], span, ["h1", "h2"]).select("h1", "h2", F.col("before").alias("rank"))
-    levels = [common.settle(lines.join(classes, ["h1", "h2"]).select(*_AT, "i", "ln", "w", "rank"), "ranks")]
-    size = levels[0].count()
-    for k in range(rounds):
-        if not size:
-            break
-        now = levels[-1].select(*_AT, "i", "rank")
-        after = now.select(*_AT, (F.col("i") - (1 << k)).alias("i"), F.col("rank").alias("next"))
-        pairs = common.settle(now.join(after, [*_AT, "i"]), "pairs")
-        repeated = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1")
-        width = max(1, -(-size // RANGES))
-        ranked = _before(repeated, ["rank"], F.expr(f"next div {width}"), ["next"]).withColumn("refined", F.col("rank") + F.col("before")).select("rank", "next", "refined")
-        levels.append(common.settle(pairs.join(ranked, ["rank", "next"]).select(*_AT, "i", F.col("refined").alias("rank")), "ranks"))
-        if levels[-1].isEmpty():
-            break
-    return levels
+    return inner.join(sums.select("rank", F.expr(before)), ["rank", "range"]).select("rank", "next", "first", (F.col("rank") + F.col("before") + F.col("inside")).alias("refined"))
 
 
-def shortest_runs(shared: DataFrame, min_words: int) -> DataFrame:
-    """d, th, start, length of the shortest runs of shared lines with ``min_words`` words, from each start and to each end."""
-    in_doc = Window.partitionBy(*_AT).orderBy("i")
-    block = shared.withColumn("block", F.col("i") - F.row_number().over(in_doc))
-    along = Window.partitionBy(*_AT, "block").orderBy("i")
-
-    def length(window, back: bool):
-        counts = F.collect_list("w").over(window)
-        counts = F.reverse(counts) if back else counts
-        start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
+def _place() -> Column:
+    return F.struct(*_AT, "i")
 
-        def add(acc, x):
-            return F.when(acc["s"] < min_words, F.struct((acc["s"] + x).cast("long").alias("s"), (acc["n"] + 1).alias("n"))).otherwise(acc)
 
-        return F.aggregate(counts, start, add, lambda acc: F.when(acc["s"] >= min_words, acc["n"]))
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: d, th, i, rank, first of the suffixes that share their first 2^k lines with another.
 
-    runs = block.select(*_AT, "i", length(along.rowsBetween(0, min_words - 1), False).alias("ahead"), length(along.rowsBetween(-(min_words - 1), 0), True).alias("back"))
-    ahead = runs.filter("ahead is not null").select(*_AT, F.col("i").alias("start"), F.col("ahead").alias("length"))
-    back = runs.filter("back is not null").select(*_AT, (F.col("i") - F.col("back") + 1).alias("start"), F.col("back").alias("length"))
-    return ahead.unionByName(back).distinct()
+    ``first`` is the earliest place of the suffixes of that rank. Level 0 also has ln and w.
+    """
+    classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
+    ranked = _line_ranks(common.settle(classes, "lines"))
+    levels = [common.settle(lines.join(ranked, ["h1", "h2"]).select(*_AT, "i", "ln", "w", "rank", "first"), "ranks")]
+    width = max(1, -(-levels[0].count() // RANGES))
+    while True:
+        now = levels[-1].select(*_AT, "i", "rank")
+        after = now.select(*_AT, (F.col("i") - (1 << len(levels) - 1)).alias("i"), F.col("rank").alias("next"))
+        pairs = common.settle(now.join(after, [*_AT, "i"]), "pairs")
+        shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
+        shared = common.settle(shared, "children")
+        if shared.isEmpty():
+            return levels
+        found = pairs.join(_refined(shared, width), ["rank", "next"]).select(*_AT, "i", F.col("refined").alias("rank"), "first")
+        levels.append(common.settle(found, "ranks"))
+        common.unsettle(pairs)
+        common.unsettle(shared)
+
+
+def later_runs(levels: list[DataFrame]) -> DataFrame:
+    """d, th, i, length of every suffix with a longest common prefix of ``length`` lines with an earlier one."""
+    is_later = _place() > F.col("first")
+
+    def of_level(k: int) -> DataFrame:
+        """The members of the intervals of depth 2^k that are the earliest of theirs, or alone, at twice that depth."""
+        own = levels[k]
+        if k + 1 < len(levels):
+            own = own.join(levels[k + 1].filter(is_later).select(*_AT, "i"), [*_AT, "i"], "left_anti")
+        return own.select(*_AT, "i", F.lit(1 << k).alias("m"), F.col("first").alias("node"), is_later.alias("seeks"))
+
+    done = [of_level(0).filter("seeks")]
+    held: DataFrame | None = None
+    for j in range(len(levels) - 2, -1, -1):  # the bit of the depth that is settled in this round
+        members = of_level(j + 1) if held is None else held.unionByName(of_level(j + 1))
+        follows = levels[j].select(*_AT, F.col("i").alias("__i"), F.col("rank").alias("next"))
+        told = members.withColumn("__i", F.col("i") + F.col("m")).join(follows, [*_AT, "__i"], "left").drop("__i")
+        told = common.settle(told, "members")
+        parts = told.filter("next is not null").groupBy("m", "node", "next").agg(F.min(_place()).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        told = told.filter("next is null").withColumn("lead", F.lit(None).cast(parts.schema["lead"].dataType)).unionByName(told.filter("next is not null").join(parts, ["m", "node", "next"], "left"), True)
+        here = F.struct("m", "node", "seeks")
+        inside = F.struct((F.col("m") + (1 << j)).alias("m"), F.col("lead").alias("node"), (_place() > F.col("lead")).alias("seeks"))
+        go_on = F.when(F.col("lead").isNull(), F.array(here)).when(_place() > F.col("lead"), F.array(inside)).otherwise(F.array(here, inside))
+        old, held = held, common.settle(told.select(*_AT, "i", F.explode(go_on).alias("e")).select(*_AT, "i", "e.*"), "intervals")
+        if old is not None:
+            common.unsettle(old)
+    if held is not None:
+        done.append(held.filter("seeks"))
+    out = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+    return out.select(*_AT, "i", F.col("m").alias("length"))
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th, ln of the lines to delete."""
     lines = lines_of(docs).distinct()  # rows that repeat a document are one
-    levels = suffix_ranks(lines, (min_words).bit_length() - 1)
-    runs = common.settle(shortest_runs(levels[0], min_words).withColumn("k", F.length(F.bin("length")) - 1), "runs")
-    ranks = levels[0].select(*_AT, "i", "rank", F.lit(0).alias("k"))
-    for k, level in enumerate(levels[1:], 1):
-        ranks = ranks.unionByName(level.select(*_AT, "i", "rank", F.lit(k).alias("k")))
-    first = ranks.select(*_AT, "k", F.col("i").alias("start"), F.col("rank").alias("rank_start"))
-    last = ranks.select(*_AT, "k", F.col("i").alias("end"), F.col("rank").alias("rank_end"))
-    named = runs.join(first, [*_AT, "k", "start"]).withColumn("end", F.expr("start + length - shiftleft(1, k)").cast("int")).join(last, [*_AT, "k", "end"])
-    # a run that very many documents have meets its first place in SALTS tasks
-    salt = F.pmod(F.xxhash64(*_AT, "start"), F.lit(SALTS))
-    named = common.settle(named.select(*_AT, "start", "length", "rank_start", "rank_end", F.struct(*_AT, "start").alias("at"), salt.alias("salt")), "named")
-    same = ["length", "rank_start", "rank_end"]
-    earliest = named.groupBy(*same).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select(*same, "first")
-    earliest = earliest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    late = named.join(earliest, [*same, "salt"]).filter(F.col("at") > F.col("first"))
-    covered = late.select(*_AT, F.explode(F.expr("sequence(start, start + length - 1)")).alias("i")).distinct()
-    return covered.join(levels[0].select(*_AT, "i", "ln"), [*_AT, "i"]).select(*_AT, "ln")
+    levels = suffix_ranks(lines)
+    in_doc = Window.partitionBy(*_AT).orderBy("i")
+    shared = levels[0].select(*_AT, "i", "ln", "w").withColumn("upto", F.sum("w").over(in_doc))  # a run's lines are all shared
+    runs = later_runs(levels).withColumn("end", F.col("i") + F.col("length"))
+    maximal = runs.withColumn("prev", F.lag("end").over(in_doc)).filter("prev is null or end > prev")
+    starts = maximal.join(shared.select(*_AT, "i", (F.col("upto") - F.col("w")).alias("until")), [*_AT, "i"]).select(*_AT, "i", "end", "until")
+    ends = shared.select(*_AT, (F.col("i") + 1).alias("end"), "upto")
+    long = common.settle(starts.join(ends, [*_AT, "end"]).filter(F.col("upto") - F.col("until") >= min_words).select(*_AT, "i", "end"), "runs")
+    reach = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
+    few = levels[0].select(*_AT, "i", "ln").join(long.select(*_AT).distinct(), _AT, "left_semi")
+    return few.join(long, [*_AT, "i"], "left").withColumn("reach", reach).filter("reach > i").select(*_AT, "ln")
 
 
 def _with_marks(docs: DataFrame, min_words: int) -> DataFrame:
@@ -173,21 +197,12 @@ WITH cut AS (
   SELECT doc_id, ln, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w,
          row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS i
   FROM line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
-), summed AS (
-  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM full_line
-), doc_lines AS (
-  SELECT doc_id, list(line ORDER BY i) AS lines FROM full_line GROUP BY doc_id
-), ahead AS (
-  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM summed a JOIN summed b
-  ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + {MIN_WORDS} AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY 1, 2
-), back AS (
-  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM summed a JOIN summed b
-  ON a.doc_id = b.doc_id AND a.i <= b.i AND a.i > b.i - {MIN_WORDS} AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY 1, 3
-), runs AS (
-  SELECT r.doc_id, r.s, r.e, list_slice(d.lines, r.s + 1, r.e + 1) AS run
-  FROM (SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back) r JOIN doc_lines d USING (doc_id)
+), pairs AS (
+  SELECT b.doc_id AS doc_id, a.doc_id AS other, b.i AS i, a.i AS j, b.w AS w,
+         b.i - row_number() OVER (PARTITION BY b.doc_id, a.doc_id, b.i - a.i ORDER BY b.i) AS island
+  FROM full_line a JOIN full_line b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))
 ), late AS (
-  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM runs) WHERE nth > 1
+  SELECT doc_id, min(i) AS s, max(i) AS e FROM pairs GROUP BY doc_id, other, i - j, island HAVING sum(w) >= {MIN_WORDS}
 ), gone AS (
   SELECT DISTINCT f.doc_id, f.ln FROM full_line f JOIN late l ON f.doc_id = l.doc_id AND f.i BETWEEN l.s AND l.e
 ), left_over AS (
