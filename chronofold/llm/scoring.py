@@ -5,7 +5,7 @@ each once: its byte grams and the hashes of its words. The trie and the word cou
 are one table, dealt into BUCKETS by the last three bytes of a gram's context (so
 all longer contexts of a position lie in one bucket) and by the hash of a word.
 
-    blocks -> asked (bucket, block, codes and training counts)
+    corpus -> blocks (packed texts) and what they ask (bucket, block, codes, training counts)
            -> parts (bucket, codes, counts): the model
            -> answers (block, codes, values), where a bucket's part meets what was asked of it
            -> scores, where a block's answers meet its texts
@@ -14,25 +14,29 @@ Only contexts of up to two bytes go through the driver (at most 256^3 grams, how
 much is read). A task holds one bucket's part and streams past it what was asked;
 then one block's answers, and streams past them the block's texts. What many blocks
 ask of one bucket is dealt among salts of SALT_BLOCKS blocks. The corpus is read
-once to store the blocks, and the stored blocks twice, whatever the number of grams.
+once, whatever the number of grams; blocks are a table, so a task that runs again
+reads the same ones.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 not in the held-out fold and trains; rows that repeat count and are scored once
 each; an empty table gives no rows; without training rows every count is 0; other
-columns are not read; a very long text is one row of its block.
+columns are not read; a very long text is counted and scored in stretches of CHUNK bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import common, ppm
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of texts that are coded, or packed, at once.
+CHUNK = 2 << 20
 BUCKETS = 512
 #: Blocks whose questions to one bucket are one task's.
 SALT_BLOCKS = 1024
@@ -43,7 +47,9 @@ FLUSH = 3_000_000
 #: Stands for the end token among word hashes.
 END = np.uint64(0x656E64)
 FOLDS, HELD_OUT = 5, 1
-GRAM, WORD = 0, 1
+GRAM, WORD, TEXT = 0, 1, 2
+#: Answers are whole multiples of this part of log10: 5 bytes hold them, and a sum of a million is right to 1e-4.
+STEP = 2.0**-33
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -80,35 +86,43 @@ def _word_keys(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.concatenate([np.repeat(np.arange(len(lists)), [len(w) for w in lists]), np.arange(len(lists))])
 
 
-def blocks(docs: DataFrame, trains, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows with the number of the block each lies in, settled: neighbours in the input share a block."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("train"))
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    most = max(1, int(n * block_bytes / max(size, 1)))  # rows of mean length that make a block
-    at = F.monotonically_increasing_id()
-    inside = F.floor(at.bitwiseAND((1 << 33) - 1) / F.lit(most))
-    return common.settle(rows.withColumn("block", F.shiftright(at, 33) * F.lit(1 << 33) + inside), "blocks")
+def _chunks(streams: list[bytes], most: int) -> list[tuple[int, int]]:
+    """(first, end) of neighbours of ``most`` bytes together, or one longer stream."""
+    out, first, held = [], 0, 0
+    for i, s in enumerate(streams):
+        if i > first and held + len(s) > most:
+            out.append((first, i))
+            first, held = i, 0
+        held += len(s)
+    return out + [(first, len(streams))] * (len(streams) > first)
 
 
-def _runs(values: list) -> list[tuple[int, int]]:
-    """(first, end) of each run of equal values."""
-    cuts = [0] + [i for i in range(1, len(values)) if values[i] != values[i - 1]] + [len(values)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+def gram_parts(streams: list[bytes], order: int, most: int = CHUNK):
+    """(streams' places, codes) of all positions, about ``most`` at a time; a longer stream comes in several parts."""
+    for a, b in _chunks(streams, most):
+        if b - a == 1 and len(streams[a]) > most:
+            s = b"\n" * order + streams[a]
+            for at in range(0, len(streams[a]), most):
+                codes = ppm.gram_codes([s[at : at + most + order]], order)[0][order:]  # the first have the piece's own context
+                yield np.full(len(codes), a), codes
+        else:
+            codes, sizes = ppm.gram_codes(streams[a:b], order)
+            yield np.repeat(np.arange(a, b), sizes), codes
 
 
-_ASKED = "kind int, bucket int, block long, n long, codes binary, trained binary"
+_BLOCK = "kind int, bucket int, block long, n long, codes binary, trained binary, ids array<long>, train array<boolean>, sizes array<long>"
 
 
-def asked(stored: DataFrame, order: int, buckets: int, flush: int = FLUSH) -> DataFrame:
-    """For each block and bucket the distinct codes that the block holds, with their counts in its training texts.
+def blocks(docs: DataFrame, trains, order: int, buckets: int, block_bytes: int = BLOCK_BYTES, flush: int = FLUSH, chunk: int = CHUNK) -> DataFrame:
+    """The corpus in blocks: packed texts (TEXT), and for each block and bucket the distinct codes (GRAM, WORD) with their training counts.
 
-    A block may come in several parts (it lies in two files, or holds more than ``flush`` codes).
+    A task closes a block at ``block_bytes`` of texts or ``flush`` distinct codes.
     """
-    common.arrow_batches(stored.sparkSession)
+    common.arrow_batches(docs.sparkSession)
 
     def run(batches):
         held: dict[int, list] = {GRAM: [], WORD: []}
-        block, pending = None, 0
+        block, pending, size = TaskContext.get().partitionId() << 32, 0, 0
 
         def merge():
             for kind, parts in held.items():
@@ -128,33 +142,36 @@ def asked(stored: DataFrame, order: int, buckets: int, flush: int = FLUSH) -> Da
                 codes, n, bucket = codes[by], n[by], bucket[by]
                 ends = np.searchsorted(bucket, np.arange(buckets), "right")
                 starts = np.concatenate([[0], ends[:-1]])
-                rows += [(kind, b, block, int(e - s), packed(codes[s:e]), packed(n[s:e].view(np.uint64))) for b, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s]
+                rows += [(kind, b, block, int(e - s), packed(codes[s:e]), packed(n[s:e].view(np.uint64)), None, None, None) for b, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s]
                 held[kind] = []
             for i in range(0, len(rows), 256):
-                yield _batch(rows[i : i + 256], _ASKED)
+                yield _batch(rows[i : i + 256], _BLOCK)
 
         for batch in batches:
-            texts, trains, of = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).to_pylist()
-            for a, b in _runs(of):
-                if of[a] != block:
-                    yield from emit()
-                    block, pending = of[a], 0
-                lists, train = [common.words_of(t) for t in texts[a:b]], trains[a:b]
-                for own, counts in ((train, True), (~train, False)):
-                    streams = [stream(w) for w, t in zip(lists, own, strict=True) if t]
-                    codes, n = np.unique(ppm.gram_codes(streams, order)[0], return_counts=True)
-                    held[GRAM].append((codes, n.astype(np.int64) * counts))
-                    keys, n = np.unique(_word_keys([w for w, t in zip(lists, own, strict=True) if t])[0], return_counts=True)
-                    held[WORD].append((keys, n.astype(np.int64) * counts))
-                    pending += len(codes) + len(keys)
+            ids, texts, train = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            streams = [stream(common.words_of(t)) for t in texts]
+            for a, b in _chunks(streams, chunk):
+                for flag in (True, False):
+                    own = [s for s, t in zip(streams[a:b], train[a:b], strict=True) if t == flag]
+                    for _, codes in gram_parts(own, order, chunk):
+                        u, n = np.unique(codes, return_counts=True)
+                        held[GRAM].append((u, n.astype(np.int64) * flag))
+                        pending += len(u)
+                    u, n = np.unique(_word_keys([s.split() for s in own])[0], return_counts=True)
+                    held[WORD].append((u, n.astype(np.int64) * flag))
+                    pending += len(u)
+                joined = b"".join(streams[a:b])
+                size += len(joined)
+                yield _batch([(TEXT, 0, block, len(joined), pa.compress(joined, "zstd", asbytes=True), None, ids[a:b], train[a:b], [len(s) for s in streams[a:b]])], _BLOCK)
                 if pending > flush:
                     pending = merge()
-                    if pending > flush // 2:
-                        yield from emit()
-                        pending = 0
+                if pending > flush or size > block_bytes:
+                    yield from emit()
+                    block, pending, size = block + 1, 0, 0
         yield from emit()
 
-    return stored.select("text", "train", "block").mapInArrow(run, _ASKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("train"))
+    return rows.mapInArrow(run, _BLOCK)
 
 
 _PART = "kind int, bucket int, n long, codes binary, trained binary"
@@ -215,10 +232,10 @@ def _short_contexts(parts: DataFrame, order: int) -> DataFrame:
 class Model:
     """The stored blocks, what they ask, and the partitioned trie and word counts."""
 
-    def __init__(self, docs: DataFrame, trains, order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS, salt_blocks: int = SALT_BLOCKS, flush: int = FLUSH):
-        self.order = order
-        self.stored = blocks(docs, trains, block_bytes)
-        found = common.settle(asked(self.stored, order, buckets, flush), "asked")
+    def __init__(self, docs: DataFrame, trains, order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS, salt_blocks: int = SALT_BLOCKS, flush: int = FLUSH, chunk: int = CHUNK):
+        self.order, self.chunk = order, chunk
+        stored = common.settle(blocks(docs, trains, order, buckets, block_bytes, flush, chunk), "blocks")
+        self.texts, found = stored.filter(F.col("kind") == TEXT), stored.filter(F.col("kind") != TEXT)
         self.salts = max(1, -(-found.select(F.approx_count_distinct("block")).first()[0] // salt_blocks))
         self.asked = found.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int"))
         parts = _merged(self.asked, ["kind", "bucket", "salt"], flush)
@@ -236,7 +253,7 @@ _ANSWER = "block long, kind int, n long, codes binary, values binary"
 
 
 def answers(model: Model) -> DataFrame:
-    """For each block the value of each code: a gram's log10 probability, a word's count in training texts."""
+    """For each block the value of each code: a gram's log10 probability in steps of -STEP, a word's count in training texts."""
     shared, order = model.asked.sparkSession.sparkContext.broadcast(model.short), model.order
     salts = F.explode(F.sequence(F.lit(0), F.lit(model.salts - 1)))
     held = model.parts.select("kind", "bucket", salts.alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), "n", "codes", "trained")
@@ -262,10 +279,10 @@ def answers(model: Model) -> DataFrame:
                     continue
                 if kind == WORD:
                     at = ppm._find(own[0], codes)
-                    values = np.where(at >= 0, own[1][np.maximum(at, 0)], 0).astype(float) if len(own[0]) else np.zeros(n)
+                    values = np.where(at >= 0, own[1][np.maximum(at, 0)], 0) if len(own[0]) else np.zeros(n, np.int64)
                 else:
-                    values = own.log10(codes)
-                rows.append((block, kind, n, packed(codes), values.astype("<f8").tobytes()))
+                    values = np.rint(own.log10(codes) / -STEP)
+                rows.append((block, kind, n, packed(codes), packed(values.astype(np.uint64))))
             if rows:
                 yield _batch(rows, _ANSWER)
 
@@ -278,45 +295,45 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def score(model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row that the model's blocks hold."""
-    order, tokens, bottom = model.order, model.tokens, model.tokens + 0.5 * (model.kinds + 1)
-    told = answers(model).select("block", F.lit(0).alias("role"), "kind", "n", "codes", "values", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "binary"), ("train", "boolean"))])
-    texts = model.stored.select("block", F.lit(1).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "long"), ("codes", "binary"), ("values", "binary"))], "doc_id", "text", "train")
+    order, chunk, tokens, bottom = model.order, model.chunk, model.tokens, model.tokens + 0.5 * (model.kinds + 1)
+    both = answers(model).unionByName(model.texts.select("block", "kind", "n", "codes", "ids", "train", "sizes"), True)
 
     def run(batches):
         block, got, tables = None, {GRAM: [], WORD: []}, None
         for batch in batches:
-            of, roles, kinds, n, codes, values, ids, texts, trains = (c.to_pylist() for c in batch.columns)
-            for a, b in _runs(list(zip(of, roles, strict=True))):
-                if of[a] != block:
-                    block, got, tables = of[a], {GRAM: [], WORD: []}, None
-                if not roles[a]:
-                    for i in range(a, b):
-                        got[kinds[i]].append((unpacked(codes[i], n[i]), np.frombuffer(values[i], "<f8")))
+            for of, kind, n, codes, values, ids, train, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != block:
+                    block, got, tables = of, {GRAM: [], WORD: []}, None
+                if kind != TEXT:
+                    got[kind].append((unpacked(codes, n), unpacked(values, n)))
                     continue
                 if tables is None:
                     tables = {}
-                    for kind, parts in got.items():
+                    for k, parts in got.items():
                         c = np.concatenate([p[0] for p in parts])
                         by = np.argsort(c)
-                        tables[kind] = (c[by], np.concatenate([p[1] for p in parts])[by])
+                        tables[k] = (c[by], np.concatenate([p[1] for p in parts])[by])
                     got = {GRAM: [], WORD: []}
-                lists = [common.words_of(t) for t in texts[a:b]]
-                grams, sizes = ppm.gram_codes([stream(w) for w in lists], order)
-                u, inverse = np.unique(grams, return_inverse=True)
-                log = tables[GRAM][1][np.searchsorted(tables[GRAM][0], u)][inverse]
-                bits = np.bincount(np.repeat(np.arange(len(lists)), sizes), log, len(lists))
+                ends = np.cumsum(sizes)
+                joined = pa.decompress(codes, n, "zstd", asbytes=True)
+                streams = [joined[e - s : e] for e, s in zip(ends.tolist(), sizes, strict=True)]
+                lists = [s.split() for s in streams]
+                bits = np.zeros(len(lists))
+                for doc, grams in gram_parts(streams, order, chunk):
+                    u, inverse = np.unique(grams, return_inverse=True)
+                    bits -= np.bincount(doc, (tables[GRAM][1][np.searchsorted(tables[GRAM][0], u)] * STEP)[inverse], len(lists))
                 keys, doc = _word_keys(lists)
-                c = tables[WORD][1][np.searchsorted(tables[WORD][0], keys)]
+                c = tables[WORD][1][np.searchsorted(tables[WORD][0], keys)].astype(float)
                 base = np.bincount(doc, np.log10((c + 0.5) / bottom), len(lists))
                 known = np.bincount(doc, c > 0, len(lists)).astype(np.int64)
                 m = [len(w) + 1 for w in lists]
-                rows = list(zip(ids[a:b], [not t for t in trains[a:b]], m, known.tolist(), [tokens] * len(m), base.tolist(), bits.tolist(), strict=True))
-                yield _batch(rows, _SCORED)
+                yield _batch(list(zip(ids, [not t for t in train], m, known.tolist(), [tokens] * len(m), base.tolist(), bits.tolist(), strict=True)), _SCORED)
 
-    return told.unionByName(texts).repartition("block").sortWithinPartitions("block", "role").mapInArrow(run, _SCORED)
+    ready = both.select("block", "kind", "n", "codes", "values", "ids", "train", "sizes").repartition("block")
+    return ready.sortWithinPartitions("block", "kind").mapInArrow(run, _SCORED)  # texts come after answers
 
 
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:

@@ -91,8 +91,7 @@ def test_same_as_plain_counting(spark):
     trains = ~common.in_fold("doc_id", 5, 1)
     for order in (4, 2):
         want = expected(docs, order)
-        for options in ({}, {"block_bytes": 300, "buckets": 7, "salt_blocks": 2, "flush": 50}):
-            common.arrow_batches(spark, 7 if options else 256)
+        for options in ({}, {"block_bytes": 300, "buckets": 7, "salt_blocks": 2, "flush": 50, "chunk": 90}):
             model = scoring.Model(df, trains, order=order, **options)
             assert (model.salts > 2) == bool(options)
             got = scoring.score(model).collect()
