@@ -4,18 +4,31 @@ A document holds an item if some window of as many words as the item (the whole
 document, if it is shorter) has a weighted Jaccard similarity of at least 0.75
 with it over five-word shingles, weighted by how often each occurs.
 
-Windows are found in three steps, none of which loses a match by itself: at that
-similarity three quarters of a window's shingles are benchmark shingles, so only
-such windows get a fingerprint; fingerprints within RADIUS bits of an item's are
-found through BLOCKS tables, as some block of theirs differs by at most
-RADIUS // BLOCKS bits; and the exact similarity decides. RADIUS is where a window
-at the threshold has a fingerprint farther off with probability 5e-5.
-
-The benchmark is held by every task, at most ITEMS at a time: more items are more
-passes over the documents. Defined results: documents or items without words
-match nothing; items of fewer than five words are one shingle; a null doc_id or
-item_id is reported as null; rows that repeat are each reported; other columns
-of documents pass through `decontaminated`.
+Windows are found in steps, none of which loses a match but the fingerprints' radius:
+
+1. At that similarity three quarters of a window's shingles are benchmark shingles;
+   other windows get no fingerprint. This cuts nearly all windows of clean texts.
+2. A window and an item of n shingles share t = ceil(2 n * 0.75 / 1.75) of them at
+   least, so one of the window's first n - t + 1 is the item's: only items listed
+   under those shingles are probed. This cuts the pairs to items that have text
+   in common; a pair list is made PAIRS at a time.
+3. The multi-index: fingerprints of BITS bits are compared in BLOCKS blocks, and a
+   pair goes on if some block differs by at most NEAR bits. As BLOCKS * (NEAR + 1)
+   is above RADIUS, every pair within RADIUS has such a block; about 27 of 100
+   random pairs do. The whole fingerprints then decide on RADIUS.
+4. The exact similarity decides.
+
+RADIUS is where a window at the threshold has a fingerprint farther off with
+probability 7e-5. Windows and items of other sizes (documents shorter than the
+item) are not told apart by step 2 and go through 3 and 4.
+
+The benchmark is held by every task, at most ITEMS and ITEM_BYTES at a time: more
+items are more passes, each settled before the next, so no task or driver holds
+two parts. Defined results: documents or items without words match nothing; items
+of fewer than five words are one shingle; a null doc_id or item_id is reported as
+null; rows that repeat are each reported; of equally similar windows the first is
+reported; an empty documents or benchmark table gives no matches; a very long text
+is taken in stretches; other columns of documents pass through `decontaminated`.
 """
 
 from __future__ import annotations
@@ -30,23 +43,35 @@ from pyspark.sql import functions as F
 from chronofold.llm import common
 
 WIDTH, PERCENT = 5, 75
-BITS, BLOCKS, RADIUS = 64, 8, 23
-ITEMS = 20_000
+BITS, BLOCKS, NEAR, RADIUS = 128, 8, 4, 39
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
+#: Pairs of windows and items compared at once.
+PAIRS = 500_000
 #: Words of a document whose windows are made at once.
 STRETCH = 20_000
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def votes(shingles: np.ndarray) -> np.ndarray:
     """(shingles, BITS): +1 or -1 for each bit of each shingle's hash."""
-    bits = np.unpackbits(common.mixed(shingles).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    hashes = np.stack([common.mixed(shingles + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(BITS // 64)], 1)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, BITS // 8), axis=1)
     return bits.astype(np.int32) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """(windows, BLOCKS) bytes: the sign of each bit's sum of votes."""
-    return np.packbits(sums > 0, axis=1)
+    """(windows, BLOCKS) 16-bit blocks: the sign of each bit's sum of votes; of its neighbour's where they cancel out, so that bits are not biased."""
+    return np.packbits(np.where(sums == 0, np.roll(sums, 1, axis=1), sums) > 0, axis=1).view(np.uint16)
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs of fingerprints (rows of ``a`` and ``b``) within RADIUS, by way of the blocks."""
+    left = np.zeros(len(a), bool)
+    for k in range(BLOCKS):
+        left |= _POPCOUNT[a[:, k] ^ b[:, k]] <= NEAR
+    at = np.flatnonzero(left)
+    return at[_POPCOUNT[a[at] ^ b[at]].sum(1) <= RADIUS]
 
 
 class Items:
@@ -64,21 +89,37 @@ class Items:
             every.append(shingles)
             by_size[len(words)].append((item, Counter(shingles.tolist()), fingerprints(votes(shingles).sum(0, keepdims=True))[0]))
         self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        near = np.array([[_POPCOUNT[a ^ b] <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
         self.groups = {}
         for size, items in sorted(by_size.items()):
             prints = np.stack([x[2] for x in items])
-            self.groups[size] = (items, prints, [near[:, prints[:, b]] for b in range(BLOCKS)])  # (256, items) of each block
-
-    def close(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(windows, items) within RADIUS, through the block tables."""
-        _, own, tables = self.groups[size]
-        candidates = tables[0][prints[:, 0]].copy()
-        for b in range(1, BLOCKS):
-            candidates |= tables[b][prints[:, b]]
-        w, i = np.nonzero(candidates)
-        near = _POPCOUNT[prints[w] ^ own[i]].sum(1) <= RADIUS
-        return w[near], i[near]
+            # the items of this size that each of their shingles occurs in
+            listed = np.array([(x, i) for i, item in enumerate(items) for x in item[1]], np.uint64).reshape(-1, 2)
+            listed = listed[np.argsort(listed[:, 0], kind="stable")]
+            self.groups[size] = (items, prints, listed[:, 0], listed[:, 1].astype(np.int64))
+
+    def probed(self, size: int, shingles: np.ndarray, starts: np.ndarray, n: int):
+        """(windows, items) to compare, about PAIRS at a time; windows are places in ``starts``."""
+        items, _, keys, of = self.groups[size]
+        if n != size - self.width + 1:  # the document is shorter than the items: one window
+            yield np.zeros(len(items), np.int64), np.arange(len(items))
+            return
+        first = n - -(-2 * n * self.percent // (100 + self.percent)) + 1
+        low, high = np.searchsorted(keys, shingles), np.searchsorted(keys, shingles, "right")
+        counts = np.concatenate([[0], np.cumsum(high - low)])
+        per_window = counts[starts + first] - counts[starts]
+        upto = np.cumsum(per_window)
+        at = 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            own = np.flatnonzero(per_window[at:end]) + at
+            places = (starts[own][:, None] + np.arange(first)).ravel()
+            times = high[places] - low[places]
+            w = np.repeat(np.repeat(own, first), times)
+            begins = np.repeat(low[places] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            pairs = np.unique(w * len(items) + of[begins + np.arange(len(w))])
+            if len(pairs):
+                yield pairs // len(items), pairs % len(items)
+            at = end
 
     def matches(self, text: bytes | None) -> list[tuple]:
         """(item, first word, words, similarity) of the best window for each item that the text holds."""
@@ -124,7 +165,7 @@ class Items:
         part = shingles[low:high]
         hits = np.concatenate([[0], np.cumsum(hit[low:high])])
         sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(votes(part), axis=0, dtype=np.int32)])
-        for size, (items, _, _) in self.groups.items():
+        for size, (items, prints, _, _) in self.groups.items():
             n = size - self.width + 1  # shingles in a window
             if n < 1:
                 continue
@@ -140,8 +181,9 @@ class Items:
             starts = starts[100 * (hits[starts + n] - hits[starts]) >= self.percent * n]
             if not len(starts):
                 continue
-            w, i = self.close(size, fingerprints(sums[starts + n] - sums[starts]))
-            for a, k in zip(starts[w].tolist(), i.tolist(), strict=True):
+            own_prints = fingerprints(sums[starts + n] - sums[starts])
+            pairs = [(w[k], i[k]) for w, i in self.probed(size, part, starts, n) for k in [close(own_prints[w], prints[i])]]
+            for a, k in [x for w, i in pairs for x in zip(starts[w].tolist(), i.tolist(), strict=True)]:
                 own = items[k][1]
                 here = Counter(part[a : a + n].tolist())
                 shared = sum(min(c, own[s]) for s, c in here.items() if s in own)
@@ -168,24 +210,36 @@ def _finder(shared):
     return run
 
 
-def _passes(benchmark: DataFrame, items: int = ITEMS):
+def _passes(benchmark: DataFrame, items: int = ITEMS, item_bytes: int = ITEM_BYTES):
     """The benchmark as parts that tasks can hold, one after another."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    n = max(1, -(-rows.count() // items))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-count // items), -(-size // item_bytes))
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        yield Items(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
+        yield n, Items(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, into: str = "matches") -> DataFrame:
-    """``docs`` with an array of the items that each text holds; all columns pass through."""
+    """``docs`` with an array of the items that each text holds; all columns pass through.
+
+    One part of the benchmark is one lazy projection. With more, each pass over the
+    documents is settled, its part is given up, and the table before it is removed.
+    """
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    columns = []
-    for k, part in enumerate(_passes(benchmark)):
-        columns.append(f"{into}_{k}")
-        docs = docs.withColumn(columns[-1], _finder(spark.sparkContext.broadcast(part))(F.col("text").cast("binary")))
-    return docs.withColumn(into, F.concat(*columns)).drop(*columns)
+    columns, out, old = docs.columns, docs, None
+    for k, (n, part) in enumerate(_passes(benchmark)):
+        shared = spark.sparkContext.broadcast(part)
+        found = _finder(shared)(F.col("text").cast("binary"))
+        out = out.select(*columns, (F.concat(into, found) if k else found).alias(into))
+        if n > 1:
+            out = common.settle(out, "matches")
+            shared.destroy()
+            if old is not None:
+                common.unsettle(old)
+            old = out
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -74,28 +74,38 @@ def test_more_passes_find_the_same(spark, monkeypatch):
     docs, items = corpus(7)
     df, bench = spark.createDataFrame([(d, t, "", 0) for d, t in docs], DOCS), spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
     one = {tuple(r) for r in decontaminate.contaminated(df, bench).collect()}
-    monkeypatch.setattr(decontaminate._passes, "__defaults__", (6,))
+    monkeypatch.setattr(decontaminate._passes, "__defaults__", (6, 300))
     assert {tuple(r) for r in decontaminate.contaminated(df, bench).collect()} == one
 
 
+def _random_prints(n, seed):
+    rng = np.random.default_rng(seed)
+    return decontaminate.fingerprints(decontaminate.votes(rng.integers(0, 1 << 63, n * 26, dtype=np.uint64)).reshape(n, 26, -1).sum(1))
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
-    rows = [(i, " ".join(f"q{rng.integers(10**6)}" for _ in range(20))) for i in range(40)]
-    items = decontaminate.Items([(i, t.encode()) for i, t in rows])
-    own = items.groups[20][1]
-    prints = own[rng.integers(0, 40, 3000)].copy()
+    own = _random_prints(3000, 5)
+    prints = own.copy()
     for k in range(3000):
-        for b in rng.choice(64, rng.integers(0, 30), replace=False):
-            prints[k, b // 8] ^= 1 << (b % 8)
-    w, i = items.close(20, prints)
-    distance = decontaminate._POPCOUNT[prints[:, None] ^ own[None]].sum(2)
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
+        for b in rng.choice(128, rng.integers(0, 60), replace=False):
+            prints[k, b // 16] ^= np.uint16(1 << (b % 16))
+    distance = decontaminate._POPCOUNT[prints ^ own].sum(1)
+    assert decontaminate.close(prints, own).tolist() == np.flatnonzero(distance <= decontaminate.RADIUS).tolist()
+    assert decontaminate.BLOCKS * (decontaminate.NEAR + 1) > decontaminate.RADIUS
+
+
+def test_blocks_let_few_random_pairs_through():
+    a, b = _random_prints(20_000, 8), _random_prints(20_000, 9)
+    near = (decontaminate._POPCOUNT[a ^ b] <= decontaminate.NEAR).any(1)
+    assert near.mean() < 0.3
+    assert len(decontaminate.close(a, b)) < 20  # 39 of 128 bits by chance
 
 
 def test_fingerprints_at_the_threshold_lie_within_the_radius():
     rng = np.random.default_rng(6)
     misses = 0
-    for _ in range(2000):
+    for _ in range(4000):
         x = rng.integers(0, 1 << 63, 46, dtype=np.uint64)
         a, b = x[:40], x[6:]  # 34 of 46 shared: just under the bound
         d = decontaminate._POPCOUNT[decontaminate.fingerprints(decontaminate.votes(a).sum(0, keepdims=True)) ^ decontaminate.fingerprints(decontaminate.votes(b).sum(0, keepdims=True))].sum()
@@ -103,6 +113,21 @@ def test_fingerprints_at_the_threshold_lie_within_the_radius():
     assert misses <= 2
 
 
+def test_pairs_come_in_slices(monkeypatch):
+    docs, items = corpus(4)
+    rows = [(i, (x or "").encode()) for i, x in items]
+    one = [decontaminate.Items(rows).matches(t.encode() if t else None) for _, t in docs]
+    monkeypatch.setattr(decontaminate, "PAIRS", 3)
+    assert [decontaminate.Items(rows).matches(t.encode() if t else None) for _, t in docs] == one
+
+
+def test_many_items_of_one_size_and_shared_text():
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(i, f"{shared} {' '.join(f'i{i}w{k}' for k in range(18))}".encode()) for i in range(2000)]
+    text = " ".join([*(items[i][1].decode() for i in (3, 700)), *[f"f{k}" for k in range(200)], shared]).encode()
+    assert [m[0] for m in decontaminate.Items(items).matches(text)] == [3, 700]
+
+
 def test_edges(spark, monkeypatch):
     no_docs, no_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     docs = spark.createDataFrame([(None, "a b c d e f g h", "", 0), (1, "x", "", 0), (1, "x", "", 0)], DOCS)
