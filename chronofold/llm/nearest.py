@@ -1,136 +1,206 @@
 """Nearest neighbours by inner product: a block matrix join with int8 tiles.
 
-Vectors are quantised to int8 with a scale of their own. Queries and candidates
-are dealt into blocks, and a task takes one tile: a block of queries against a
-block of candidates. The tile's int8 products, with a bound on each vector's
-rounding error, give a range for every inner product; only pairs whose upper end
-reaches the k-th largest lower end of their query survive, and those are computed
-anew in double precision. Each tile hands on its k best, and heaps merge them.
-The result is exact: the bounds never drop a true neighbour.
+Vectors are quantised to int8 where they are read, with a scale and the norm of what
+rounding lost; only these are dealt into blocks, an eighth of the bytes of doubles.
+A task takes one tile: a block of queries against a block of candidates. The tile's
+int8 products, with the error bounds, give a range for every inner product; only
+pairs whose upper end reaches the k-th largest lower end of their query survive.
+The tiles' survivors meet in heaps, which keep the k-th largest lower end over all
+tiles, and the pairs that reach it are computed anew in double precision: their
+vectors are fetched once by a join. The result is exact: the bounds never drop a
+true neighbour.
+
+Blocks follow the table's size, so that each candidate goes to one tile for each
+QUERY_BLOCK queries and each query to one for each CANDIDATE_BLOCK candidates.
 
 Defined results: vectors that are null, zero, or hold a null or a component that
 is not finite take no part; vectors of another length than the query's are not
 its candidates; a vec_id that repeats is one candidate, with its largest product,
-and one query, with the best of its rows' products; a null vec_id takes no part; an
-empty table gives no rows; other columns are not read.
+and one query, with the best of its rows' products; a null vec_id takes no part;
+of equal products the smaller vec_id comes first; a very long vector is one row of
+its tile; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronofold.llm import common
 
 K = 20
 QUERIES_EVERY = 20
-#: Rows in a block of queries and of candidates: a tile's products take 4 bytes each.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16_384
+#: Rows in a block of queries and of candidates; a vector takes a byte a component there.
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16_384
 #: Products of a tile held at once.
-TILE = 4_000_000
+TILE = 2_000_000
+#: Vectors of at most so many bytes, all survivors or all queries, may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
+_QUANTISED = "vec_id long, own long, size int, q binary, scale double, lost double, norm double"
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (as float32, so that products are exact sums of integers), scales, and norms of what rounding lost."""
+
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 values, scales, norms of what rounding lost, and norms."""
     scale = np.maximum(np.abs(x).max(1) / 127, 1e-300)
     q = np.rint(x / scale[:, None])
-    return q.astype(np.float32), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1), np.linalg.norm(x, axis=1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, summed component by component, so that the last digit is the same everywhere."""
-    out = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        out += a[:, k] * b[:, k]
-    return out
+def _sound(x: list | None) -> bool:
+    return bool(x) and all(v is not None and np.isfinite(v) for v in x) and any(x)
+
 
+def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int):
+    """(query's place, candidate's place, low, high) of the pairs whose range reaches the k-th largest low of their query.
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """(query, candidate, product) of each query's k nearest of these candidates, and ties with the k-th."""
-    q, q_scale, q_lost = quantised(queries)
-    v, v_scale, v_lost = quantised(vectors)
-    v_norm = np.linalg.norm(vectors, axis=1) + v_lost
-    q_norm = np.linalg.norm(queries, axis=1)
-    rows = max(1, TILE // max(len(vectors), 1))
-    exact = q.shape[1] * 127 * 127 < 1 << 24
-    for at in range(0, len(q), rows):
-        part = slice(at, at + rows)
-        a, b = (q[part], v) if exact else (q[part].astype(float), v.astype(float))
-        near = (a @ b.T).astype(float) * q_scale[part, None] * v_scale[None]
+    Both sides hold id, q (int8), scale, lost and norm. Of candidates with one id only the best counts for the k-th.
+    """
+    by = np.argsort(candidates["id"], kind="stable")
+    v = {c: x[by] for c, x in candidates.items()}
+    first = np.flatnonzero(np.concatenate([[True], v["id"][1:] != v["id"][:-1]]))
+    size = v["q"].shape[1]
+    kind = np.float32 if size * 127 * 127 < 1 << 24 else np.float64  # products are exact sums of integers
+    right = v["q"].astype(kind)
+    v_norm = v["norm"] + v["lost"]
+    rows = max(1, TILE // max(len(by), 1))
+    for at in range(0, len(queries["id"]), rows):
+        q = {c: x[at : at + rows] for c, x in queries.items()}
+        near = (q["q"].astype(kind) @ right.T).astype(float) * q["scale"][:, None] * v["scale"][None]
         # x.y - x'.y' = (x - x').y' + x.(y - y'), so the norms bound it; a little more for the arithmetic
-        slack = q_lost[part, None] * v_norm[None] + q_norm[part, None] * v_lost[None]
-        slack += 1e-9 * (np.abs(near) + q_norm[part, None] * v_norm[None])
-        own = query_ids[part, None] == ids[None]
-        low = np.where(own, -np.inf, near - slack)
-        if low.shape[1] > k:
-            floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        else:
-            floor = np.full(low.shape[0], -np.inf)
-        i, j = np.nonzero((near + slack >= floor[:, None]) & ~own)
-        score = products(queries[part][i], vectors[j])
-        by = np.lexsort((ids[j], -score, i))
-        i, j, score = i[by], j[by], score[by]
-        first = np.searchsorted(i, np.arange(low.shape[0]))
-        keep = np.arange(len(i)) - first[i] < k
-        yield query_ids[part][i[keep]], ids[j[keep]], score[keep]
-
-
-def nearest(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for each query among ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    common.arrow_batches(spark, 4096)
-    e = F.col("embedding")
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
-    good = good.filter(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    # of a repeated row only one goes on, so that its copies cannot crowd out other neighbours
-    good = good.groupBy("vec_id", "embedding").agg(F.lit(1).alias("one")).drop("one").withColumn("size", F.size("embedding"))
-    n, m = good.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+        slack = q["lost"][:, None] * v_norm[None] + q["norm"][:, None] * v["lost"][None]
+        slack += 1e-9 * (np.abs(near) + q["norm"][:, None] * v_norm[None])
+        own = q["id"][:, None] == v["id"][None]
+        low, high = np.where(own, -np.inf, near - slack), near + slack
+        best = np.maximum.reduceat(low, first, axis=1) if len(first) < len(by) else low
+        floor = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] > k else np.full(len(low), -np.inf)
+        i, j = np.nonzero((high >= floor[:, None]) & ~own)
+        yield i + at, by[j], low[i, j], high[i, j]
+
+
+def _side(t: pa.Table) -> dict[str, np.ndarray]:
+    out = {"id": t.column("vec_id").to_numpy(), "own": t.column("own").to_numpy()}
+    out |= {c: t.column(c).to_numpy() for c in ("scale", "lost", "norm")}
+    data = b"".join(t.column("q").to_pylist())
+    out["q"] = np.frombuffer(data, np.int8).reshape(len(out["id"]), -1)
+    return out
+
+
+def _least_ids(v: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """Of equal vectors the k + 1 smallest ids: no other of them is among a query's k nearest."""
+    keys = ("own", "scale", "norm")
+    by = np.lexsort((v["id"], *(v[c] for c in keys)))
+    new = np.concatenate([[True], np.any([v[c][by][1:] != v[c][by][:-1] for c in keys], axis=0)]) if len(by) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    nth = np.arange(len(by)) - starts[np.cumsum(new) - 1]
+    return {c: x[by[nth <= k]] for c, x in v.items()}
+
+
+def quantised_rows(vectors: DataFrame) -> DataFrame:
+    """The sound vectors as int8, with a hash of the vector itself; rows that repeat are one."""
+    common.arrow_batches(vectors.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ids, own, x = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows = list({(i, h): (i, h, np.array(v, float)) for i, h, v in zip(ids, own, x, strict=True) if i is not None and _sound(v)}.values())
+            for size in sorted({len(r[2]) for r in rows}):
+                some = [r for r in rows if len(r[2]) == size]
+                q, scale, lost, norm = quantised(np.stack([r[2] for r in some]))
+                columns = [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([size] * len(some), pa.int32()), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(scale), pa.array(lost), pa.array(norm)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _QUANTISED.split(", ")])
+
+    return vectors.select("vec_id", _hash(), "embedding").mapInArrow(run, _QUANTISED).dropDuplicates(["vec_id", "own"])
+
+
+def _hash():
+    return F.xxhash64("embedding").alias("own")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score for each query among ``vectors`` (vec_id, embedding); ``is_query`` is a condition on vec_id."""
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = common.settle(quantised_rows(vectors), "int8").withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+    n, m, bytes_each = rows.agg(F.count("*"), F.count_if("is_query"), F.coalesce(F.max("size"), F.lit(0)) * 8).first()
     of_queries, of_candidates = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
-    own = F.xxhash64("vec_id", "embedding")
-    candidates = good.withColumn("c", F.pmod(own, F.lit(of_candidates))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_queries - 1).cast("long"))))
-    queries = good.filter(is_query).withColumn("q", F.pmod(own, F.lit(of_queries))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_candidates - 1).cast("long"))))
+    place = F.xxhash64("vec_id", "own")
+    candidates = rows.drop("is_query").withColumn("c", F.pmod(place, F.lit(of_candidates))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_queries - 1).cast("long"))))
+    queries = rows.filter("is_query").drop("is_query").withColumn("b", F.pmod(place, F.lit(of_queries))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_candidates - 1).cast("long"))))
+    pair = "query_id long, query_own long, vec_id long, own long, low double, high double"
+    names = [x.split()[0] for x in pair.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        parts = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),) * 2]
         if left.num_rows and right.num_rows:
-            parts += tile(left.column("vec_id").to_numpy(), _matrix(left), right.column("vec_id").to_numpy(), _matrix(right), k)
+            q, v = _side(left), _least_ids(_side(right), k)
+            parts += [(q["id"][i], q["own"][i], v["id"][j], v["own"][j], low, high) for i, j, low, high in tile(q, v, k)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
-    key = ["size", "q", "c"]
-    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
+    key = ["size", "b", "c"]
+    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(run, pair)
+
+    def survivors(batches):
+        """The pairs that reach the k-th largest low of their query; a query's pairs come together."""
+        now, held, lows, heap, full = None, [], {}, [], 100 * k
+
+        def pruned():
+            """What reaches the floor, and of equal vectors the k smallest ids."""
+            floor = heap[0][0] if len(heap) == k else -np.inf
+            rows, seen = [], Counter()
+            for r in sorted(held, key=lambda r: r[2]):
+                if r[5] >= floor and seen[r[1], r[3], r[4]] < k:
+                    seen[r[1], r[3], r[4]] += 1
+                    rows.append(r)
+            return rows
+
+        def out():
+            rows = pruned()
+            for at in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 10_000], strict=True)], names=names)
 
-    def merge(batches):
-        heaps: dict[int, list] = defaultdict(list)
         for batch in batches:
-            for query, vec, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                heap, item = heaps[query], (score, -vec)
-                held = next((h for h in heap if h[1] == -vec), None)
-                if held is not None:
-                    if item > held:
-                        heap.remove(held)
-                        heap.append(item)
-                        heapq.heapify(heap)
-                elif len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        rows = [(query, r, -v, s) for query, heap in heaps.items() for r, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
-        for at in range(0, len(rows), 50_000):
-            columns = list(zip(*rows[at : at + 50_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
-
-    return found.repartition("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
-
-
-def _matrix(t: pa.Table) -> np.ndarray:
-    flat = t.column("embedding").combine_chunks().flatten()
-    return flat.to_numpy().reshape(t.num_rows, -1)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[0] != now:
+                    yield from out()
+                    now, held, lows, heap, full = r[0], [], {}, [], 100 * k
+                vec, low = r[2], r[4]
+                if vec not in lows:
+                    if len(heap) < k:
+                        heapq.heappush(heap, (low, vec))
+                        lows[vec] = low
+                    elif low > heap[0][0]:
+                        del lows[heapq.heapreplace(heap, (low, vec))[1]]
+                        lows[vec] = low
+                elif low > lows[vec]:
+                    heap[heap.index((lows[vec], vec))] = (low, vec)
+                    heapq.heapify(heap)
+                    lows[vec] = low
+                if len(heap) < k or r[5] >= heap[0][0]:
+                    held.append(r)
+                    if len(held) >= full:
+                        held = pruned()
+                        full = 2 * len(held) + 100 * k
+        yield from out()
+
+    pairs = common.settle(found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(survivors, pair).drop("low", "high"), "pairs")
+    # the survivors' vectors, then the queries'; a side is broadcast only where its counted size allows
+    ids = pairs.select("vec_id", "own").distinct()
+    ids = ids if pairs.count() * 16 > broadcast_bytes else F.broadcast(ids)
+    fetched = vectors.withColumn("own", _hash()).join(ids, ["vec_id", "own"], "left_semi").dropDuplicates(["vec_id", "own"])
+    asked = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_own"), F.col("embedding").alias("y")).dropDuplicates(["query_id", "query_own"])
+    asked = asked if m * bytes_each > broadcast_bytes else F.broadcast(asked)
+    scored = pairs.join(fetched.withColumnRenamed("embedding", "x"), ["vec_id", "own"]).join(asked, ["query_id", "query_own"])
+    # summed component by component, so that the last digit is the same everywhere
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    best = scored.select("query_id", "vec_id", score.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a query has little more than k pairs by now
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_int8_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
