@@ -89,7 +89,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     ``first`` is the earliest place of the suffixes of that rank. Level 0 also has ln and w.
     """
     classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
-    ranked = _line_ranks(common.settle(classes, "lines"))
+    ranked = _line_ranks(common.settle(classes, "classes"))
     levels = [common.settle(lines.join(ranked, ["h1", "h2"]).select(*_AT, "i", "ln", "w", "rank", "first"), "ranks")]
     width = max(1, -(-levels[0].count() // RANGES))
     while True:
@@ -140,7 +140,7 @@ def later_runs(levels: list[DataFrame]) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th, ln of the lines to delete."""
-    lines = lines_of(docs).distinct()  # rows that repeat a document are one
+    lines = common.settle(lines_of(docs).distinct(), "lines")  # rows that repeat a document are one
     levels = suffix_ranks(lines)
     in_doc = Window.partitionBy(*_AT).orderBy("i")
     shared = levels[0].select(*_AT, "i", "ln", "w").withColumn("upto", F.sum("w").over(in_doc))  # a run's lines are all shared
