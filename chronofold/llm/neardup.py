@@ -9,12 +9,15 @@ is confirmed on full sets.
 Not all pairs of a bucket are made. Each member is first compared with the
 bucket's centre; links found join components. Of the pairs of a bucket that still
 lie in different components, those are compared that can be similar enough by
-what they share with the centre and beside it, so no link is lost.
+what they share with the centre and beside it, so no link is lost. A bucket of more
+than BLOCK members is dealt into blocks, and each pair of blocks is a group of its
+own; a centre's set goes to a task once for each BLOCK members.
 
 Defined results: a null or empty text has no shingles and links with nothing; a
 null doc_id links with nothing, is kept and has a null component; rows that repeat a doc_id
 are one node, which has the links of any of its texts, and are kept or dropped
-together; an empty table gives no rows; other columns are not read.
+together; an empty table gives no rows; a very long text is one set like any other;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Elements in one signature step: a matrix row of BANDS*ROWS bytes for each.
 CHUNK = 150_000
+#: Members of a group that one task compares with as many others, or with their centre.
+BLOCK = 2000
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
@@ -117,7 +122,11 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         few = common.maybe_broadcast(ids, ids.count())
         return sets.join(few, "doc_id", "left_semi").select(F.col("doc_id").alias(of), F.col("shingles").alias(f"of_{of}"))
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    # a pair carries its member's set to the centre's, which comes once for each BLOCK members
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("copies"))
+    own = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy")).join(side("a"), "a")
+    centre = side("b").join(copies, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    both = own.join(centre, ["b", "copy"])
     return both.select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"), F.array_except("of_a", "of_b").alias("own"))
 
 
@@ -181,12 +190,21 @@ def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
     return whole.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(rows: DataFrame, on: list[str], percent: int, also) -> DataFrame:
-    """Pairs of ``rows`` (rep, label, n, shared, room) equal in ``on``, of different components and of similar sizes."""
+def _across(rows: DataFrame, on: list[str], percent: int, also, block: int = BLOCK) -> DataFrame:
+    """Pairs of ``rows`` (rep, label, n, shared, room) equal in ``on``, of different components and of similar sizes.
+
+    Groups of more than ``block`` rows are dealt into blocks, and compared a pair of blocks at a time.
+    """
     columns = ["rep", "label", "n", "shared", "room"]
+    large = rows.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = rows.select(*on, *columns).join(large, on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    on = [*on, "low", "high"]
+    columns = [*columns, "own", "other"]
     a = rows.select(*[F.col(c).alias(f"on_{c}") for c in on], *[F.col(c).alias("a" if c == "rep" else f"{c}_a") for c in columns])
     b = rows.select(*[F.col(c).alias(f"of_{c}") for c in on], *[F.col(c).alias("b" if c == "rep" else f"{c}_b") for c in columns])
-    same = F.expr(f"label_a > label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    same = F.expr(f"label_a > label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and own_a = other_b")
     for c in on:
         same = same & (F.col(f"on_{c}") == F.col(f"of_{c}"))
     return a.join(b, same & also).select("a", "b")

@@ -71,6 +71,26 @@ def test_a_large_group_of_edited_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == components(docs)
 
 
+def test_a_bucket_of_unlinked_members(spark):
+    """20,000 members in one bucket, none like another but for a few pairs: all are compared, a pair of blocks at a time."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(100).alias("n"), F.when(F.col("id") % 1000 == 0, 90).otherwise(40).alias("shared"), F.lit(100).alias("room"))
+    enough = F.expr("175 * least(shared_a, shared_b) >= 75 * (n_a + n_b)")
+    got = sorted(map(tuple, neardup._across(rows, ["key"], 75, enough).collect()))
+    assert got == [(a, b) for a in range(0, n, 1000) for b in range(0, a, 1000)]
+
+
+def test_blocks_compare_each_pair_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60).select((F.col("id") % 2).alias("key"), F.col("id").alias("rep"), F.floor(F.col("id") / 4).alias("label"), F.lit(10).alias("n"), F.lit(1).alias("shared"), F.lit(1).alias("room"))
+    for block in (3, 2000):
+        got = [tuple(r) for r in neardup._across(rows, ["key"], 75, F.lit(True), block).collect()]
+        assert sorted(got) == [(a, b) for a in range(60) for b in range(60) if a % 2 == b % 2 and a // 4 > b // 4]
+
+
 def test_edges(spark):
     assert neardup.group(spark.createDataFrame([], DOCS)).count() == 0
     long_text = " ".join(f"v{i}" for i in range(20_000))
