@@ -13,7 +13,8 @@ the largest page_id; the others are revisit records that refer to it.
 Defined results: a null html is an empty payload; a null page_id is written as such
 and is never the one referred to while others are there; rows that repeat a page_id
 and payload are all responses if theirs is the largest; an empty table writes no
-file and reads no rows; other columns are not read.
+file and reads no rows; a very long payload is one record, which its range's task
+reads past the range's end; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +37,20 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "2026-01-01T00:00:00Z"
 
 
+#: What stores are called by Hadoop and by pyarrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"} | {x: x for x in ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")}
+
+
 def _file_system(uri: str):
-    """(pyarrow file system, path): local folders, object stores and HDFS alike."""
+    """(pyarrow file system, path) of a local, HDFS or object store address."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    scheme, there, rest = uri.partition("://")
+    if not there:
+        scheme, rest = "file", uri.removeprefix("file:")
+    if scheme not in _SCHEMES:
+        raise ValueError(f"archives cannot be kept under {uri}: tasks reach {', '.join(sorted(_SCHEMES))} only; name such a folder in spark.checkpoint.dir")
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}://{rest}")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -66,13 +76,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, refers_to of every page; refers_to is null for responses."""
+    """page_id, url, payload, digest, refers_to of every page; refers_to is null for responses.
+
+    Repeats are found among digests alone. Payloads of at least ``least_bytes`` then
+    meet what was found by page and digest, so equal pages are dealt evenly; smaller
+    ones are not shuffled.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    large = F.octet_length("payload") >= least_bytes
+    digests = common.settle(rows.filter(large).select("page_id", F.sha1("payload").alias("digest")), "digests")
+    again = digests.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    revisits = digests.join(again, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    revisits = revisits.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), F.col("first").alias("refers_to"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.filter(F.octet_length("payload") >= least_bytes)
-    again = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    out = rows.join(again, "digest", "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).otherwise(F.lit(None))).drop("first")
+    met = rows.filter(large).join(revisits, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").drop("__page", "__digest")
+    return met.unionByName(rows.filter(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write(rows: DataFrame, folder: str) -> list[str]:
@@ -111,7 +129,7 @@ class Range:
     """Bytes of a file from some place on, read as needed."""
 
     def __init__(self, file, size: int, start: int):
-        self.file, self.size, self.base, self.data = file, size, start, b""
+        self.file, self.size, self.base, self.data = file, size, start, bytearray()
 
     def more(self) -> bool:
         at = self.base + len(self.data)
@@ -123,7 +141,8 @@ class Range:
 
     def drop(self, to: int) -> None:
         """Forget what lies before the place ``to``."""
-        self.data, self.base = self.data[to - self.base :], to
+        del self.data[: to - self.base]
+        self.base = to
 
 
 def member(source: Range) -> tuple[bytes, int] | None:

@@ -77,3 +77,16 @@ def test_edges(spark, tmp_path):
     empty = spark.createDataFrame([], PAGES)
     files = warc.write(warc.planned(empty), f"file://{tmp_path}/none")
     assert files == [] and warc.read(spark, files).count() == 0
+
+
+def test_equal_pages_are_dealt_evenly(spark):
+    """No shuffle of payloads is by digest alone."""
+    df = spark.createDataFrame([(i, "u", "x" * 2000 if i % 3 else "y" * 5, "", 0) for i in range(300)], PAGES)
+    got = warc.planned(df).groupBy("refers_to").count().collect()
+    assert {r["refers_to"]: r["count"] for r in got} == {None: 101, 299: 199}
+
+
+def test_folders_that_tasks_cannot_reach_are_refused():
+    assert warc._file_system("file:/tmp/x")[1] == "/tmp/x" and warc._file_system("/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="dbfs"):
+        warc._file_system("dbfs://store/x")
