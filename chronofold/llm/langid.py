@@ -4,13 +4,18 @@ The pieces are a fixed public vocabulary (as bytes, with all single bytes added,
 so every word can be cut). Each language has a probability for each piece; a
 word's probability in a language is the sum over all its cuts of the product of
 its pieces' probabilities, by the forward algorithm, and a text's is the product
-over its words. Probabilities are fitted by expectation-maximisation on word
-counts of a bounded sample of labelled documents.
-
-Words longer than LONGEST bytes are scored in stretches of that many. A-Z are
-scored as a-z. Defined results: a text that is null or has no letter is `und`
-with score 0; without training rows every text is `und`; a null doc_id is in the
-training folds; rows that repeat are scored once each; other columns are not read.
+over its words. Probabilities are fitted by expectation-maximisation on the word
+counts of a bounded sample of labelled documents (SAMPLE_DOCS of each language, a
+parameter); all words of the sampled documents count.
+
+A word of any length is summed as a whole: the forward state slides on, scaled every
+STEP bytes. A-Z are scored as a-z. A piece table takes 26,000 numbers for each language.
+
+Defined results: a text that is null or has no letter is `und` with score 0; without
+training rows, or on an empty table, every text is `und`; of equally likely languages
+the first in order of names is taken; a null doc_id is in the training folds; rows
+that repeat are scored once each; a very long text is summed over its words in parts;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronofold.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bound of the training sample: documents of each language (about), and its most frequent words.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 60_000
-#: Languages at most (a table of piece probabilities is held for each).
-LANGUAGES = 500
+#: Bound of the training sample: documents of each language (about).
+SAMPLE_DOCS = 2000
 ROUNDS = 3
 SMOOTHING = 0.1
-LONGEST = 48
+#: Bytes between two scalings: no piece is so unlikely that a product of so many underflows.
+STEP = 24
+#: Numbers in a task's memory of word scores.
+MEMORY = 2_000_000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -54,17 +59,17 @@ class Lattice:
     """Finds the pieces inside words by hashed substrings."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.longest = min(max(map(len, vocabulary)), 16)
-        keep = [p for p in vocabulary if len(p) <= self.longest]
-        width = np.array([len(p) for p in keep])
-        code = np.zeros(len(keep), np.uint64)
+        self.longest = max(map(len, vocabulary))
+        width = np.array([len(p) for p in vocabulary])
+        self.lengths = set(width.tolist())
+        code = np.zeros(len(vocabulary), np.uint64)
         for n in range(1, self.longest + 1):
             own = np.flatnonzero(width == n)
             if len(own):
-                code[own] = self.codes(np.frombuffer(b"".join(keep[i] for i in own), np.uint8).reshape(-1, n), n)[:, n - 1, 0]
+                code[own] = self.codes(np.frombuffer(b"".join(vocabulary[i] for i in own), np.uint8).reshape(-1, n), n)[:, n - 1, 0]
         by = np.argsort(code)
         self.code, self.piece = code[by], by.astype(np.int32)
-        self.size = len(keep)
+        self.size = len(vocabulary)
 
     def codes(self, letters: np.ndarray, most: int | None = None) -> np.ndarray:
         """(words, length - 1, start) -> hash of each substring; 0 where it runs over the end."""
@@ -82,17 +87,14 @@ class Lattice:
         codes = self.codes(letters)
         out = np.full(codes.shape, -1, np.int32)
         for k in range(codes.shape[1]):
+            if k + 1 not in self.lengths:
+                continue
             own = codes[:, k, : letters.shape[1] - k]
             at = np.minimum(np.searchsorted(self.code, own), len(self.code) - 1)
             out[:, k, : own.shape[1]] = np.where(self.code[at] == own, self.piece[at], -1)
         return out
 
 
-def stretches(word: bytes) -> list[bytes]:
-    marked = b" " + word
-    return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
-
-
 def by_length(words: list[bytes], most: int = 20_000):
     """(indices, letters) of words of one length at a time."""
     size = np.array([len(w) for w in words])
@@ -128,75 +130,100 @@ def word_logs(words: list[bytes], lattice: Lattice, probability: np.ndarray) ->
     out = np.zeros((len(words), probability.shape[1]))
     probability = _padded(probability)
     for own, letters in by_length(words):
-        alpha = forward(lattice.find(letters), probability)
-        out[own] = np.log(np.maximum(alpha[:, -1], 1e-300))
+        if letters.shape[1] <= STEP:
+            out[own] = np.log(forward(lattice.find(letters), probability)[:, -1])
+        else:
+            out[own] = _sliding(letters, lattice, probability)
     return out
 
 
+def _sliding(letters: np.ndarray, lattice: Lattice, probability: np.ndarray) -> np.ndarray:
+    """The same for long words: of the sums so far only those are held that a piece can start from."""
+    words, n = letters.shape
+    log = np.zeros((words, probability.shape[1]))
+    held = np.ones((words, 1, probability.shape[1]))  # sums up to the places before s and at it
+    for s in range(0, n, STEP):
+        e, low = min(n, s + STEP), max(0, s - lattice.longest + 1)
+        found = lattice.find(letters[:, low:e])
+        past = held.shape[1]
+        alpha = np.concatenate([held, np.zeros((words, e - s, held.shape[2]))], axis=1)
+        for end in range(s + 1, e + 1):
+            for k in range(min(found.shape[1], end - low)):
+                piece = found[:, k, end - 1 - k - low]
+                if k == 0 or piece.max() >= 0:
+                    alpha[:, past - 1 + end - s] += alpha[:, past - 1 + end - 1 - k - s] * probability[piece]
+        scale = alpha[:, -1]
+        log += np.log(scale)
+        held = alpha[:, -lattice.longest :] / scale[:, None]
+    return log
+
+
+def _shares(found: np.ndarray, p: np.ndarray):
+    """(pieces, share of the word's probability that goes through each) at all places of words of one length.
+
+    In logarithms where products would underflow.
+    """
+    words, most, n = found.shape
+    there = (found >= 0).any(axis=0)
+    with np.errstate(divide="ignore"):
+        log = np.log(np.append(p, 0.0))
+    far = n > STEP
+    alpha, beta = np.full((2, words, n + 1), -np.inf) if far else np.zeros((2, words, n + 1))
+    value, add, times = (log, np.logaddexp, np.add) if far else (np.exp(log), np.add, np.multiply)
+    alpha[:, 0] = beta[:, n] = 0.0 if far else 1.0
+    spots = [(start, k) for start in range(n) for k in range(min(most, n - start)) if there[k, start]]
+    for start, k in sorted(spots, key=lambda x: x[0] + x[1]):
+        alpha[:, start + k + 1] = add(alpha[:, start + k + 1], times(alpha[:, start], value[found[:, k, start]]))
+    for start, k in reversed(spots):
+        beta[:, start] = add(beta[:, start], times(beta[:, start + k + 1], value[found[:, k, start]]))
+    for start, k in spots:
+        at = found[:, k, start]
+        through = times(times(alpha[:, start], value[at]), beta[:, start + k + 1])
+        yield at, np.exp(through - alpha[:, n]) if far else through / alpha[:, n]
+
+
 def fit(counts: list[Counter], lattice: Lattice, rounds: int = ROUNDS) -> np.ndarray:
     """(pieces, languages): probabilities by expectation-maximisation over all cuts of the words."""
     probability = np.zeros((lattice.size, len(counts)))
     for k, own in enumerate(counts):
         words = list(own)
         times = np.array([own[w] for w in words], float)
-        p = np.full((lattice.size, 1), 1.0 / lattice.size)
-        groups = [(times[i], lattice.find(x)) for i, x in by_length(words)]
+        p = np.full(lattice.size, 1.0 / lattice.size)
         for _ in range(rounds):
-            expected = np.full(lattice.size, SMOOTHING)
-            for weight, found in groups:
-                most, n = found.shape[1:]
-                alpha = forward(found, _padded(p))[:, :, 0]
-                # the backward sums are the forward sums of the mirrored lattice
-                mirror = np.full_like(found, -1)
-                for j in range(most):
-                    mirror[:, j, : n - j] = found[:, j, : n - j][:, ::-1]
-                beta = forward(mirror, _padded(p))[:, ::-1, 0]
-                scale = weight / np.maximum(alpha[:, -1], 1e-300)
-                for j in range(most):
-                    for start in range(n - j):
-                        piece = found[:, j, start]
-                        has = piece >= 0
-                        if has.any():
-                            at = piece[has]
-                            share = alpha[has, start] * p[at, 0] * beta[has, start + j + 1] * scale[has]
-                            expected += np.bincount(at, share, lattice.size)
-            p = (expected / expected.sum())[:, None]
-        probability[:, k] = p[:, 0]
+            expected = np.full(lattice.size + 1, SMOOTHING)
+            for i, letters in by_length(words):
+                for at, share in _shares(lattice.find(letters), p):
+                    expected += np.bincount(np.where(at < 0, lattice.size, at), share * times[i], lattice.size + 1)
+            p = expected[:-1] / expected[:-1].sum()
+        probability[:, k] = p
     return probability
 
 
-def sampled_words(docs: DataFrame, sample_docs: int, sample_words: int) -> dict[str, Counter]:
-    """Word counts of each language over a sample of its documents, taken by a hash of their texts."""
-    per = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    if per.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    share = {r["lang"]: min(1.0, sample_docs / r["n"]) for r in per.collect()}
+def sampled_words(docs: DataFrame, sample_docs: int) -> dict[str, Counter]:
+    """Word counts of each language over a sample of its documents (doc_id, text, lang), taken by a hash of id and text."""
+    share = [(r["lang"], min(1.0, sample_docs / r["n"])) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not share:
         return {}
-    rate = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    rates = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, rate double"))  # a row for each language
+    sample = docs.join(rates, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     words = sample.select("lang", F.explode(F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_words)
     out: dict[str, Counter] = {}
-    for r in top.select("lang", "word", "n").toArrow().to_pylist():
+    for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).toLocalIterator():
         out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return out
 
 
 class Model:
-    def __init__(self, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, file: str = VOCABULARY):
-        """Fit on ``docs`` (text, lang)."""
+    def __init__(self, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, file: str = VOCABULARY):
+        """Fit on about ``sample_docs`` documents of each language of ``docs`` (doc_id, text, lang)."""
         self.file = file
-        found = sampled_words(docs.filter("lang is not null and text is not null").select("text", "lang"), sample_docs, sample_words)
+        found = sampled_words(docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang"), sample_docs)
         self.languages = sorted(x for x in found if found[x])
         counts: list[Counter] = []
         for lang in self.languages:
             own: Counter = Counter()
             for word, n in found[lang].items():
-                for s in stretches(word.encode().lower()):
-                    own[s] += n
+                own[b" " + word.encode().lower()] += n
             counts.append(own)
         lattice = Lattice(pieces(file))
         self.probability = fit(counts, lattice) if counts else np.zeros((lattice.size, 0))
@@ -214,8 +241,9 @@ def _lattice(file: str) -> Lattice:
 class WordMemory:
     """Scores of words seen by this task: a bounded memory, emptied when full."""
 
-    def __init__(self, lattice: Lattice, probability: np.ndarray, most: int = 500_000):
-        self.lattice, self.probability, self.most = lattice, probability, most
+    def __init__(self, lattice: Lattice, probability: np.ndarray, most: int | None = None):
+        self.lattice, self.probability = lattice, probability
+        self.most = most or max(1000, MEMORY // max(probability.shape[1], 1))  # words
         self.known: dict[bytes, int] = {}
         self.rows = np.zeros((0, probability.shape[1]))
 
@@ -244,9 +272,7 @@ class WordMemory:
         if len(self.known) + len(new) > self.most:
             self.known, self.rows, new = {}, self.rows[:0], list(dict.fromkeys(words))
         if new:
-            cuts = [stretches(w) for w in new]
-            logs = word_logs([s for c in cuts for s in c], self.lattice, self.probability)
-            rows = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(c) for c in cuts[:-1]])]).astype(np.int64), axis=0)
+            rows = word_logs([b" " + w for w in new], self.lattice, self.probability)
             used = len(self.known)
             self.known.update(zip(new, range(used, used + len(new)), strict=True))
             if len(self.known) > len(self.rows):
