@@ -236,7 +236,8 @@ class Model:
         self.order, self.chunk = order, chunk
         stored = common.settle(blocks(docs, trains, order, buckets, block_bytes, flush, chunk), "blocks")
         self.texts, found = stored.filter(F.col("kind") == TEXT), stored.filter(F.col("kind") != TEXT)
-        self.salts = max(1, -(-found.select(F.approx_count_distinct("block")).first()[0] // salt_blocks))
+        self.blocks = max(1, self.texts.select("block").distinct().count())
+        self.salts = -(-self.blocks // salt_blocks)
         self.asked = found.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int"))
         parts = _merged(self.asked, ["kind", "bucket", "salt"], flush)
         if self.salts > 1:
@@ -329,7 +330,7 @@ def score(model: Model) -> DataFrame:
                 m = [len(w) + 1 for w in lists]
                 yield _batch(list(zip(ids, [not t for t in train], m, known.tolist(), [tokens] * len(m), base.tolist(), bits.tolist(), strict=True)), _SCORED)
 
-    ready = both.select("block", "kind", "n", "codes", "values", "ids", "train", "sizes").repartition("block")
+    ready = both.select("block", "kind", "n", "codes", "values", "ids", "train", "sizes").repartition(model.blocks, "block")  # a block each
     return ready.sortWithinPartitions("block", "kind").mapInArrow(run, _SCORED)  # texts come after answers
 
 
