@@ -5,13 +5,18 @@ a conjunction of thresholds on statistics. A lasso logistic regression gives
 most rules weight zero. The rules that remain are compiled into Spark column
 expressions over the statistics, so scoring is one projection.
 
-Statistics are taken over whole texts. Labels are read for training only; the
-fit uses a bounded sample of labelled rows (SAMPLE_ROWS), taken by a hash.
+Statistics are taken over whole texts. Labels are read for training only. The fit
+takes a bounded sample, by parameters: about ``sample_rows`` labelled rows, taken by
+a hash of doc_id and then of the text, and for each tree at most ``tree_rows`` rows
+of each class, drawn with replacement. Scores are computed for all rows.
 
 Defined results: a null or empty text has all statistics 0 and gets a score like any
-other; a null doc_id is in the training folds; rows that repeat are scored once
-each, and a doc_id with several labels trains with each; without labels, or with
-one class only, the score is that class's share (0.5 without labels).
+other; a null doc_id is in the training folds and has no label; rows that repeat are
+scored once each and train once; a doc_id with several labels trains with each;
+without labels, or with one class only, the score is that class's share (0.5 without
+labels); an empty documents table gives no rows; equal scores stay equal, and the
+threshold itself is accepted; a very long text is one row like any other; all other
+columns pass through, also those named like a statistic or like ``score``'s helpers.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 from chronofold.llm import common
 
 FOLDS, HELD_OUT = 5, 0
-#: Bound of the training sample, in labelled rows.
-SAMPLE_ROWS = 30_000
+#: Bound of the training sample, in labelled rows, and of a tree's, in rows of each class.
+SAMPLE_ROWS, TREE_ROWS = 30_000, 3000
 THRESHOLD = 0.3
 TREES, DEPTH, LEAST_ROWS = 40, 3, 20
 PENALTY = 1e-3
@@ -192,7 +197,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 class Model:
     """Weighted rules fitted on a bounded sample of labelled rows."""
 
-    def __init__(self, rows: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = SEED, tree_rows: int = TREE_ROWS):
         self.rules: list[tuple[Rule, float]] = []
         ones = float(y.sum())
         if not len(y) or ones in (0.0, float(len(y))):
@@ -204,7 +209,7 @@ class Model:
         found: dict[Rule, None] = {}
         heavy, light = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         for _ in range(trees):  # both classes weigh the same in a tree
-            n = min(3000, max(len(heavy), len(light)))
+            n = min(tree_rows, max(len(heavy), len(light)))
             own = np.concatenate([rng.choice(heavy, n), rng.choice(light, n)])
             found.update(dict.fromkeys(_paths(rows[own], y[own], rng, depth)))
         apart: dict[bytes, Rule] = {}
@@ -234,14 +239,21 @@ class Model:
         return F.expr(f"1D / (1D + exp(-({total})))")
 
 
+def _share(of: int, *keys: str) -> Column:
+    """True for about ``of`` of 2^20 rows, by a hash of ``keys``."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < of
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """A model from labelled documents, of which about ``sample_rows`` at most are used."""
-    marks = labels.filter(F.col(target).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__label"))
-    n = marks.count()
-    marks = marks.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(n, 1)) * (1 << 20))
-    few = common.maybe_broadcast(marks, 2 * sample_rows)
-    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id"))
-    got = with_statistics(rows.select("doc_id", "text", "__label"), "__s").orderBy("doc_id", "__label").select("__label", "__s.*").limit(4 * sample_rows).toArrow()
+    """A model from labelled documents, of which about ``sample_rows`` at most are used; ``options`` are those of Model."""
+    marks = labels.filter(F.col(target).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__label")).distinct()
+    ids = marks.select("__id").distinct().count()
+    marks = marks.filter(_share(-(-sample_rows * (1 << 20) // max(ids, 1)), "__id"))
+    few = common.maybe_broadcast(marks, marks.count())
+    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).withColumn("__text", F.xxhash64("text"))
+    rows = common.settle(rows.dropDuplicates(["__id", "__label", "__text"]), "labelled")
+    rows = rows.filter(_share(-(-2 * sample_rows * (1 << 20) // max(rows.count(), 1)), "__id", "__text"))  # a doc_id may have many texts
+    got = with_statistics(rows.select("text", "__id", "__label", "__text"), "__s").orderBy("__id", "__label", "__text").select("__label", "__s.*").toArrow()
     x = np.stack([got.column(s).to_numpy() for s in STATISTICS], 1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return Model(x, got.column("__label").to_numpy().astype(float) if got.num_rows else np.zeros(0), **options)
 
