@@ -68,7 +68,10 @@ class Encoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         if self.fast and not _RARE.search(text) and not any(s in text for s in self.special):
-            return np.asarray(self.fast.encode_ordinary(text.decode("utf-8")), "<u4")
+            try:
+                return np.asarray(self.fast.encode_ordinary(text.decode("utf-8")), "<u4")
+            except UnicodeDecodeError:  # replaced below, by characters that are not for the fast path
+                pass
         if self.exact is None:
             from tokenizers import Tokenizer
 
@@ -239,7 +242,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER, ranks
     runs = spark.sparkContext.broadcast(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"), *["ids"] * keep_ids)
+    # first has a row for each task and length, which grows with the input: never broadcast
+    ranked = pieces.join(first.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"), *["ids"] * keep_ids)
 
     def place(batches):
         p = runs.value

@@ -22,6 +22,13 @@ def test_fast_ids_are_the_tokenizers():
         assert fast(t.encode()).tolist() == exact.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bytes_that_are_not_utf8():
+    """Both ways replace them alike."""
+    fast, exact = packing.Encoder("byte_bpe_50k.json", packing.RANKS), packing.Encoder("byte_bpe_50k.json", None)
+    for t in (b"a\x80b", b"\xc3", b"plain", b"\xff\xfe x"):
+        assert fast(t).tolist() == exact(t).tolist()
+
+
 def brute_bins(lengths, capacity):
     """The least number of bins, by trying all."""
     best = len(lengths)
