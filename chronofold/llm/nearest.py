@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product: a block matrix join with int8 tiles.
 
-Vectors are quantised to int8 where they are read, with a scale and the norm of what
-rounding lost; only these are dealt into blocks, an eighth of the bytes of doubles.
-A task takes one tile: a block of queries against a block of candidates. The tile's
-int8 products, with the error bounds, give a range for every inner product; only
-pairs whose upper end reaches the k-th largest lower end of their query survive.
+Vectors are quantised to int8 where they are read, and what rounding lost once more,
+each with a scale and the norm of what is still lost; only these are dealt into
+blocks, a quarter of the bytes of doubles. A task takes one tile: a block of queries
+against a block of candidates. The tile's int8 products, with the error bounds, give
+a range for every inner product; only pairs whose upper end reaches the k-th largest
+lower end of their query survive, and the second int8 vectors narrow their ranges.
 The tiles' survivors meet in heaps, which keep the k-th largest lower end over all
 tiles, and the pairs that reach it are computed anew in double precision: their
 vectors are fetched once by a join. The result is exact: the bounds never drop a
@@ -24,7 +25,7 @@ its tile; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +37,30 @@ from chronofold.llm import common
 
 K = 20
 QUERIES_EVERY = 20
-#: Rows in a block of queries and of candidates; a vector takes a byte a component there.
-QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16_384
+#: Rows in a block of queries and of candidates; a vector takes two bytes a component there.
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 65_536
 #: Products of a tile held at once.
 TILE = 2_000_000
 #: Vectors of at most so many bytes, all survivors or all queries, may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
-_QUANTISED = "vec_id long, own long, size int, q binary, scale double, lost double, norm double"
+_QUANTISED = "vec_id long, own long, size int, q binary, rest binary, scale double, lost double, left double, norm double"
+#: Rows whose repeats a task recognises.
+REMEMBERED = 500_000
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values, scales, norms of what rounding lost, and norms."""
+def quantised(x: np.ndarray) -> dict[str, np.ndarray]:
+    """int8 values (q) and their scales, int8 values of the rest at 1/254 of the scale, norms of what is lost (without the rest) and left (with it), norms."""
     scale = np.maximum(np.abs(x).max(1) / 127, 1e-300)
     q = np.rint(x / scale[:, None])
-    return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1), np.linalg.norm(x, axis=1)
+    lost = x - q * scale[:, None]
+    rest = np.clip(np.rint(lost / scale[:, None] * 254), -127, 127)
+    left = lost - rest * scale[:, None] / 254
+    return {"q": q.astype(np.int8), "rest": rest.astype(np.int8), "scale": scale, "lost": np.linalg.norm(lost, axis=1), "left": np.linalg.norm(left, axis=1), "norm": np.linalg.norm(x, axis=1)}
+
+
+def _restored(v: dict[str, np.ndarray]) -> np.ndarray:
+    return (v["q"] + v["rest"] / 254) * v["scale"][:, None]
 
 
 def _sound(x: list | None) -> bool:
@@ -60,7 +70,7 @@ def _sound(x: list | None) -> bool:
 def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int):
     """(query's place, candidate's place, low, high) of the pairs whose range reaches the k-th largest low of their query.
 
-    Both sides hold id, q (int8), scale, lost and norm. Of candidates with one id only the best counts for the k-th.
+    Both sides hold id and what quantised() gives. Of candidates with one id only the best counts for the k-th.
     """
     by = np.argsort(candidates["id"], kind="stable")
     v = {c: x[by] for c, x in candidates.items()}
@@ -68,7 +78,7 @@ def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: i
     size = v["q"].shape[1]
     kind = np.float32 if size * 127 * 127 < 1 << 24 else np.float64  # products are exact sums of integers
     right = v["q"].astype(kind)
-    v_norm = v["norm"] + v["lost"]
+    v_norm, v_fine = v["norm"] + v["lost"], _restored(v)
     rows = max(1, TILE // max(len(by), 1))
     for at in range(0, len(queries["id"]), rows):
         q = {c: x[at : at + rows] for c, x in queries.items()}
@@ -81,15 +91,29 @@ def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: i
         best = np.maximum.reduceat(low, first, axis=1) if len(first) < len(by) else low
         floor = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((high >= floor[:, None]) & ~own)
-        yield i + at, by[j], low[i, j], high[i, j]
+        q_fine, fine = _restored(q), np.zeros(len(i))
+        for c in range(size):
+            fine += q_fine[i, c] * v_fine[j, c]
+        slack = q["left"][i] * (v["norm"] + v["left"])[j] + q["norm"][i] * v["left"][j] + 1e-12 * q["norm"][i] * v_norm[j]
+        low, high = fine - slack, fine + slack
+        order = np.lexsort((-low, v["id"][j], i))  # the best of each id, then the k-th of those
+        first_of = order[np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (i, v["id"][j])], axis=0)])] if len(i) else order
+        order = first_of[np.lexsort((-low[first_of], i[first_of]))]
+        begins = np.searchsorted(i[order], np.arange(len(q["id"]) + 1))
+        floor = np.full(len(q["id"]), -np.inf)
+        enough = np.flatnonzero(np.diff(begins) >= k)
+        floor[enough] = low[order[begins[enough] + k - 1]]
+        keep = high >= floor[i]
+        yield i[keep] + at, by[j[keep]], low[keep], high[keep]
 
 
 def _side(t: pa.Table) -> dict[str, np.ndarray]:
+    """A block, without the rows that repeat."""
     out = {"id": t.column("vec_id").to_numpy(), "own": t.column("own").to_numpy()}
-    out |= {c: t.column(c).to_numpy() for c in ("scale", "lost", "norm")}
-    data = b"".join(t.column("q").to_pylist())
-    out["q"] = np.frombuffer(data, np.int8).reshape(len(out["id"]), -1)
-    return out
+    out |= {c: t.column(c).to_numpy() for c in ("scale", "lost", "left", "norm")}
+    out |= {c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.int8).reshape(len(out["id"]), -1) for c in ("q", "rest")}
+    keep = np.unique(np.stack([out["id"], out["own"]], 1), axis=0, return_index=True)[1]
+    return {c: x[keep] for c, x in out.items()}
 
 
 def _least_ids(v: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
@@ -103,20 +127,26 @@ def _least_ids(v: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
 
 
 def quantised_rows(vectors: DataFrame) -> DataFrame:
-    """The sound vectors as int8, with a hash of the vector itself; rows that repeat are one."""
+    """The sound vectors as int8, with a hash of the vector itself. A row that repeats comes once for some REMEMBERED rows of a task."""
     common.arrow_batches(vectors.sparkSession)
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids, own, x = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows = list({(i, h): (i, h, np.array(v, float)) for i, h, v in zip(ids, own, x, strict=True) if i is not None and _sound(v)}.values())
-            for size in sorted({len(r[2]) for r in rows}):
-                some = [r for r in rows if len(r[2]) == size]
-                q, scale, lost, norm = quantised(np.stack([r[2] for r in some]))
-                columns = [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([size] * len(some), pa.int32()), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(scale), pa.array(lost), pa.array(norm)]
+            by_size = defaultdict(list)
+            for i, h, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i is not None and (i, h) not in seen and _sound(v):
+                    seen.add((i, h))
+                    by_size[len(v)].append((i, h, v))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for size, rows in sorted(by_size.items()):
+                v = quantised(np.array([r[2] for r in rows], float))
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([size] * len(rows), pa.int32())]
+                columns += [pa.array([x.tobytes() for x in v[c]], pa.binary()) for c in ("q", "rest")] + [pa.array(v[c]) for c in ("scale", "lost", "left", "norm")]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _QUANTISED.split(", ")])
 
-    return vectors.select("vec_id", _hash(), "embedding").mapInArrow(run, _QUANTISED).dropDuplicates(["vec_id", "own"])
+    return vectors.select("vec_id", _hash(), "embedding").mapInArrow(run, _QUANTISED)
 
 
 def _hash():
