@@ -1,4 +1,4 @@
-"""Gives this package to the executors of a session, once per Spark context."""
+"""What a session's driver and executors share: this package, and a folder."""
 
 from __future__ import annotations
 
@@ -9,14 +9,29 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the one that spark.checkpoint.dir names, else one of our own (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a folder of its own; on a cluster that is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return _own[context.applicationId]
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def ship(spark: SparkSession) -> None:
