@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.shipping import ship
+from chronofold.shipping import shared_folder, ship
 
 #: Rows in an Arrow batch handed to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 256
@@ -21,7 +20,6 @@ BROADCAST_ROWS = 4_000_000
 #: Characters of a plan's text that the driver keeps for each of its last thousand executions.
 PLAN_CHARS = 4096
 
-_own_folder: list[str] = []
 _settled: list[tuple[SparkSession, str]] = []
 
 
@@ -30,21 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python runs on executors: they get this package, and short Arrow batches, as a worker's memory follows the batch."""
+    """Before Python runs on executors: they get this package, and short Arrow batches, as a worker's memory follows the batch.
+
+    All operators take batches of the same size, as a plan reads the setting when it runs, not when it is made.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="shared-"))
-    return f"file://{_own_folder[0]}"
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
