@@ -90,8 +90,10 @@ def without_placement(sql: Column) -> Column:
     return F.regexp_replace(out, r"(?i)ttl_enable\s*=\s*'on'", "TTL_ENABLE='OFF'")
 
 
-#: Messages of errors that say the wanted state is there already. Error codes of the MySQL protocol.
-IGNORABLE_CODES = [1007, 1008, 1049, 1050, 1051, 1054, 1060, 1061, 1091, 1146, 1176]
+#: Errors that say the wanted state is there already. Error codes of the MySQL protocol for a database that
+#: exists, cannot be dropped or does not exist, a table that exists, is unknown at a drop, a column that does not exist or
+#: exists, a key's name that exists, a key or column that cannot be dropped, a table or key that does not exist, an index that exists.
+IGNORABLE_CODES = [1007, 1008, 1049, 1050, 1051, 1054, 1060, 1061, 1091, 1146, 1176, 1831]
 
 
 def ignorable_error(code: Column) -> Column:

@@ -45,8 +45,8 @@ def relaxed_sql_mode(mode: Column) -> Column:
 
 
 def node_id(text: Column) -> Column:
-    """The last segment of a key's path."""
-    return F.substring_index(text, "/", -1)
+    """A node's id from a key's path, without the space around it."""
+    return F.trim(F.substring_index(F.trim(text), "/", -1))
 
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}

@@ -25,7 +25,11 @@ def as_of(changes: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame
     for k in keys:
         fits = fits & F.col(k).eqNullSafe(F.col(f"__{k}"))
     found = asked.join(v, fits, "left").groupBy(*keys, "schema_version").agg(F.min("version").alias("version"))
-    return changes.join(found, [*keys, "schema_version"], "left")
+    found = found.select(*[F.col(k).alias(f"__{k}") for k in [*keys, "schema_version"]], "version")
+    same = F.lit(True)
+    for k in [*keys, "schema_version"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return changes.join(found, same, "left").drop(*[f"__{k}" for k in [*keys, "schema_version"]])
 
 
 def latest(versions: DataFrame, keys: list[str], upto: int) -> DataFrame:

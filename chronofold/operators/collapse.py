@@ -58,6 +58,20 @@ def counted(changes: DataFrame) -> DataFrame:
     return changes.groupBy("op").agg(F.count("*").alias("n"))
 
 
+def histogram(rows: DataFrame, value: Column, start: float, factor: float, buckets: int) -> DataFrame:
+    """bucket, upto, n: cumulative counts of values at or below start * factor^bucket, as metrics keep them.
+
+    Rows are counted by their first bucket before the (few) bounds are met.
+    """
+    bounds = rows.sparkSession.createDataFrame([(k, start * factor**k) for k in range(buckets)], "bucket long, upto double")
+    first = F.lit(buckets)
+    for k in range(buckets - 1, -1, -1):
+        first = F.when(value <= start * factor**k, F.lit(k)).otherwise(first)
+    counts = rows.groupBy(first.alias("__k")).agg(F.count(value).alias("__n"))
+    both = bounds.join(F.broadcast(counts), F.col("__k") <= F.col("bucket"), "left")  # buckets + 1 rows
+    return both.groupBy("bucket", "upto").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
+
+
 def grouped(changes: DataFrame, has_key: Column, merges: bool = True) -> DataFrame:
     """Rows of each table, and whether they can be applied in bulk by key."""
     return changes.groupBy("db", "tbl").agg(F.count("*").alias("n"), (F.min(has_key.cast("int")) == F.lit(1)).alias("__k")).select("db", "tbl", "n", (F.col("__k") & F.lit(merges)).alias("bulk"))

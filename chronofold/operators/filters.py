@@ -90,20 +90,30 @@ def combined(rules: DataFrame) -> DataFrame:
     return out.select("schema", "table", F.flatten("p.events").alias("events"), F.flatten("p.sql_patterns").alias("sql_patterns"))
 
 
-#: Statement kinds that are never passed on.
-UNSUPPORTED_JOBS = [
-    "update columnar replica status", "lock table", "unlock table", "alter cache table", "alter no cache table",
-    "alter table attributes", "alter table partition attributes", "create placement policy", "alter placement policy",
-    "drop placement policy", "create resource group", "alter resource group", "drop resource group",
-]
-
-
-def supported_job(job_type: Column) -> Column:
-    return ~job_type.isin(UNSUPPORTED_JOBS)
-
-
-def finished_job(state: Column) -> Column:
-    return state.isin("synced", "done")
+#: Kinds of jobs that are never passed on, as patterns for the log's own job names.
+UNSUPPORTED_JOBS = (
+    r"update \w+ replica status",
+    r"(un)?lock table",
+    r"alter (table )?(no ?)?cache( table)?",
+    r"alter table (partition )?attributes",
+    r"(create|alter|drop) placement policy",
+    r"alter table (partition )?placement",
+    r"modify schema default placement",
+    r"(create|alter|drop) resource group",
+)
+#: Fixed value: table ids above it are those of the log's own job tables (48 bits, less a reserve of 1,000).
+MAX_TABLE_ID = 0xFFFFFFFFFFFF - 1000
+
+
+def supported_job(job_type: Column, unsupported: tuple[str, ...] = UNSUPPORTED_JOBS) -> Column:
+    """Whether a job of this kind is passed on; a kind is compared whole and in any case."""
+    return ~any_of([job_type.rlike(f"(?i)^{p}$") for p in unsupported])
+
+
+def finished_job(state: Column, table_id: Column | None = None) -> Column:
+    """Whether a job has come to its end, and is not one of the log's own job tables."""
+    done = state.isin("synced", "done")
+    return done if table_id is None else done & (table_id <= MAX_TABLE_ID)
 
 
 def real_statement(sql: Column) -> Column:

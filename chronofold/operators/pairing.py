@@ -75,6 +75,16 @@ def safe_gc_ts(nodes: DataFrame) -> DataFrame:
     return nodes.filter("state <> 'offline'").agg(F.min("max_commit_ts").alias("safe_ts"))
 
 
+#: Hours by which a consumer must be ahead of the collected range.
+LEAD_H = 20
+
+
+def near_collected(nodes: DataFrame, gc_ts: int, lead_h: int = LEAD_H) -> DataFrame:
+    """Consumers that are not offline and stand less than ``lead_h`` hours after what is collected: they may soon miss records."""
+    bound = gc_ts + (lead_h * 3_600_000 << tso.LOGICAL_BITS)
+    return nodes.filter((F.col("state") != "offline") & (F.col("max_commit_ts") < bound))
+
+
 def collected(log: DataFrame, gc_ts: int, last_gc_ts: int, max_commit_ts: int, keep_s: int = LONGEST_TXN_S) -> DataFrame:
     """``log`` after garbage collection at gc_ts. Nothing goes unless last < gc_ts < the largest commit; bodies stay longer."""
     if not last_gc_ts < gc_ts < max_commit_ts:

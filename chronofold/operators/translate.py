@@ -43,9 +43,22 @@ def to_map(columns: Column, values: Column) -> Column:
     return F.map_from_arrays(columns, values)
 
 
-def argument(union: Column) -> Column:
-    """The one value that a tagged union holds, as text; JSON and text are bytes in it."""
-    return F.coalesce(*[union[c].cast("string") for c in ("int_value", "uint_value", "double_value", "bytes_value", "string_value")])
+def argument(union: Column, kind: Column) -> Column:
+    """struct(text, bytes) of the one value that a tagged union holds: bytes for binary values, else text.
+
+    Bytes of a JSON column are its text, and those of a bit column an unsigned number. Nothing set is an empty text,
+    unless the union says that it is null.
+    """
+    raw = union["bytes_value"]
+    bits = F.conv(F.hex(raw), 16, 10)
+    text = F.coalesce(
+        *[union[c].cast("string") for c in ("int_value", "uint_value", "double_value")],
+        F.when(raw.isNotNull() & (kind == "json"), raw.cast("string")).when(raw.isNotNull() & (kind == "bit"), bits),
+    )
+    binary = F.when(text.isNull() & raw.isNotNull(), raw)
+    text = F.when(binary.isNull(), F.coalesce(text, union["string_value"], F.lit("")))
+    null = F.coalesce(union["is_null"], F.lit(False))
+    return F.struct(F.when(~null, text).alias("text"), F.when(~null, binary).alias("bytes"))
 
 
 def without_columns(values: Column, known: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofold.functions import ddl, names, tso
-from chronofold.operators import apply, catalog, filters, merge, ordering, pairing, statements, translate
+from chronofold.operators import apply, catalog, filters, keyinfo, merge, ordering, pairing, statements, translate
 from chronofold.plans import views
-from chronofold.plans.queries import _facts, _keyed, query
+from chronofold.plans.queries import _ddl_jobs, _facts, _keyed, query
 from chronofold.plans.views import ARRIVALS, CHANGES, TRANSACTIONS
 
 # ---- scans ----
@@ -18,15 +18,25 @@ def s13(spark, sf_dir):
     return views.transactions(spark, sf_dir).select("txn", "tp", "start_ts")
 
 
-_CONSTRAINTS = [("t", "p1", "P", "a", 1), ("t", "u1", "U", "c", 2), ("t", "u1", "U", "b", 1), ("t", "i1", None, "d", 1)]
+@query("s22_keys_with_constraints", """SELECT s_suppkey AS tbl, place, name, columns, CAST(name = 'pk' AS BOOLEAN) AS "primary" FROM (
+  SELECT s_suppkey, 0 AS place, 'pk' AS name, 'id' AS columns FROM supplier UNION ALL SELECT s_suppkey, 1, 'uk', 'b,a' FROM supplier WHERE s_suppkey % 2 = 0)""")
+def s22(spark, sf_dir):
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tbl"))
+    unique = F.when(F.col("tbl") % 2 == 0, True).otherwise(False)
+    indexes = s.select("tbl", F.explode(F.array(F.struct(F.lit("uk").alias("index_name"), unique.alias("is_unique")), F.struct(F.lit("pk").alias("index_name"), F.lit(True).alias("is_unique")))).alias("x")).select("tbl", "x.*")
+    constraints = s.select("tbl", F.lit("pk").alias("index_name"), F.lit("P").alias("kind"))
+    columns = s.crossJoin(F.broadcast(spark.createDataFrame([("uk", 2, "a"), ("uk", 1, "b"), ("pk", 1, "id")], "index_name string, pos int, col string")))  # three rows
+    keys = keyinfo.constrained_keys(indexes, constraints, columns, ["tbl"])
+    return keys.select("tbl", F.posexplode("keys").alias("place", "k")).select("tbl", "place", "k.name", F.array_join("k.columns", ",").alias("columns"), F.col("k.primary").alias("primary"))
 
 
-@query("s22_keys_with_constraints", "SELECT tbl, index_name, kind, string_agg(col, ',' ORDER BY pos) AS columns FROM " + _facts(_CONSTRAINTS, "tbl, index_name, kind, col, pos") + " WHERE kind IS NOT NULL GROUP BY ALL")
-def s22(spark, sf_dir):
-    rows = spark.createDataFrame(_CONSTRAINTS, "tbl string, index_name string, kind string, col string, pos long")
-    indexes, constraints = rows.select("tbl", "index_name").distinct(), rows.filter("kind is not null").select("tbl", "index_name", "kind").distinct()
-    columns = rows.groupBy("tbl", "index_name").agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("c"))
-    return indexes.join(constraints, ["tbl", "index_name"]).join(columns, ["tbl", "index_name"]).select("tbl", "index_name", "kind", F.array_join("c.col", ",").alias("columns"))
+@query("s22_data_types", "SELECT s_suppkey AS tbl, 'a=' || CASE WHEN s_suppkey % 2 = 0 THEN 'CHAR' ELSE 'NUMBER' END || ';b=DATE' AS types FROM supplier")
+def s22_types(spark, sf_dir):
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tbl"))
+    kind = F.when(F.col("tbl") % 2 == 0, "CHAR").otherwise("NUMBER")
+    rows = s.select("tbl", F.explode(F.array(F.struct(F.lit("b").alias("name"), F.lit("DATE").alias("data_type")), F.struct(F.lit("a").alias("name"), kind.alias("data_type")))).alias("x")).select("tbl", "x.*")
+    types = keyinfo.data_types(rows, ["tbl"])
+    return types.select("tbl", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("types"))
 
 
 # ---- filters ----
@@ -47,20 +57,23 @@ def p8(spark, sf_dir):
     return c.filter(~filters.ignored(rules, F.col("db"), F.col("tbl"), event)).groupBy("db", "tbl", "op").agg(F.count("*").alias("n"))
 
 
-_KINDS = [("create table",), ("lock table",), ("drop resource group",), ("add column",), ("alter cache table",)]
+_KINDS = [
+    "create table", "add column", "drop table", "alter table auto id", "update columnar replica status", "lock table", "unlock table", "alter table cache", "alter table nocache",
+    "alter table attributes", "alter table partition attributes", "create placement policy", "alter placement policy", "drop placement policy", "alter table partition placement",
+    "modify schema default placement", "alter table placement", "create resource group", "alter resource group", "drop resource group",
+]
 
 
-@query("p11_unsupported_jobs", "SELECT job_type FROM " + _facts(_KINDS, "job_type") + " WHERE job_type IN ('create table', 'add column')")
+@query("p11_unsupported_jobs", "SELECT p_partkey, kind AS job_type FROM part JOIN " + _facts(list(enumerate(_KINDS)), "k, kind") + " ON p_partkey % 20 = k WHERE k < 4")
 def p11(spark, sf_dir):
-    return spark.createDataFrame(_KINDS, "job_type string").filter(filters.supported_job(F.col("job_type")))
-
+    kinds = F.array(*map(F.lit, _KINDS))
+    jobs = views.table(spark, sf_dir, "part").select("p_partkey", F.get(kinds, (F.col("p_partkey") % 20).cast("int")).alias("job_type"))
+    return jobs.filter(filters.supported_job(F.col("job_type")))
 
-_STATES = [(1, "synced"), (2, "done"), (3, "rollback"), (4, "running"), (5, None)]
 
-
-@query("p12_finished_jobs", "SELECT id FROM " + _facts(_STATES, "id, state") + " WHERE state IN ('synced', 'done')")
+@query("p12_finished_jobs", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 50 > 0")
 def p12(spark, sf_dir):
-    return spark.createDataFrame(_STATES, "id long, state string").filter(filters.finished_job(F.col("state"))).select("id")
+    return _ddl_jobs(spark, sf_dir).filter(filters.finished_job(F.col("state"), F.col("table_id"))).select(F.col("version").alias("o_orderkey"))
 
 
 @query("p16_replay_filter", """, r AS (SELECT event_id // 7 AS rec, event_id % 70 < 7 AS is_ddl, db, tbl FROM chg), ok AS (SELECT *, lower(db) = 'app' AND tbl <> 'error' AS pass FROM r)
@@ -125,7 +138,7 @@ def t9(spark, sf_dir):
     return views.changes(spark, sf_dir).select("event_id", translate.shouted(F.col("db"), F.col("tbl")).alias("name"))
 
 
-@query("t10_file_ddl", "SELECT id, CASE WHEN kind IN ('create database', 'drop database') OR db = '' THEN bare ELSE 'use `' || db || '`; ' || bare END AS query FROM " + _facts([(i, f[0], f[1], s.replace("use db1; ", "").replace("use db1;", "")) for i, (f, s) in enumerate(zip(views.STATEMENT_FACTS, views.STATEMENTS, strict=True))], "id, kind, db, bare"))
+@query("t10_file_ddl", "SELECT id, CASE WHEN kind IN ('create database', 'drop database') OR db = '' THEN bare ELSE 'use `' || db || '`; ' || bare END AS query FROM " + _facts([(i, f[0], f[1], s.replace("use shop; ", "").replace("use shop;", "")) for i, (f, s) in enumerate(zip(views.STATEMENT_FACTS, views.STATEMENTS, strict=True))], "id, kind, db, bare"))
 def t10(spark, sf_dir):
     s = views.statements(spark).select("id", ddl.kind(F.col("sql")).alias("kind"), ddl.target(F.col("sql"))["db"].alias("db"), ddl.without_use(F.col("sql")).alias("bare"))
     return s.select("id", translate.file_ddl(F.col("db"), F.col("kind"), F.col("bare")).alias("query"))
@@ -138,24 +151,33 @@ def t12(spark, sf_dir):
     return c.select("event_id", F.try_element_at(values, F.lit("value")).alias("value"))
 
 
-_KEYS = [("t", "u2", False, "c"), ("t", "primary", True, "a"), ("u", "u1", False, "x")]
+@query("t13_key_order", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'PRIMARY:id;uk:b,a' WHEN 1 THEN 'uk:b,a' WHEN 2 THEN 'PRIMARY:id;uk:b,a' ELSE 'PRIMARY:b;uk:b,a' END AS keys FROM orders""")
+def t13(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
 
+    def index(name, unique, primary, *columns):
+        return F.struct(F.lit(name).alias("name"), F.lit(unique).alias("is_unique"), F.lit(primary).alias("is_primary"), F.array(*map(F.lit, columns)).alias("columns"))
 
-@query("t13_key_order", "SELECT tbl, string_agg(col, ';' ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, name) AS keys FROM " + _facts([(a, b, int(c), d) for a, b, c, d in _KEYS], "tbl, name, p, col").replace("AS v(", "AS w(") .replace("(VALUES", "(SELECT tbl, name, p = 1 AS prim, col FROM (VALUES") + ") GROUP BY tbl")
-def t13(spark, sf_dir):
-    k = spark.createDataFrame(_KEYS, "tbl string, name string, prim boolean, col string")
-    return k.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("prim"), 0).otherwise(1).alias("p"), "name", "col"))).alias("k")).select("tbl", F.array_join("k.col", ";").alias("keys"))
+    common = [index("uk", True, False, "b", "a"), index("plain", False, False, "c")]
+    # 0: the primary key is the handle; 1: no primary key; 2: the same, and listed too; 3: a primary key beside the handle
+    indexes = F.when(k == 2, F.array(index("PRIMARY", True, True, "id"), *common)).when(k == 3, F.array(index("PRIMARY", False, True, "b"), *common)).otherwise(F.array(*common))
+    keys = keyinfo.record_keys((k == 0) | (k == 2), F.lit("id"), indexes)
+    text = F.transform(keys, lambda x: F.concat(x["name"], F.lit(":"), F.array_join(x["columns"], ",")))
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text, ";").alias("keys"))
 
 
-@query("t15_union_arguments", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type END AS arg FROM events")
+@query("t15_union_arguments", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN CAST(user_id % 256 * 256 + 7 AS VARCHAR) WHEN 4 THEN '' END AS text,
+  CASE event_id % 6 WHEN 3 THEN 'FF' || upper(hex(event_type)) END AS bytes FROM events""")
 def t15(spark, sf_dir):
-    k = F.col("event_id") % 3
-    none = F.lit(None)
+    e, k, none = views.table(spark, sf_dir, "events"), F.col("event_id") % 6, F.lit(None)
+    two = F.unhex(F.concat(F.lpad(F.hex(F.col("user_id") % 256), 2, "0"), F.lit("07")))  # a bit column of two bytes
+    raw = F.when(k == 1, F.col("event_type").cast("binary")).when(k == 2, two).when(k == 3, F.concat(F.unhex(F.lit("FF")), F.col("event_type").cast("binary")))
     u = F.struct(
-        F.when(k == 0, F.col("user_id")).alias("int_value"), none.cast("decimal(20,0)").alias("uint_value"), none.cast("double").alias("double_value"),
-        F.when(k == 1, F.col("event_type").cast("binary")).alias("bytes_value"), none.cast("string").alias("string_value"),
+        F.when(k.isin(0, 5), F.col("user_id")).alias("int_value"), none.cast("decimal(20,0)").alias("uint_value"), none.cast("double").alias("double_value"),
+        raw.alias("bytes_value"), none.cast("string").alias("string_value"), (k == 5).alias("is_null"),
     )
-    return views.table(spark, sf_dir, "events").select("event_id", translate.argument(u).alias("arg"))
+    a = translate.argument(u, F.when(k == 1, "json").when(k == 2, "bit").otherwise("blob"))
+    return e.select("event_id", a.alias("a")).select("event_id", "a.text", F.hex("a.bytes").alias("bytes"))
 
 
 @query("t16_from_file_records", "SELECT event_id, op, pk, CASE WHEN op = 'U' THEN pk + 1 END AS changed FROM chg", CHANGES)
@@ -194,7 +216,7 @@ def k8_ddl(spark, sf_dir):
 # ---- functions ----
 
 
-@query("f11_ddl_flags", "SELECT id, coalesce(kind = 'create database', false) AS creates_db, coalesce(kind = 'truncate table', false) AS truncates, coalesce(kind IN ('alter table', 'rename table', 'create index', 'truncate table', 'drop table'), false) AS refreshes FROM " + _facts([(i, f[0]) for i, f in enumerate(views.STATEMENT_FACTS)], "id, kind"))
+@query("f11_ddl_flags", "SELECT id, coalesce(kind = 'create database', false) AS creates_db, coalesce(kind = 'truncate table', false) AS truncates, coalesce(kind IN ('alter table', 'rename table', 'create index', 'drop index', 'truncate table', 'drop table'), false) AS refreshes FROM " + _facts([(i, f[0]) for i, f in enumerate(views.STATEMENT_FACTS)], "id, kind"))
 def f11(spark, sf_dir):
     q = F.col("sql")
     return views.statements(spark).select("id", ddl.is_create_database(q).alias("creates_db"), ddl.is_truncate(q).alias("truncates"), ddl.changes_columns(q).alias("refreshes"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import ddl, names, tso
-from chronofold.operators import apply, catalog, causality, collapse, filters, merge, pairing, routing, statements, translate
+from chronofold.operators import apply, catalog, causality, collapse, files, filters, keyinfo, merge, ordering, pairing, routing, statements, translate
 from chronofold.plans import views
 from chronofold.plans.views import ARRIVALS, CHANGES, TRANSACTIONS
 
@@ -77,33 +77,28 @@ def s6(spark, sf_dir):
 g AS (SELECT *, lead(first_ts) OVER (ORDER BY suffix) AS next_ts FROM f)
 SELECT suffix, first_ts FROM g, rng WHERE (next_ts IS NULL OR next_ts > a) AND first_ts <= b""", CHANGES, _MIDDLE)
 def s7(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    from chronofold.operators import ordering
-
     log = views.changes(spark, sf_dir)
     n, (a, b) = log.count(), _middle(spark, sf_dir)
     place = ordering.running(log, F.col("commit_ts"), [], F.lit(1), "before", "sum")
-    files = place.groupBy(F.expr(f"before div {n // 10 + 1}").alias("suffix")).agg(F.min("commit_ts").alias("first_ts"))
-    following = files.withColumn("next_ts", F.lead("first_ts").over(Window.orderBy("suffix")))  # one row for each file
-    return following.filter((F.col("next_ts").isNull() | (F.col("next_ts") > a)) & (F.col("first_ts") <= b)).select("suffix", "first_ts")
-
+    starts = place.groupBy(F.expr(f"before div {n // 10 + 1}").alias("suffix")).agg(F.min("commit_ts").alias("first_ts"))
+    return files.pruned(starts, "suffix", "first_ts", a, b)
 
-_NAMES = ["binlog-0000000000000001", "binlog-0000000000000002-20181010101010", "binlog-0000000000000003-20181010101010-407623959013752832.tar.gz", "binlog-0000000000000005-20181010101011", "savepoint", "x.lock", "binlog-a"]
 
-
-@query("s10_file_names", """SELECT name, TRY_CAST(regexp_extract(name, '^binlog-(\\d+)', 1) AS BIGINT) AS suffix, CASE WHEN len(string_split(name, '-')) = 4 THEN CAST(string_split(string_split(name, '-')[4], '.')[1] AS BIGINT) ELSE 0 END AS first_ts
-FROM """ + _facts([(n,) for n in _NAMES], "name") + " WHERE regexp_matches(name, '^binlog-\\d+')")
+@query("s10_file_names", """, n AS (SELECT event_id, 'binlog-' || lpad(CAST(event_id AS VARCHAR), 16, '0') || CASE WHEN event_id % 3 > 0 THEN '-20240102030405' ELSE '' END
+  || CASE event_id % 6 WHEN 1 THEN '-' || commit_ts || '.tar.gz' WHEN 4 THEN '-' || commit_ts ELSE '' END AS name, commit_ts FROM chg WHERE event_id % 5 > 0)
+SELECT name, event_id AS suffix, CASE WHEN event_id % 6 IN (1, 4) THEN commit_ts ELSE 0 END AS first_ts FROM n""", CHANGES)
 def s10(spark, sf_dir):
-    t = spark.createDataFrame([(n,) for n in _NAMES], "name string").filter(F.col("name").rlike(r"^binlog-\d+"))
-    parts = F.split("name", "-")
-    ts = F.when(F.size(parts) == 4, F.substring_index(F.get(parts, F.lit(3)), ".", 1).try_cast("long")).otherwise(F.lit(0).cast("long"))
-    return t.select("name", F.regexp_extract("name", r"^binlog-(\d+)", 1).cast("long").alias("suffix"), ts.alias("first_ts"))
+    c, k = views.changes(spark, sf_dir), F.col("event_id")
+    stamp = F.when(k % 3 > 0, "-20240102030405").otherwise("")
+    ts = F.when(k % 6 == 1, F.concat(F.lit("-"), F.col("commit_ts").cast("string"), F.lit(".tar.gz"))).when(k % 6 == 4, F.concat(F.lit("-"), F.col("commit_ts").cast("string"))).otherwise("")
+    other = F.when(k % 10 == 0, "savepoint").when(k % 10 == 5, F.concat(F.lit("binlog-x"), k.cast("string")))
+    name = F.coalesce(other, F.concat(F.lit("binlog-"), F.lpad(k.cast("string"), 16, "0"), stamp, ts))
+    return files.parsed_names(c.select(name.alias("name")), "name")
 
 
 @query("s12_read_n_from", ", p AS (SELECT a FROM rng) SELECT event_id, commit_ts FROM chg, p WHERE commit_ts >= a ORDER BY commit_ts LIMIT 100", CHANGES, _MIDDLE)
 def s12(spark, sf_dir):
-    return views.changes(spark, sf_dir).filter(F.col("commit_ts") >= _middle(spark, sf_dir)[0]).orderBy("commit_ts").limit(100).select("event_id", "commit_ts")
+    return files.first_from(views.changes(spark, sf_dir), F.col("commit_ts"), _middle(spark, sf_dir)[0], 100).select("event_id", "commit_ts")
 
 
 @query("s18_point_lookup", ", p AS (SELECT max(start_ts) AS a FROM txl WHERE tp = 'P') SELECT txn, tp, start_ts, commit_ts FROM txl, p WHERE CASE WHEN tp = 'P' THEN start_ts ELSE commit_ts END = a", TRANSACTIONS)
@@ -112,13 +107,20 @@ def s18(spark, sf_dir):
     return pairing.point(log, log.filter("tp = 'P'").agg(F.max("start_ts")).first()[0]).select("txn", "tp", "start_ts", "commit_ts")
 
 
-_JOBS = [(1, "create schema", "synced", "app", None), (2, "create table", "synced", "app", "a"), (3, "add column", "rollback", "app", "a"), (4, "create table", "done", "app", "b"), (5, "lock table", "synced", "app", "b"), (6, "truncate table", "synced", "app", "b")]
+_KIND = "CASE o_orderkey % 5 WHEN 0 THEN 'create table' WHEN 1 THEN 'add column' WHEN 2 THEN 'lock table' WHEN 3 THEN 'alter table placement' ELSE 'truncate table' END"
+
+
+def _ddl_jobs(spark, sf_dir):
+    o, k = views.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.when(k % 5 == 0, "create table").when(k % 5 == 1, "add column").when(k % 5 == 2, "lock table").when(k % 5 == 3, "alter table placement").otherwise("truncate table")
+    state = F.when(F.col("o_orderstatus") == "F", "synced").when(F.col("o_orderstatus") == "O", "rollback").otherwise("done")
+    return o.select(k.alias("version"), kind.alias("job_type"), state.alias("state"), F.when(k % 50 == 0, (1 << 48) - 1).otherwise(F.col("o_custkey")).alias("table_id"))
 
 
-@query("s19_ddl_history", "SELECT version, job_type, db, tbl FROM " + _facts(_JOBS, "version, job_type, state, db, tbl") + " WHERE state IN ('synced', 'done') AND job_type <> 'lock table'")
+@query("s19_ddl_history", f"SELECT o_orderkey AS version, {_KIND} AS job_type FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 5 NOT IN (2, 3) AND o_orderkey % 50 > 0")
 def s19(spark, sf_dir):
-    jobs = spark.createDataFrame(_JOBS, "version long, job_type string, state string, db string, tbl string")
-    return jobs.filter(filters.finished_job(F.col("state")) & filters.supported_job(F.col("job_type"))).orderBy("version").select("version", "job_type", "db", "tbl")
+    jobs = _ddl_jobs(spark, sf_dir)
+    return jobs.filter(filters.finished_job(F.col("state"), F.col("table_id")) & filters.supported_job(F.col("job_type"))).orderBy("version").select("version", "job_type")
 
 
 @query("s20_catalog_snapshot", """, t AS (SELECT DISTINCT db, tbl FROM chg), d AS (SELECT db, 0 AS phase, NULL AS tables FROM (SELECT DISTINCT db FROM t) UNION ALL SELECT db, 1, string_agg(tbl, ',' ORDER BY tbl) FROM t GROUP BY db)
@@ -128,19 +130,34 @@ def s20(spark, sf_dir):
     return jobs.withColumn("tables", F.array_join("tables", ","))
 
 
-_INDEXES = [("t", "uk_b", 1, "b"), ("t", "uk_b", 2, "c"), ("t", "PRIMARY", 1, "a"), ("t", "uk_d", 1, "d"), ("u", "PRIMARY", 2, "y"), ("u", "PRIMARY", 1, "x")]
+@query("s21_unique_keys", """SELECT n_nationkey AS tbl, place, name, columns FROM (SELECT n_nationkey, 0 AS place, 'PRIMARY' AS name, 'id' AS columns FROM nation WHERE n_nationkey % 3 > 0
+  UNION ALL SELECT n_nationkey, CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END, 'uk_name', 'region,name' FROM nation WHERE n_nationkey % 2 = 0)""")
+def s21(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "tbl")
 
+    def index(name, unique, *columns):
+        return [F.struct(F.lit(name).alias("name"), F.lit(unique).alias("is_unique"), F.lit(i).alias("seq"), F.lit(c).alias("col")) for i, c in enumerate(columns, 1)]
+
+    rows = F.when(F.col("tbl") % 3 > 0, F.array(*index("PRIMARY", True, "id"))).otherwise(F.array(*index("by_region", False, "region")))
+    more = F.when(F.col("tbl") % 2 == 0, F.array(*reversed(index("uk_name", True, "region", "name")))).otherwise(F.array(*index("by_name", False, "name")))
+    indexes = n.select("tbl", F.explode(F.concat(rows, more)).alias("x")).select("tbl", "x.*")
+    keys = keyinfo.unique_keys(indexes, ["tbl"])
+    return keys.select("tbl", F.posexplode("keys").alias("place", "k")).select("tbl", "place", "k.name", F.array_join("k.columns", ",").alias("columns"))
 
-@query("s21_unique_keys", "SELECT tbl, index_name, string_agg(col, ',' ORDER BY seq) AS columns, CASE index_name WHEN 'PRIMARY' THEN 0 ELSE 1 END AS place FROM " + _facts(_INDEXES, "tbl, index_name, seq, col") + " GROUP BY tbl, index_name")
-def s21(spark, sf_dir):
-    i = spark.createDataFrame(_INDEXES, "tbl string, index_name string, seq long, col string")
-    keys = i.groupBy("tbl", "index_name").agg(F.array_sort(F.collect_list(F.struct("seq", "col"))).alias("c"))
-    return keys.select("tbl", "index_name", F.array_join("c.col", ",").alias("columns"), F.when(F.col("index_name") == "PRIMARY", 0).otherwise(1).alias("place")).orderBy("tbl", "place", "index_name")
+
+@query("s21_writable_columns", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'c_custkey' ELSE 'c_custkey,c_name' END AS columns FROM customer WHERE c_custkey % 9 > 0")
+def s21_columns(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer")
+    extra = F.when(F.col("c_custkey") % 4 == 0, F.when(F.col("c_custkey") % 8 == 0, "VIRTUAL GENERATED").otherwise("STORED GENERATED")).otherwise("auto_increment")
+    rows = F.array(F.struct(F.lit(1).alias("place"), F.lit("c_custkey").alias("name"), F.lit("").alias("extra")), F.struct(F.lit(2).alias("place"), F.lit("c_name").alias("name"), extra.alias("extra")))
+    gone = F.transform(rows, lambda x: F.struct(x["place"].alias("place"), x["name"].alias("name"), F.when(F.col("c_custkey") % 9 == 0, "STORED GENERATED").otherwise(x["extra"]).alias("extra")))
+    columns = c.select("c_custkey", F.explode(gone).alias("x")).select("c_custkey", "x.*")
+    return keyinfo.columns_of(columns, ["c_custkey"]).select("c_custkey", F.array_join("columns", ",").alias("columns"))
 
 
 @query("s23_target_position", ", f AS (SELECT db, tbl, max(commit_ts) AS position FROM chg GROUP BY db, tbl) SELECT * FROM f", CHANGES)
 def s23(spark, sf_dir):
-    return views.changes(spark, sf_dir).groupBy("db", "tbl").agg(F.max("commit_ts").alias("position"))
+    return keyinfo.positions(views.changes(spark, sf_dir), ["db", "tbl"])
 
 
 # ---- filters ----
@@ -156,10 +173,11 @@ def p1(spark, sf_dir):
     return c.filter(RULES.passes(F.col("db"), F.col("tbl"))).groupBy("db", "tbl").agg(F.count("*").alias("n"))
 
 
-@query("p3_database_ddl_filter", "SELECT db, tbl FROM " + _facts([("fulldb", ""), ("db", ""), ("fulldb_re_x", "")], "db, tbl") + " WHERE db LIKE 'fulldb%'")
+@query("p3_database_ddl_filter", "SELECT DISTINCT db, '' AS tbl FROM chg WHERE db <> 'log_3'", CHANGES)
 def p3(spark, sf_dir):
-    t = spark.createDataFrame([("fulldb", ""), ("db", ""), ("fulldb_re_x", "")], "db string, tbl string")
-    return t.filter(filters.TableRules(do_dbs=["fulldb", "~fulldb_re.*"], do_tables=[("db", "table")]).passes(F.col("db"), F.col("tbl")))
+    # statements about a whole database name no table, so a rule for a table does not let them pass
+    t = views.changes(spark, sf_dir).select("db", F.lit("").alias("tbl")).distinct()
+    return t.filter(filters.TableRules(do_dbs=["app", "~_1$"], do_tables=[("log_3", "view")]).passes(F.col("db"), F.col("tbl")))
 
 
 EVENT_RULES = [filters.EventRule("log_*", "*", ("delete",)), filters.EventRule("App", "view", ("update",))]
@@ -185,7 +203,7 @@ def p5(spark, sf_dir):
 @query("p6_ddl_event_filter", "SELECT id, kind FROM " + _facts([(i, f[0]) for i, f in enumerate(views.STATEMENT_FACTS)], "id, kind") + " WHERE kind IS DISTINCT FROM 'truncate table' AND id NOT IN (6, 7)")
 def p6(spark, sf_dir):
     s = views.statements(spark).withColumn("kind", ddl.kind(F.col("sql")))
-    rules = [filters.EventRule("*", "*", ("truncate table",), ("alter table .* drop column v1",))]
+    rules = [filters.EventRule("*", "*", ("truncate table",), (r"alter\s+table .* (add|drop) ",))]
     return s.filter(~filters.ignored(rules, F.lit(""), F.lit(""), F.col("kind"), F.col("sql"))).select("id", "kind")
 
 
@@ -236,9 +254,10 @@ def p18(spark, sf_dir):
     return merge.ordered_merge([views.changes(spark, sf_dir)], _middle(spark, sf_dir)[0]).select("event_id")
 
 
-@query("p20_ignorable_errors", "SELECT code, code IN (1007, 1008, 1049, 1050, 1051, 1054, 1060, 1061, 1091, 1146, 1176) AS ignorable FROM " + _facts([(c,) for c in (1007, 1050, 1062, 1146, 2013)], "code"))
+@query("p20_ignorable_errors", "SELECT code, code IN (1007, 1008, 1049, 1050, 1051, 1054, 1060, 1061, 1091, 1146, 1176, 1831) AS ignorable FROM (SELECT DISTINCT 1000 + p_partkey % 900 AS code FROM part)")
 def p20(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in (1007, 1050, 1062, 1146, 2013)], "code long").select("code", ddl.ignorable_error(F.col("code")).alias("ignorable"))
+    codes = views.table(spark, sf_dir, "part").select((1000 + F.col("p_partkey") % 900).alias("code")).distinct()
+    return codes.select("code", ddl.ignorable_error(F.col("code")).alias("ignorable"))
 
 
 # ---- joins ----
@@ -361,9 +380,11 @@ def a7(spark, sf_dir):
     return collapse.grouped(views.changes(spark, sf_dir), F.col("tbl") != "view")
 
 
-@query("a9_delay_histogram", "SELECT CAST(floor(log2(1 + event_id % 5 * 100)) AS BIGINT) AS bucket, count(*) AS n FROM chg GROUP BY 1", CHANGES)
+@query("a9_delay_histogram", """, d AS (SELECT ((commit_ts >> 18) - (start_ts >> 18)) / 1000.0 AS s FROM chg), b AS (SELECT range AS k FROM range(15))
+SELECT k AS bucket, 0.001 * (1 << k) AS upto, count(s) AS n FROM b LEFT JOIN d ON d.s <= 0.001 * (1 << k) GROUP BY k""", CHANGES)
 def a9(spark, sf_dir):
-    return views.changes(spark, sf_dir).groupBy(F.floor(F.log2(1 + F.col("event_id") % 5 * 100)).alias("bucket")).agg(F.count("*").alias("n"))
+    delay = (tso.physical(F.col("commit_ts")) - tso.physical(F.col("start_ts"))) / 1000
+    return collapse.histogram(views.changes(spark, sf_dir), delay, 0.001, 2.0, 15)
 
 
 # ---- windows and order ----
@@ -386,11 +407,8 @@ def w3(spark, sf_dir):
 
 @query("w7_suffix_gaps", "SELECT suffix, suffix - lag(suffix) OVER (ORDER BY suffix) - 1 AS gap FROM (SELECT DISTINCT user_id AS suffix FROM events WHERE user_id % 10 <> 3)")
 def w7(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    # a row for each file of a directory: few enough for one task
-    files = views.table(spark, sf_dir, "events").filter("user_id % 10 <> 3").select(F.col("user_id").alias("suffix")).distinct()
-    return files.select("suffix", (F.col("suffix") - F.lag("suffix").over(Window.orderBy("suffix")) - 1).alias("gap"))
+    suffixes = views.table(spark, sf_dir, "events").filter("user_id % 10 <> 3").select(F.col("user_id").alias("suffix")).distinct()
+    return files.gaps(suffixes)
 
 
 @query("o1_ordered_merge", """, u AS (SELECT commit_ts, source_id, event_id FROM chg UNION ALL SELECT commit_ts, 9, event_id FROM chg WHERE event_id % 50 = 0) SELECT commit_ts, source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY commit_ts ORDER BY source_id) AS k FROM u) WHERE k = 1""", CHANGES)
@@ -458,10 +476,13 @@ def m15(spark, sf_dir):
     return pairing.droppable_files(files, low + (high - low) // 2)
 
 
-@query("m16_purged_range_alert", "SELECT id FROM " + _facts(_NODES, "id, state, ts") + " WHERE state <> 'offline' AND ts < 28 + 20")
+@query("m16_purged_range_alert", """, n AS (SELECT pk, max(commit_ts) AS ts, bool_or(event_id % 100 = 0) AS off FROM chg GROUP BY pk), g AS (SELECT max(commit_ts) - CAST(75600000 AS BIGINT) * 262144 AS gc FROM chg)
+SELECT pk AS id FROM n, g WHERE NOT off AND ts < gc + CAST(72000000 AS BIGINT) * 262144""", CHANGES)
 def m16(spark, sf_dir):
-    nodes = spark.createDataFrame(_NODES, "id string, state string, ts long")
-    return nodes.filter((F.col("state") != "offline") & (F.col("ts") < 28 + 20)).select("id")
+    c = views.changes(spark, sf_dir)
+    gc = c.agg(F.max("commit_ts")).first()[0] - 21 * 3_600_000 * tso.PER_MS
+    nodes = c.groupBy(F.col("pk").alias("id")).agg(F.max("commit_ts").alias("max_commit_ts"), F.when(F.max((F.col("event_id") % 100 == 0).cast("int")) == 1, "offline").otherwise("online").alias("state"))
+    return pairing.near_collected(nodes, gc).select("id")
 
 
 @query("m17_safe_to_leave", "SELECT min(ts) >= 40 AS safe FROM " + _facts(_NODES, "id, state, ts") + " WHERE state <> 'offline'")
@@ -589,8 +610,7 @@ def f3(spark, sf_dir):
 def f4(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
     text = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
-    # read back without a zone, so that the session's does not matter
-    return e.select("event_id", text.alias("text")).select("event_id", tso.encode(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', to_timestamp_ntz(text)) * 1000")).alias("tso"))
+    return e.select("event_id", tso.from_datetime(text).alias("tso"))
 
 
 @query("f5_heartbeats", "SELECT count(*) AS n FROM chg WHERE event_id % 11 = 0", CHANGES)
@@ -621,7 +641,7 @@ def f9(spark, sf_dir):
     return views.statements(spark).select("id", ddl.target(F.col("sql"), renamed=True).alias("t")).select("id", "t.db", "t.tbl")
 
 
-@query("f10_without_use", "SELECT id, regexp_replace(sql, '^use db1; ?', '') AS sql FROM " + _facts(list(enumerate(views.STATEMENTS)), "id, sql"))
+@query("f10_without_use", "SELECT id, regexp_replace(sql, '^use shop; ?', '') AS sql FROM " + _facts(list(enumerate(views.STATEMENTS)), "id, sql"))
 def f10(spark, sf_dir):
     return views.statements(spark).select("id", ddl.without_use(F.col("sql")).alias("sql"))
 
@@ -645,14 +665,15 @@ def f17(spark, sf_dir):
     return views.table(spark, sf_dir, "nation").select("n_nationkey", F.when(n > 0, catalog.enum_name(e, n)).alias("sex"), F.array_join(catalog.set_names(e, n.cast("long")), ",").alias("flags"))
 
 
-@query("f20_relaxed_sql_mode", "SELECT 'ANSI_QUOTES,NO_ZERO_DATE' AS mode")
+@query("f20_relaxed_sql_mode", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'ANSI_QUOTES,' ELSE '' END || n_name AS mode FROM nation")
 def f20(spark, sf_dir):
-    return spark.range(1).select(names.relaxed_sql_mode(F.lit("ANSI_QUOTES,STRICT_TRANS_TABLES,NO_ZERO_DATE")).alias("mode"))
+    before = F.when(F.col("n_nationkey") % 2 == 0, "ANSI_QUOTES,STRICT_TRANS_TABLES,").when(F.col("n_nationkey") % 3 == 0, "STRICT_TRANS_TABLES,").otherwise("")
+    return views.table(spark, sf_dir, "nation").select("n_nationkey", names.relaxed_sql_mode(F.concat(before, F.col("n_name"))).alias("mode"))
 
 
-@query("f23_node_id", "SELECT n_nationkey, 'node' || n_nationkey AS id FROM nation")
+@query("f23_node_id", "SELECT n_nationkey, trim(n_name) AS id FROM nation")
 def f23(spark, sf_dir):
-    return views.table(spark, sf_dir, "nation").select("n_nationkey", names.node_id(F.concat(F.lit("/a/b/node"), F.col("n_nationkey").cast("string"))).alias("id"))
+    return views.table(spark, sf_dir, "nation").select("n_nationkey", names.node_id(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "/nodes/").otherwise("  "), F.col("n_name"), F.lit(" \t".strip("\t")))).alias("id"))
 
 
 # ---- catalog ----

@@ -70,19 +70,29 @@ txl AS (
   UNION ALL SELECT txn, source_id, 'C', start_ts, c, NULL, c * 2 + 1 FROM txs WHERE txn % 10 <> 3 AND NOT open
   UNION ALL SELECT txn, source_id, 'R', start_ts, NULL, NULL, c * 2 + 1 FROM txs WHERE txn % 10 = 3)"""
 
-STATEMENTS = [
-    "create database db1", "drop database db1", "use db1; create table table1(id int)", "create table table1(id int)", "use db1; drop table table1",
-    "drop table table1", "use db1; alter table table1 drop column v1", "alter table table1 drop column v1", "use db1; truncate table table1",
-    "truncate table table1", "use db1; create index idx on table1(id)", "create index idx on table1(id)", "use db1;rename table table1 to table2",
-    "rename table table1 to table2", "create view v1 as select 1", "select setval(seq, 5)", "grant all on x to y",
-]
+#: Statements about a shop, with and without their database: (statement, kind, database, table, table after a rename).
+_STATEMENTS = [
+    ("CREATE SCHEMA IF NOT EXISTS shop", "create database", "shop", "", ""),
+    ("drop database old_shop", "drop database", "old_shop", "", ""),
+    ("use shop; create table if not exists carts (id bigint primary key, total decimal(10, 2))", "create table", "shop", "carts", "carts"),
+    ("create table `week days` (n int)", "create table", "", "week days", "week days"),
+    ("drop table if exists shop.carts", "drop table", "shop", "carts", "carts"),
+    ("use shop; drop table wishes", "drop table", "shop", "wishes", "wishes"),
+    ("use shop; alter table carts add column note varchar(20)", "alter table", "shop", "carts", "carts"),
+    ("ALTER TABLE carts DROP INDEX by_total", "alter table", "", "carts", "carts"),
+    ("use shop; truncate table carts", "truncate table", "shop", "carts", "carts"),
+    ("truncate shop.carts", "truncate table", "shop", "carts", "carts"),
+    ("use shop; create unique index by_total on carts (total)", "create index", "shop", "carts", "carts"),
+    ("drop index by_total on shop.carts", "drop index", "shop", "carts", "carts"),
+    ("use shop;rename table carts to baskets", "rename table", "shop", "carts", "baskets"),
+    ("rename table shop.carts to shop.baskets", "rename table", "shop", "carts", "baskets"),
+    ("create view dear as select * from carts where total > 100", "create view", "", "dear", "dear"),
+    ("SELECT SETVAL(cart_ids, 400)", None, "", "", ""),
+    ("revoke select on shop.carts from visitor", None, "", "", ""),
+]
+STATEMENTS = [s for s, *_ in _STATEMENTS]
 #: What the statements above are about: kind, database, table, and the table after a rename.
-STATEMENT_FACTS = [
-    ("create database", "db1", "", ""), ("drop database", "db1", "", ""), ("create table", "db1", "table1", "table1"), ("create table", "", "table1", "table1"), ("drop table", "db1", "table1", "table1"),
-    ("drop table", "", "table1", "table1"), ("alter table", "db1", "table1", "table1"), ("alter table", "", "table1", "table1"), ("truncate table", "db1", "table1", "table1"),
-    ("truncate table", "", "table1", "table1"), ("create index", "db1", "table1", "table1"), ("create index", "", "table1", "table1"), ("rename table", "db1", "table1", "table2"),
-    ("rename table", "", "table1", "table2"), ("create view", "", "v1", "v1"), (None, "", "", ""), (None, "", "", ""),
-]
+STATEMENT_FACTS = [tuple(f) for _, *f in _STATEMENTS]
 
 
 def statements(spark: SparkSession) -> DataFrame:

@@ -25,17 +25,24 @@ class Point:
 
 
 class Checkpoint:
-    """The last point, as a JSON file in any file system Spark knows. The schema version never goes back."""
+    """The last point, as a JSON file in any file system Spark knows. The schema version never goes back.
+
+    A point is written whole beside the old one, which then makes way: after an end at
+    any step one of the two is there, and the next start takes it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         jvm, self.path = spark.sparkContext._jvm, path
         self._jvm, self._at = jvm, jvm.org.apache.hadoop.fs.Path(path)
+        self._new = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
         self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.point = self._load()
 
     def _load(self) -> Point:
         if not self._fs.exists(self._at):
-            return Point()
+            if not self._fs.exists(self._new):
+                return Point()
+            self._fs.rename(self._new, self._at)  # the end came between the two steps of save()
         stream = self._fs.open(self._at)
         try:
             return Point(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
@@ -45,12 +52,11 @@ class Checkpoint:
     def save(self, point: Point) -> None:
         point.schema_version = max(point.schema_version, self.point.schema_version)
         self.point = point
-        new = self._jvm.org.apache.hadoop.fs.Path(self.path + ".tmp")
-        out = self._fs.create(new, True)
+        out = self._fs.create(self._new, True)
         out.write(bytearray(json.dumps(asdict(point)).encode()))
         out.close()
         self._fs.delete(self._at, False)
-        self._fs.rename(new, self._at)
+        self._fs.rename(self._new, self._at)
 
     def due(self, commit_ts: int, is_ddl: bool = False, applied: bool = False) -> bool:
         """At once after a DDL or an applied timestamp; else when the log moved on far enough."""

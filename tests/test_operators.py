@@ -19,17 +19,46 @@ def skips(spark, rules, db, tbl):
 
 
 def test_filter_truth_table(spark):
-    do = {"do_dbs": ["fulldb", "~fulldb_re.*"], "do_tables": [("db", "table"), ("db2", "~table")]}
+    """Whole names, patterns, tables of a database, blocked names and the empty name, in any case."""
+    do = {"do_dbs": ["shop", "~^branch_[0-9]+$"], "do_tables": [("stock", "items"), ("hr", "~staff")]}
+    at = [("SHOP", "Carts"), ("branch_12", ""), ("branch_x", ""), ("stock", "items_old"), ("stock", "ITEMS"), ("hr", "old_staff_list"), ("hr", ""), ("shops", "carts")]
     rules = filters.TableRules(**do)
-    assert [skips(spark, rules, *t) for t in [("Fulldb", "t1"), ("fulldb_re_x", ""), ("db", "table_skip"), ("db2", "table")]] == [False, False, True, False]
-    rules = filters.TableRules(ignore_dbs=["db2"], **do)
-    assert [skips(spark, rules, *t) for t in [("Fulldb", "t1"), ("fulldb_re_x", ""), ("db", "table_skip"), ("db2", "table")]] == [False, False, True, True]
-    rules = filters.TableRules(ignore_tables=[("ignore", "ignore")])
-    assert [skips(spark, rules, *t) for t in [("ignore", "ignore"), ("not_ignore", "not_ignore")]] == [True, False]
+    assert [skips(spark, rules, *t) for t in at] == [False, False, True, True, False, False, True, True]
+    rules = filters.TableRules(ignore_dbs=["hr"], ignore_tables=[("shop", "~^carts$")], **do)
+    assert [skips(spark, rules, *t) for t in at] == [True, False, True, True, False, True, True, True]
+    rules = filters.TableRules(ignore_tables=[("tmp", "x")])
+    assert [skips(spark, rules, *t) for t in [("tmp", "x"), ("tmp", "y"), ("any", "x")]] == [True, False, False]
     rules = filters.TableRules(do_dbs=[""])
-    assert [skips(spark, rules, *t) for t in [("", "any"), ("any", "")]] == [False, True]
+    assert [skips(spark, rules, *t) for t in [("", "t"), ("shop", "")]] == [False, True]
     with pytest.raises(ValueError):
-        filters.TableRules(do_tables=[("a", "")])
+        filters.TableRules(do_tables=[("shop", "")])
+
+
+def test_jobs_that_are_not_passed_on(spark):
+    kinds = ["lock table", "UNLOCK TABLE", "alter table cache", "alter table nocache", "alter cache table", "alter no cache table", "alter table attributes", "alter table partition attributes"]
+    kinds += ["create placement policy", "alter placement policy", "drop placement policy", "alter table partition placement", "modify schema default placement", "alter table placement"]
+    kinds += ["create resource group", "alter resource group", "drop resource group", "update columnar replica status"]
+    passed = ["create table", "alter table modify column", "drop schema", "rename table", "set columnar replica", "alter table partitioning", "recover table"]
+    df = spark.createDataFrame([(k,) for k in kinds + passed], "k string")
+    assert {r["k"] for r in df.filter(filters.supported_job(F.col("k"))).collect()} == set(passed)
+    jobs = spark.createDataFrame([("done", 1), ("synced", (1 << 48) - 1), ("synced", (1 << 48) - 1001), ("cancelled", 1)], "s string, t long")
+    assert jobs.filter(filters.finished_job(F.col("s"), F.col("t"))).count() == 2
+    assert one(spark, ddl.ignorable_error(F.lit(1831))) and not one(spark, ddl.ignorable_error(F.lit(1062)))
+
+
+def test_versions_of_null_keys(spark):
+    changes = spark.createDataFrame([(None, 1), ("a", 1), ("a", 9)], "db string, schema_version int")
+    versions = spark.createDataFrame([(None, 2), ("a", 3), (None, 5)], "db string, version int")
+    got = {(r["db"], r["schema_version"]): r["version"] for r in catalog.as_of(changes, versions, ["db"]).collect()}
+    assert got == {(None, 1): 2, ("a", 1): 3, ("a", 9): None}
+
+
+def test_arguments_of_bits_and_blobs(spark):
+    union = "struct<int_value:long,uint_value:decimal(20,0),double_value:double,bytes_value:binary,string_value:string,is_null:boolean>"
+    rows = [("bit", (None, None, None, b"\x01\x00", None, False)), ("bit", (None, None, None, b"\xff" * 8, None, None)), ("json", (None, None, None, b'{"a":1}', None, None)), ("blob", (None, None, None, b"\xff\x00", None, None))]
+    rows += [("int", (0, None, None, None, None, None)), ("int", (5, None, None, None, None, True)), ("varchar", (None, None, None, None, None, None)), ("varchar", (None, None, None, None, "x", None))]
+    got = [tuple(r["a"]) for r in spark.createDataFrame(rows, f"k string, u {union}").select(translate.argument(F.col("u"), F.col("k")).alias("a")).collect()]
+    assert got == [("256", None), ("18446744073709551615", None), ('{"a":1}', None), (None, bytearray(b"\xff\x00")), ("0", None), (None, None), ("", None), ("x", None)]
 
 
 def fold(ops):

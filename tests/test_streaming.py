@@ -73,3 +73,27 @@ def test_stream_into_table(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     sinks.run(stream, sink, str(tmp_path / "cp")).awaitTermination(60)
     assert sum(map(len, sink.batches.values())) == 2
+
+
+def test_checkpoint_survives_an_end_at_any_step(spark, tmp_path):
+    import json
+    import os
+    from dataclasses import asdict
+
+    from chronofold.streaming import checkpoint
+
+    path = f"file://{tmp_path}/c/point.json"
+    checkpoint.Checkpoint(spark, path).save(checkpoint.Point(commit_ts=5, schema_version=2))
+    local = str(tmp_path / "c" / "point.json")
+    with open(local + ".tmp", "w") as f:  # ended while the new point was being written
+        f.write('{"commit_')
+    assert checkpoint.Checkpoint(spark, path).point.commit_ts == 5
+    with open(local + ".tmp", "w") as f:  # ended between the two steps
+        json.dump(asdict(checkpoint.Point(commit_ts=9, schema_version=3)), f)
+    os.remove(local)
+    for crc in (tmp_path / "c").glob(".*.crc"):
+        crc.unlink()
+    again = checkpoint.Checkpoint(spark, path)
+    assert again.point.commit_ts == 9 and os.path.exists(local)
+    again.save(checkpoint.Point(commit_ts=11))
+    assert checkpoint.Checkpoint(spark, path).point == checkpoint.Point(commit_ts=11, schema_version=3)
