@@ -39,7 +39,7 @@ def advanced(ts: Column, seconds: Column | int) -> Column:
 
 def from_datetime(text: Column, zone: str = "UTC", pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Date and time in a zone, whatever the session's zone is; the logical part is 0."""
-    return encode(F.unix_millis(F.to_timestamp(F.concat(text, F.lit(f" {zone}")), F.lit(f"{pattern} VV"))))
+    return encode(F.unix_millis(F.to_timestamp(F.concat(text, F.lit(f" {zone}")), f"{pattern} VV")))
 
 
 def is_heartbeat(start_ts: Column, commit_ts: Column) -> Column:
