@@ -9,6 +9,7 @@ from chronofold.operators import apply, catalog, filters, keyinfo, merge, orderi
 from chronofold.plans import views
 from chronofold.plans.queries import _ddl_jobs, _facts, _keyed, query
 from chronofold.plans.views import ARRIVALS, CHANGES, TRANSACTIONS
+from chronofold.streaming import sinks
 
 # ---- scans ----
 
@@ -208,6 +209,20 @@ def k11(spark, sf_dir):
     return views.changes(spark, sf_dir).select("event_id", apply.apply_rank(F.col("op")).alias("rank"))
 
 
+_BARE = [s.replace("use shop; ", "").replace("use shop;", "") for s in views.STATEMENTS]
+_STATEMENT_ROWS = _facts([(i, f[0], f[1], f[2], b) for i, (f, b) in enumerate(zip(views.STATEMENT_FACTS, _BARE, strict=True))], "id, kind, db, tbl, bare")
+
+
+@query("d7_target_statements", """SELECT id, CASE WHEN db <> '' AND kind IS DISTINCT FROM 'create database' THEN 'use `' || db || '`; ' ELSE '' END || bare AS mysql,
+  CASE WHEN kind = 'truncate table' THEN 'BEGIN ' || db || '.do_truncate(' || chr(39) || db || '.' || tbl || chr(39) || ',' || chr(39) || chr(39) || ');END;' ELSE '' END AS oracle FROM """ + _STATEMENT_ROWS)
+def d7(spark, sf_dir):
+    """What two targets run for each statement: all of them, and truncations only (also K2)."""
+    t = ddl.target(F.col("sql"))
+    s = views.statements(spark).select("id", t["db"].alias("db"), t["tbl"].alias("tbl"), ddl.without_use(F.col("sql")).alias("bare"))
+    one, other = sinks.mysql_statements(F.col("db"), F.col("bare")), sinks.oracle_statements(F.col("db"), F.col("tbl"), F.col("bare"))
+    return s.select("id", F.array_join(one, " ").alias("mysql"), F.array_join(other, " ").alias("oracle"))
+
+
 @query("k8_print_ddl", "SELECT id, 'DDL query: ' || sql AS text FROM " + _facts(list(enumerate(views.STATEMENTS)), "id, sql"))
 def k8_ddl(spark, sf_dir):
     return views.statements(spark).select("id", statements.printed_ddl(F.col("sql")).alias("text"))

@@ -144,11 +144,13 @@ class TableSink(BaseSink):
         return rows.select(*self.columns)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
+        self._apply(batch, batch_id, self._manifest(batch_id)[1])
+
+    def _apply(self, batch: DataFrame, batch_id: int, versions: dict[str, int]) -> None:
         spark, values = batch.sparkSession, [c for c in self.columns if c not in self.keys]
         last = batch.groupBy(*self.keys).agg(F.max_by(F.struct("op", *values), F.struct(*self.order)).alias("l")).select(*self.keys, "l.*")
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
         touched = [str(r[0]) for r in last.select(bucket).distinct().collect()]  # a number for each bucket
-        _, versions = self._manifest(batch_id)
         base = self._rows(spark, {b: versions[b] for b in touched if versions.get(b, -1) >= 0})
         out = last.filter("op <> 'D'").select(*self.columns) if base is None else apply.applied(base.select(*self.columns), last, self.keys)
         folder = f"{self.path}/version={batch_id:012d}"
@@ -204,6 +206,7 @@ class OracleSink(TableSink):
     """A table of the other dialect: of statements (rows with ddl_query) only truncations are let through; they empty the table."""
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
+        versions = self._manifest(batch_id)[1]
         if "ddl_query" in batch.columns:
             statements = batch.filter("ddl_query is not null")
             refused = statements.filter(~ddl.is_truncate(F.col("ddl_query"))).select("ddl_query", "commit_ts").first()
@@ -212,10 +215,8 @@ class OracleSink(TableSink):
             cut = statements.agg(F.max("commit_ts")).first()[0]
             batch = batch.filter("ddl_query is null")
             if cut is not None:  # what came before the truncation is gone
-                batch = batch.filter(F.col("commit_ts") > cut)
-                _, versions = self._manifest(batch_id)
-                self._commit(dict.fromkeys(versions, -1), batch_id - 1 if batch_id else 0)
-        super().write(batch.select(*self.columns, "op", *[c for c in self.order if c not in self.columns]), batch_id)
+                batch, versions = batch.filter(F.col("commit_ts") > cut), dict.fromkeys(versions, -1)
+        self._apply(batch.select(*self.columns, "op", *[c for c in self.order if c not in self.columns]), batch_id, versions)
 
 
 #: Sinks by name; ``pb`` is an older name of ``file``. Brokers and databases without a connector here are written as parquet.
