@@ -196,8 +196,9 @@ def _across(rows: DataFrame, on: list[str], percent: int, also, block: int = BLO
     Groups of more than ``block`` rows are dealt into blocks, and compared a pair of blocks at a time.
     """
     columns = ["rep", "label", "n", "shared", "room"]
-    large = rows.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
-    rows = rows.select(*on, *columns).join(large, on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = common.settle(rows.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    # one row for each ``block`` rows at most; broadcast where few, so that a large group is dealt before it is shuffled
+    rows = rows.select(*on, *columns).join(common.maybe_broadcast(large, large.count()), on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     on = [*on, "low", "high"]
