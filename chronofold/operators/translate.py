@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions import names
 
 
 def unnested(mutations: DataFrame) -> DataFrame:
@@ -38,11 +37,6 @@ def old_and_new(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("corrupt", F.col("times") != 2).drop("times")
 
 
-def to_map(columns: Column, values: Column) -> Column:
-    """Column names by place to values."""
-    return F.map_from_arrays(columns, values)
-
-
 def argument(union: Column, kind: Column) -> Column:
     """struct(text, bytes) of the one value that a tagged union holds: bytes for binary values, else text.
 
@@ -66,29 +60,9 @@ def without_columns(values: Column, known: Column) -> Column:
     return F.map_filter(values, lambda k, v: F.array_contains(known, k))
 
 
-def secondary_records(changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Self-describing records: of each transaction its tables with column names and mutations in order."""
-    row = F.struct(F.col("txn_seq"), F.col("op").alias("type"), F.array(*[F.col(c).cast("string") for c in columns]).alias("row"))
-    tables = changes.groupBy("commit_ts", "db", "tbl").agg(F.array_sort(F.collect_list(row)).alias("mutations"))
-    one = F.struct("db", "tbl", F.array(*map(F.lit, columns)).alias("column_info"), "mutations")
-    return tables.groupBy("commit_ts").agg(F.array_sort(F.collect_list(one)).alias("tables"))
-
-
-def from_secondary(records: DataFrame) -> DataFrame:
-    """Change rows of self-describing records: commit_ts, db, tbl, txn_seq, op, values (by name)."""
-    t = records.select("commit_ts", F.explode("tables").alias("t")).select("commit_ts", "t.db", "t.tbl", "t.column_info", F.explode("t.mutations").alias("m"))
-    return t.select("commit_ts", "db", "tbl", "m.txn_seq", F.col("m.type").alias("op"), to_map(F.col("column_info"), F.col("m.row")).alias("values"))
-
-
-def file_ddl(db: Column, kind: Column, sql: Column) -> Column:
-    """A statement as file records carry it: after ``use`` of its database, unless it makes or drops one or names none."""
-    own = F.coalesce(kind.isin("create database", "drop database"), F.lit(False)) | (db == "")
-    return F.when(own, sql).otherwise(F.concat(F.lit("use "), names.quoted(db), F.lit("; "), sql))
-
-
-def formatted_value(value: Column, kind: Column) -> Column:
-    """A value as the target writes it: dates and decimals as text, sets and enums by number, JSON as text."""
-    return F.when(kind.isin("bit", "enum", "set"), value.cast("decimal(20,0)").cast("string")).otherwise(value.cast("string"))
+def without_unknown(dmls: DataFrame, known: Column) -> DataFrame:
+    """``dmls`` (values, old_values) without the columns that the target does not have, in both."""
+    return dmls.withColumn("values", without_columns(F.col("values"), known)).withColumn("old_values", without_columns(F.col("old_values"), known))
 
 
 def local_timestamp(utc: Column, zone: str) -> Column:

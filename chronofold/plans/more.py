@@ -116,42 +116,6 @@ def t2(spark, sf_dir):
     return n.select("n_nationkey", F.array_join(translate.writable(columns), ",").alias("columns"))
 
 
-@query("t5_delete_rows", "SELECT event_id, pk, value FROM chg WHERE op = 'D'", CHANGES)
-def t5(spark, sf_dir):
-    return views.changes(spark, sf_dir).filter("op = 'D'").select("event_id", "pk", "value")
-
-
-@query("t7_formatted_values", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN CAST(n_nationkey AS VARCHAR) ELSE n_name END AS v FROM nation")
-def t7(spark, sf_dir):
-    value = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")).otherwise(F.col("n_name"))
-    kind = F.when(F.col("n_nationkey") % 3 == 0, "bit").otherwise("varchar")
-    n = views.table(spark, sf_dir, "nation").select("n_nationkey", value.alias("value"), kind.alias("kind"))
-    return n.select("n_nationkey", F.when(F.col("kind") == "bit", translate.formatted_value(F.when(F.col("kind") == "bit", F.col("value")), F.col("kind"))).otherwise(translate.formatted_value(F.col("value"), F.lit("varchar"))).alias("v"))
-
-
-@query("t8_sql_transactions", "SELECT commit_ts, count(*) AS dmls, min(op) AS first_op FROM chg GROUP BY commit_ts", CHANGES)
-def t8(spark, sf_dir):
-    return views.changes(spark, sf_dir).groupBy("commit_ts").agg(F.count("*").alias("dmls"), F.min("op").alias("first_op"))
-
-
-@query("t9_upper_case_transactions", "SELECT event_id, upper(db) || '.' || upper(tbl) AS name FROM chg", CHANGES)
-def t9(spark, sf_dir):
-    return views.changes(spark, sf_dir).select("event_id", translate.shouted(F.col("db"), F.col("tbl")).alias("name"))
-
-
-@query("t10_file_ddl", "SELECT id, CASE WHEN kind IN ('create database', 'drop database') OR db = '' THEN bare ELSE 'use `' || db || '`; ' || bare END AS query FROM " + _facts([(i, f[0], f[1], s.replace("use shop; ", "").replace("use shop;", "")) for i, (f, s) in enumerate(zip(views.STATEMENT_FACTS, views.STATEMENTS, strict=True))], "id, kind, db, bare"))
-def t10(spark, sf_dir):
-    s = views.statements(spark).select("id", ddl.kind(F.col("sql")).alias("kind"), ddl.target(F.col("sql"))["db"].alias("db"), ddl.without_use(F.col("sql")).alias("bare"))
-    return s.select("id", translate.file_ddl(F.col("db"), F.col("kind"), F.col("bare")).alias("query"))
-
-
-@query("t12_absent_stay_null", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM chg WHERE op = 'U'", CHANGES)
-def t12(spark, sf_dir):
-    c = views.changes(spark, sf_dir).filter("op = 'U'")
-    values = F.map_filter(F.create_map(F.lit("value"), F.col("value")), lambda k, v: F.col("event_id") % 4 != 0)
-    return c.select("event_id", F.try_element_at(values, F.lit("value")).alias("value"))
-
-
 @query("t13_key_order", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'PRIMARY:id;uk:b,a' WHEN 1 THEN 'uk:b,a' WHEN 2 THEN 'PRIMARY:id;uk:b,a' ELSE 'PRIMARY:b;uk:b,a' END AS keys FROM orders""")
 def t13(spark, sf_dir):
     k = F.col("o_orderkey") % 4
@@ -181,21 +145,6 @@ def t15(spark, sf_dir):
     return e.select("event_id", a.alias("a")).select("event_id", "a.text", F.hex("a.bytes").alias("bytes"))
 
 
-@query("t16_from_file_records", "SELECT event_id, op, pk, CASE WHEN op = 'U' THEN pk + 1 END AS changed FROM chg", CHANGES)
-def t16(spark, sf_dir):
-    column = F.struct(F.lit("pk").alias("name"), F.col("pk").alias("value"), F.when(F.col("op") == "U", F.col("pk") + 1).alias("changed"))
-    records = views.changes(spark, sf_dir).groupBy("commit_ts").agg(F.collect_list(F.struct("event_id", "op", F.array(column).alias("row"))).alias("events"))
-    e = records.select(F.explode("events").alias("e")).select("e.event_id", "e.op", F.col("e.row")[0].alias("c"))
-    return e.select("event_id", "op", F.col("c.value").alias("pk"), F.col("c.changed").alias("changed"))
-
-
-@query("t19_known_columns", "SELECT event_id, 'a,c' AS columns FROM events")
-def t19(spark, sf_dir):
-    values = F.create_map(F.lit("a"), F.col("event_id"), F.lit("b"), F.col("event_id"), F.lit("c"), F.col("user_id"))
-    known = F.array(F.lit("c"), F.lit("a"), F.lit("z"))
-    return views.table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(translate.without_columns(values, known))), ",").alias("columns"))
-
-
 _PLACED = ["create table t(a int) placement policy=`p1`", "alter table t placement policy p2", "create table t(a int) TTL_ENABLE='ON'", "drop table t"]
 
 

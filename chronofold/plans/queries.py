@@ -523,20 +523,6 @@ def t6(spark, sf_dir):
     return e.select("event_id", catalog.default_or_zero(value, default, F.col("user_id") % 2 == 0, elements, F.lit("")).alias("filled"))
 
 
-@query("t11_secondary_records", "SELECT commit_ts, count(DISTINCT db || '.' || tbl) AS tables, count(*) AS mutations FROM chg GROUP BY commit_ts", CHANGES)
-def t11(spark, sf_dir):
-    c = views.changes(spark, sf_dir).withColumn("txn_seq", F.lit(0))
-    r = translate.secondary_records(c, ["pk", "value"])
-    return r.select("commit_ts", F.size("tables").cast("long").alias("tables"), F.aggregate("tables", F.lit(0).cast("long"), lambda a, t: a + F.size(t["mutations"])).alias("mutations"))
-
-
-@query("t14_from_secondary", "SELECT commit_ts, db, tbl, op, pk FROM chg", CHANGES)
-def t14(spark, sf_dir):
-    c = views.changes(spark, sf_dir).withColumn("txn_seq", F.lit(0))
-    rows = translate.from_secondary(translate.secondary_records(c, ["pk", "value"]))
-    return rows.select("commit_ts", "db", "tbl", "op", F.col("values")["pk"].cast("long").alias("pk"))
-
-
 ROUTES = [routing.Route("log_*", "*", "logs", ""), routing.Route("log_1", "view", "special", "seen"), routing.Route("app", "", "main")]
 
 
@@ -546,13 +532,6 @@ def t17(spark, sf_dir):
     return c.groupBy(F.col("to.db").alias("db"), F.col("to.tbl").alias("tbl")).agg(F.count("*").alias("n"))
 
 
-@query("t18_generated_columns", "SELECT event_id, 2 AS left_over FROM events")
-def t18(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events")
-    values = F.create_map(F.lit("a"), F.col("event_id"), F.lit("gen"), F.col("user_id"), F.lit("b"), F.col("user_id"))
-    return e.select("event_id", F.size(F.map_keys(translate.without_columns(values, F.array(F.lit("a"), F.lit("b"))))).alias("left_over"))
-
-
 @query("t21_insert_statements", "SELECT event_id, 'INSERT INTO `' || db || '`.`' || tbl || '`(`event_id`,`pk`) VALUES(?,?)' AS sql, event_id || ',' || pk AS args FROM chg WHERE op = 'I'", CHANGES)
 def t21_insert(spark, sf_dir):
     c = views.changes(spark, sf_dir).filter("op = 'I'")
