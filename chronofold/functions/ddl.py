@@ -61,6 +61,23 @@ def target(sql: Column, renamed: bool = False) -> Column:
     return F.struct(F.coalesce(db, used_db(sql), F.lit("")).alias("db"), F.coalesce(tbl, F.lit("")).alias("tbl"))
 
 
+def problem(sql: Column) -> Column:
+    """Why a statement's target cannot be told: it is of no known kind, or there are several; null where it can.
+
+    The use of a database before it does not count. A semicolon inside quotes ends no statement.
+    """
+    bare = F.regexp_replace(F.regexp_replace(without_use(sql), r"('([^'\\\\]|\\\\.)*'|\"[^\"]*\"|`[^`]*`)", "q"), r"[;\s]+$", "")
+    return F.when(bare.contains(";"), "several statements").when(kind(sql).isNull(), "unknown statement")
+
+
+def checked_target(sql: Column, renamed: bool = False) -> Column:
+    """target(), but a statement with a problem() is an error."""
+    p = problem(sql)
+    stop = F.raise_error(F.concat(p, F.lit(": "), sql))
+    t = target(sql, renamed)
+    return F.struct(F.when(p.isNotNull(), stop.cast("string")).otherwise(t["db"]).alias("db"), t["tbl"].alias("tbl"))
+
+
 def is_create_database(sql: Column) -> Column:
     return F.coalesce(kind(sql) == "create database", F.lit(False))
 

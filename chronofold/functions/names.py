@@ -49,6 +49,40 @@ def node_id(text: Column) -> Column:
     return F.trim(F.substring_index(F.trim(text), "/", -1))
 
 
+def shown(value: Column) -> Column:
+    """A value as text for people: NULL where there is none."""
+    return F.coalesce(value.cast("string"), F.lit("NULL"))
+
+
+def _number(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def seconds_of(text: Column) -> Column:
+    """Durations in a column: a bare integer counts days, else numbers with units; null where it is neither."""
+    t = F.trim(text)
+    parts = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?(?:ns|us|µs|ms|s|m|h))"), F.lit(1))
+    units = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in (pair[0], float(pair[1]))])
+    each = F.transform(parts, lambda p: _number(F.regexp_extract(p, r"^([0-9.]+)", 1)) * F.try_element_at(units, F.regexp_extract(p, r"([a-zµ]+)$", 1)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    whole = (F.size(parts) > 0) & (F.array_join(parts, "") == F.regexp_replace(t, r"^\+", ""))
+    return F.when(t.rlike(r"^\d+$"), _number(t) * 86400).when(whole, total)
+
+
+def bytes_of(text: Column) -> Column:
+    """Sizes in a column, such as 10 GiB; null where it is none."""
+    number, unit = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([a-zA-Z]*)\s*$", 1), F.lower(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([a-zA-Z]*)\s*$", 2))
+    units = F.create_map(*[F.lit(x) for pair in _SIZES.items() for x in (pair[0], float(pair[1]))])
+    return F.when(number != "", (_number(number) * F.try_element_at(units, unit)).cast("long"))
+
+
+def zone_minutes(text: Column) -> Column:
+    """Minutes of +hh:mm zones in a column; null for zones by name and for offsets out of range (-12:59 to +14:00)."""
+    sign, h, m = (F.regexp_extract(text, r"^([+-])(\d{1,2}):(\d{2})$", k) for k in (1, 2, 3))
+    minutes = F.when(sign == "-", -1).otherwise(1) * (h.try_cast("int") * 60 + m.try_cast("int"))
+    return F.when((sign != "") & (m.try_cast("int") <= 59) & minutes.between(-779, 840), minutes)
+
+
 _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}
 _SIZES = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30, "tib": 1 << 40, "": 1}
 

@@ -48,6 +48,20 @@ def named(changes: DataFrame, tables: DataFrame) -> DataFrame:
     return changes.join(tables.select("table_id", "db", "tbl"), "table_id")
 
 
+def with_jobs(log: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Records that a schema change made (job_id), with their job; those without one, or whose job is not known yet, are left out."""
+    return log.filter("job_id > 0").join(jobs, "job_id")
+
+
+def consumed_once(changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """The first change (by commit_ts) of each schema_version, with the table (db, tbl) that the version's statement changed.
+
+    A version's entry is used up by its first change.
+    """
+    first = changes.groupBy("schema_version").agg(F.min("commit_ts").alias("commit_ts"))
+    return first.join(versions.select(F.col("version").alias("schema_version"), "db", "tbl"), "schema_version")
+
+
 def can_fill_default(dropping: Column, row_version: Column, last_ddl_version: Column) -> Column:
     """A missing column may take its default while it is being dropped, or if the row is older than the last DDL."""
     return F.coalesce(dropping | (row_version < last_ddl_version), F.lit(False))

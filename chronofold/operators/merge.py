@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronofold.functions import tso
 from chronofold.operators import ordering
@@ -35,9 +34,15 @@ def released(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(horizon(log)), F.col("commit_ts") <= F.col("horizon")).drop("horizon")  # one row
 
 
+def timestamp_map(log: DataFrame, minutes: int = 1) -> DataFrame:
+    """minute, primary_ts, secondary_ts: how far both sides had come in each stretch of time that has records."""
+    stretch = F.floor(tso.physical(F.col("commit_ts")) / (60_000 * minutes))
+    return log.groupBy(stretch.alias("minute")).agg(F.max("start_ts").alias("primary_ts"), F.max("commit_ts").alias("secondary_ts"))
+
+
 def numbered_batches(log: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """``log`` with ``batch``: every ``size`` rows of a key, in order."""
-    return log.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))
+    """``log`` with ``batch``: every ``size`` rows of a key, in order (the first column of it a long)."""
+    return ordering.numbered(log, keys, F.col(order[0]), order[1:], "__place").withColumn("batch", F.floor(F.col("__place") / size).cast("long")).drop("__place")
 
 
 def ddl_epochs(log: DataFrame, is_ddl: Column) -> DataFrame:

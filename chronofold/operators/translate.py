@@ -65,9 +65,10 @@ def without_unknown(dmls: DataFrame, known: Column) -> DataFrame:
     return dmls.withColumn("values", without_columns(F.col("values"), known)).withColumn("old_values", without_columns(F.col("old_values"), known))
 
 
-def local_timestamp(utc: Column, zone: str) -> Column:
-    """A default given in UTC as local time."""
-    return F.from_utc_timestamp(utc, zone)
+def local_default(utc: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A default that is kept as text in UTC, as local time of a zone, whatever the session's zone is."""
+    shown = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_timestamp_ntz(utc, F.lit(pattern)))
+    return F.date_format(shown, pattern)
 
 
 def shouted(db: Column, tbl: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.plans import views
 from chronofold.plans.queries import _MIDDLE, _middle, query
-from chronofold.plans.views import CHANGES
+from chronofold.plans.views import CHANGES, TRANSACTIONS
 from chronofold.shipping import shared_folder, ship
 from chronofold.sources import frames, logdir
 from chronofold.streaming import relay, sinks
@@ -28,6 +28,16 @@ def _event(column: str = "payload"):
     return F.col(column).cast("string").cast("long").alias("event_id")
 
 
+@query("s13_read_all", "SELECT txn, tp, start_ts FROM txl", TRANSACTIONS)
+def s13(spark, sf_dir):
+    """All of a log of transactions, from the first file on."""
+    folder, log = fresh(spark, "log"), views.transactions(spark, sf_dir)
+    text = F.concat_ws(",", F.col("txn").cast("string"), "tp", F.col("start_ts").cast("string"))
+    logdir.write(log.select(F.coalesce("commit_ts", "start_ts").alias("commit_ts"), text.cast("binary").alias("payload")), folder, segment_bytes=1 << 16)
+    parts = F.split(F.col("payload").cast("string"), ",")
+    return logdir.read(spark, folder).select(F.get(parts, F.lit(0)).cast("long").alias("txn"), F.get(parts, F.lit(1)).alias("tp"), F.get(parts, F.lit(2)).cast("long").alias("start_ts"))
+
+
 @query("k5_written_log", "SELECT event_id, commit_ts FROM chg", CHANGES)
 def k5(spark, sf_dir):
     folder = fresh(spark, "log")

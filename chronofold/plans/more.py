@@ -14,11 +14,6 @@ from chronofold.streaming import sinks
 # ---- scans ----
 
 
-@query("s13_read_all", "SELECT txn, tp, start_ts FROM txl", TRANSACTIONS)
-def s13(spark, sf_dir):
-    return views.transactions(spark, sf_dir).select("txn", "tp", "start_ts")
-
-
 @query("s22_keys_with_constraints", """SELECT s_suppkey AS tbl, place, name, columns, CAST(name = 'pk' AS BOOLEAN) AS "primary" FROM (
   SELECT s_suppkey, 0 AS place, 'pk' AS name, 'id' AS columns FROM supplier UNION ALL SELECT s_suppkey, 1, 'uk', 'b,a' FROM supplier WHERE s_suppkey % 2 = 0)""")
 def s22(spark, sf_dir):
@@ -89,13 +84,6 @@ def p16(spark, sf_dir):
 # ---- joins ----
 
 
-@query("j6_ddl_jobs", "SELECT txn, job_type, sql_text AS sql FROM txl JOIN " + _facts([(0, "create table", "create table a(x int)"), (1, "drop table", "drop table b")], "job_id, job_type, sql_text") + " ON txn % 50 = job_id WHERE tp = 'C'", TRANSACTIONS)
-def j6(spark, sf_dir):
-    jobs = spark.createDataFrame([(0, "create table", "create table a(x int)"), (1, "drop table", "drop table b")], "job_id long, job_type string, sql string")
-    log = views.transactions(spark, sf_dir).filter("tp = 'C'").withColumn("job_id", F.col("txn") % 50)
-    return log.join(jobs, "job_id").select("txn", "job_type", "sql")
-
-
 @query("j7_without_truncated_ids", "SELECT count(*) AS n FROM chg WHERE pk NOT IN (1, 3, 5)", CHANGES)
 def j7(spark, sf_dir):
     gone = spark.createDataFrame([(1,), (3,), (5,)], "table_id long")
@@ -196,27 +184,6 @@ def f14(spark, sf_dir):
     return _keyed(spark, sf_dir).select("id", F.array_join("keys", "|").alias("keys"))
 
 
-@query("f15_formatted_text", "SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN event_type END, 'NULL') AS v FROM events")
-def f15(spark, sf_dir):
-    return views.table(spark, sf_dir, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 > 0, F.col("event_type")), F.lit("NULL")).alias("v"))
-
-
-@query("f18_local_default", "SELECT n_nationkey, '2020-01-01 08:00:00' AS t FROM nation")
-def f18(spark, sf_dir):
-    return views.table(spark, sf_dir, "nation").select("n_nationkey", F.date_format(translate.local_timestamp(F.to_timestamp(F.lit("2020-01-01 00:00:00")), "Asia/Shanghai"), "yyyy-MM-dd HH:mm:ss").alias("t"))
-
-
-@query("f19_zones", "SELECT zone, minutes FROM " + _facts([("+08:00", 480), ("-12:59", -779), ("Asia/Tokyo", None)], "zone, minutes"))
-def f19(spark, sf_dir):
-    return spark.createDataFrame([(z, names.zone_offset_minutes(z)) for z in ("+08:00", "-12:59", "Asia/Tokyo")], "zone string, minutes long")
-
-
-@query("f21_sizes_and_durations", "SELECT text, n FROM " + _facts([("10 GiB", 10 << 30), ("1h30m", 5400), ("7", 604800)], "text, n"))
-def f21(spark, sf_dir):
-    rows = [("10 GiB", names.size_bytes("10 GiB")), ("1h30m", int(names.seconds("1h30m"))), ("7", int(names.seconds("7")))]
-    return spark.createDataFrame(rows, "text string, n long")
-
-
 # ---- streaming and control ----
 
 
@@ -237,12 +204,6 @@ def m7(spark, sf_dir):
     return ordering.running(c, F.col("commit_ts"), [], F.col("schema_version"), "version", "max", inclusive=True).select("commit_ts", "version")
 
 
-@query("m8_timestamp_map", "SELECT (commit_ts >> 18) // 60000 AS minute, max(start_ts) AS primary_ts, max(commit_ts) AS secondary_ts FROM chg GROUP BY 1", CHANGES)
-def m8(spark, sf_dir):
-    c = views.changes(spark, sf_dir)
-    return c.groupBy(F.floor(tso.physical(F.col("commit_ts")) / 60000).alias("minute")).agg(F.max("start_ts").alias("primary_ts"), F.max("commit_ts").alias("secondary_ts"))
-
-
 @query("m19_ddl_barrier", """, ep AS (SELECT *, 2 * coalesce(sum(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY commit_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS e FROM chg)
 SELECT CAST(e AS BIGINT) AS epoch, count(*) AS n FROM ep GROUP BY 1""", CHANGES)
 def m19(spark, sf_dir):
@@ -270,29 +231,107 @@ def m2_stream(spark, sf_dir):
 # ---- catalog ----
 
 
-@query("d1_previous_jobs", "SELECT 3 AS version, 2 AS tables")
-def d1(spark, sf_dir):
-    J = catalog.Job
-    jobs = [J(1, "create schema", schema_id=1, db="app"), J(2, "create table", schema_id=1, table_id=1, tbl="a"), J(3, "create table", schema_id=1, table_id=2, tbl="b"), J(4, "drop table", schema_id=1, table_id=1)]
-    c = catalog.Catalog().apply(jobs, upto=3)
-    return spark.createDataFrame([(c.version, len(c.names))], "version int, tables int")
+@query("a7_event_groups", "SELECT db, tbl, op, count(*) AS n FROM chg WHERE regexp_matches(lower(db), '(?i)^app$') AND NOT regexp_matches(tbl, '^error$') GROUP BY ALL", CHANGES)
+def a7_events(spark, sf_dir):
+    rules = filters.TableRules(do_dbs=["app"], ignore_tables=[("app", "error")])
+    return views.changes(spark, sf_dir).filter(rules.passes(F.col("db"), F.col("tbl"))).groupBy("db", "tbl", "op").agg(F.count("*").alias("n"))
 
 
-@query("d5_dropping_columns", "SELECT table_id FROM " + _facts([(5,)], "table_id"))
-def d5(spark, sf_dir):
-    J = catalog.Job
-    c = catalog.Catalog().apply([J(1, "create schema", schema_id=1, db="a"), J(2, "create table", schema_id=1, table_id=5, tbl="t", columns=("x", "y")), J(3, "drop column", schema_id=1, table_id=5, columns=("x",), schema_state="delete only")])
-    return spark.createDataFrame([(t,) for t in sorted(c.dropping)], "table_id long")
+# ---- functions and catalog over rows of the tables ----
 
 
-@query("d6_version_to_table", "SELECT schema_version, db, tbl, count(*) AS n FROM chg GROUP BY ALL", CHANGES)
+@query("j6_ddl_jobs", """, jobs AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'create table' ELSE 'drop table' END AS job_type FROM orders WHERE o_orderkey % 3 > 0)
+SELECT txn, job_id, job_type FROM (SELECT txn, CASE WHEN txn % 5 = 0 THEN txn ELSE 0 END AS job_id FROM txl WHERE tp = 'C') JOIN jobs USING (job_id) WHERE job_id > 0""", TRANSACTIONS)
+def j6(spark, sf_dir):
+    k = F.col("o_orderkey")
+    jobs = views.table(spark, sf_dir, "orders").filter(k % 3 > 0).select(k.alias("job_id"), F.when(k % 2 == 0, "create table").otherwise("drop table").alias("job_type"))
+    log = views.transactions(spark, sf_dir).filter("tp = 'C'").withColumn("job_id", F.when(F.col("txn") % 5 == 0, F.col("txn")).otherwise(0))
+    return catalog.with_jobs(log, jobs).select("txn", "job_id", "job_type")
+
+
+@query("m8_timestamp_map", "SELECT (commit_ts >> 18) // 60000 AS minute, max(start_ts) AS primary_ts, max(commit_ts) AS secondary_ts FROM chg GROUP BY 1", CHANGES)
+def m8(spark, sf_dir):
+    return merge.timestamp_map(views.changes(spark, sf_dir))
+
+
+@query("d6_version_to_table", """, v AS (SELECT schema_version, min(commit_ts) AS commit_ts FROM chg GROUP BY 1) SELECT schema_version, commit_ts, n_name AS db, 't' || n_nationkey AS tbl FROM v JOIN nation ON n_nationkey = schema_version""", CHANGES)
 def d6(spark, sf_dir):
-    c = views.changes(spark, sf_dir).withColumn("table_id", F.xxhash64("db", "tbl"))
-    tables = c.select("table_id", "db", "tbl").distinct()
-    return catalog.named(c.drop("db", "tbl"), tables).groupBy("schema_version", "db", "tbl").agg(F.count("*").alias("n"))
+    n = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("version"), F.col("n_name").alias("db"), F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tbl"))
+    return catalog.consumed_once(views.changes(spark, sf_dir), n)
 
 
-@query("a7_event_groups", "SELECT db, tbl, op, count(*) AS n FROM chg WHERE regexp_matches(lower(db), '(?i)^app$') AND NOT regexp_matches(tbl, '^error$') GROUP BY ALL", CHANGES)
-def a7_events(spark, sf_dir):
-    rules = filters.TableRules(do_dbs=["app"], ignore_tables=[("app", "error")])
-    return views.changes(spark, sf_dir).filter(rules.passes(F.col("db"), F.col("tbl"))).groupBy("db", "tbl", "op").agg(F.count("*").alias("n"))
+@query("f15_formatted_text", "SELECT event_id, coalesce(CAST(CASE WHEN event_id % 3 > 0 THEN user_id END AS VARCHAR), 'NULL') AS v FROM events")
+def f15(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", names.shown(F.when(F.col("event_id") % 3 > 0, F.col("user_id"))).alias("v"))
+
+
+@query("f18_local_default", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS t FROM orders")
+def f18(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return o.select("o_orderkey", translate.local_default(F.col("t"), "+08:00").alias("t"))
+
+
+@query("f19_zones", """SELECT o_orderkey, CASE WHEN h * 60 + m <= CASE WHEN s = '-' THEN 779 ELSE 840 END AND o_orderkey % 7 > 0 THEN CASE WHEN s = '-' THEN -1 ELSE 1 END * (h * 60 + m) END AS minutes
+FROM (SELECT o_orderkey, o_orderkey % 16 AS h, o_orderkey % 60 AS m, CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE '+' END AS s FROM orders)""")
+def f19(spark, sf_dir):
+    k = F.col("o_orderkey")
+    zone = F.concat(F.when(F.col("o_custkey") % 2 == 0, "-").otherwise("+"), F.lpad((k % 16).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 7 == 0, "Asia/Tokyo").otherwise(zone).alias("zone"))
+    return o.select("o_orderkey", names.zone_minutes(F.col("zone")).cast("long").alias("minutes"))
+
+
+@query("f21_sizes_and_durations", """SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 90) * 86400 WHEN 1 THEN (o_orderkey % 50) * 3600 + 30 * 60 WHEN 2 THEN (o_orderkey % 50) * 60 + 1.5 END AS DOUBLE) AS seconds,
+  CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 50) * 1073741824 WHEN 1 THEN (o_orderkey % 50) * 1000000 END AS bytes FROM orders""")
+def f21(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, (k % 90).cast("string")).when(k % 4 == 1, F.concat((k % 50).cast("string"), F.lit("h30m"))).when(k % 4 == 2, F.concat((k % 50).cast("string"), F.lit("m1.5s"))).otherwise("soon")
+    size = F.when(k % 3 == 0, F.concat((k % 50).cast("string"), F.lit(" GiB"))).when(k % 3 == 1, F.concat((k % 50).cast("string"), F.lit("mb"))).otherwise("ten")
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), size.alias("size"))
+    return o.select("o_orderkey", names.seconds_of(F.col("text")).alias("seconds"), names.bytes_of(F.col("size")).alias("bytes"))
+
+
+@query("f9_refused_statements", "SELECT id, CASE WHEN id % 3 = 2 AND kind IS NOT NULL THEN 'several statements' WHEN id % 3 = 2 THEN 'several statements' WHEN kind IS NULL THEN 'unknown statement' END AS problem FROM " + _facts([(i, f[0]) for i, f in enumerate(views.STATEMENT_FACTS)], "id, kind"))
+def f9_refused(spark, sf_dir):
+    s = views.statements(spark)
+    sql = F.when(F.col("id") % 3 == 2, F.concat("sql", F.lit("; drop table second"))).when(F.col("id") % 3 == 1, F.concat("sql", F.lit("; "))).otherwise(F.col("sql"))
+    return s.select("id", ddl.problem(sql).alias("problem"))
+
+
+def _nation_jobs(spark, sf_dir) -> list[catalog.Job]:
+    """A schema, a table for each nation, and by its key: a rename, another column, a column being dropped, a truncation, a rolled back job."""
+    J, jobs, version = catalog.Job, [catalog.Job(1, "create schema", schema_id=1, db="world")], 1
+    for n in views.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # a catalog is small
+        k, name, version = n["n_nationkey"], n["n_name"].strip(), version + 1
+        jobs.append(J(version, "create table", schema_id=1, table_id=100 + k, tbl=name, columns=("a",)))
+        version += 1
+        more = {
+            0: J(version, "rename table", schema_id=1, table_id=100 + k, tbl=name + "_2", columns=("a",)), 1: J(version, "add column", schema_id=1, table_id=100 + k, tbl=name, columns=("a", "b")),
+            2: J(version, "drop column", schema_id=1, table_id=100 + k, tbl=name, columns=("a",), schema_state="delete only"), 3: J(version, "truncate table", schema_id=1, table_id=200 + k, old_table_id=100 + k, tbl=name, columns=("a",)),
+            4: J(version, "add column", state="rollback", schema_id=1, table_id=100 + k, tbl=name, columns=("a", "bad")),
+        }
+        jobs.append(more[k % 5])
+    return jobs
+
+
+_VERSIONS = """made AS (SELECT n_nationkey AS k, trim(n_name) AS name, 2 * n_nationkey + 2 AS v, 100 + n_nationkey AS id FROM nation),
+ver AS (SELECT id, name AS tbl, v AS version, 'a' AS columns FROM made UNION ALL
+  SELECT CASE WHEN k % 5 = 3 THEN 200 + k ELSE id END, CASE WHEN k % 5 = 0 THEN name || '_2' ELSE name END, v + 1, CASE WHEN k % 5 = 1 THEN 'a,b' ELSE 'a' END FROM made WHERE k % 5 < 4)"""
+
+
+@query("d2_catalog_fold", "WITH " + _VERSIONS + " SELECT id AS table_id, 'world' AS db, tbl, version, columns, lead(version) OVER (PARTITION BY id ORDER BY version) AS valid_to FROM ver")
+def d2(spark, sf_dir):
+    c = catalog.Catalog().apply(_nation_jobs(spark, sf_dir))
+    return c.versions(spark).select("table_id", "db", "tbl", "version", F.array_join("columns", ",").alias("columns"), "valid_to")
+
+
+@query("d1_previous_jobs", "SELECT CAST(19 AS BIGINT) AS version, count(*) AS tables FROM nation WHERE 2 * n_nationkey + 2 <= 19")
+def d1(spark, sf_dir):
+    """The catalog as it was at a version in the middle; a truncated table counts once."""
+    c = catalog.Catalog().apply(_nation_jobs(spark, sf_dir), upto=19)
+    return spark.createDataFrame([(c.version, len(c.names))], "version long, tables long")
+
+
+@query("d5_dropping_columns", "SELECT CAST(100 + n_nationkey AS BIGINT) AS table_id FROM nation WHERE n_nationkey % 5 = 2")
+def d5(spark, sf_dir):
+    c = catalog.Catalog().apply(_nation_jobs(spark, sf_dir))
+    return spark.createDataFrame([(t,) for t in sorted(c.dropping)], "table_id long")

@@ -436,9 +436,11 @@ def m2(spark, sf_dir):
     return merge.released(views.changes(spark, sf_dir)).select("event_id")
 
 
-@query("m4_thinned_heartbeats")
+@query("m4_thinned_heartbeats", f"""WITH RECURSIVE {CHANGES}, kept AS (SELECT source_id, min(commit_ts) AS commit_ts FROM chg GROUP BY source_id
+  UNION ALL SELECT k.source_id, (SELECT min(c.commit_ts) FROM chg c WHERE c.source_id = k.source_id AND (c.commit_ts >> 18) - (k.commit_ts >> 18) > 3600000) FROM kept k WHERE k.commit_ts IS NOT NULL)
+SELECT * FROM kept WHERE commit_ts IS NOT NULL""")
 def m4(spark, sf_dir):
-    return merge.thinned_heartbeats(views.changes(spark, sf_dir))
+    return merge.thinned_heartbeats(views.changes(spark, sf_dir), gap_ms=3_600_000)
 
 
 @query("m9_safe_mode", """SELECT event_id, step, verb FROM (SELECT event_id, 0 AS step, CASE op WHEN 'I' THEN 'replace' ELSE 'delete' END AS verb FROM chg UNION ALL SELECT event_id, 1, 'replace' FROM chg WHERE op = 'U')""", CHANGES)
@@ -652,25 +654,12 @@ def f20(spark, sf_dir):
 
 @query("f23_node_id", "SELECT n_nationkey, trim(n_name) AS id FROM nation")
 def f23(spark, sf_dir):
-    return views.table(spark, sf_dir, "nation").select("n_nationkey", names.node_id(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "/nodes/").otherwise("  "), F.col("n_name"), F.lit(" \t".strip("\t")))).alias("id"))
+    return views.table(spark, sf_dir, "nation").select("n_nationkey", names.node_id(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "/nodes/").otherwise("  "), F.col("n_name"), F.lit(" "))).alias("id"))
 
 
 # ---- catalog ----
 
 
-def _jobs() -> list[catalog.Job]:
-    J = catalog.Job
-    return [
-        J(1, "create schema", schema_id=1, db="app"), J(2, "create table", schema_id=1, table_id=10, tbl="a", columns=("x",)), J(3, "add column", state="rollback", schema_id=1, table_id=10, columns=("x", "bad")),
-        J(4, "add column", schema_id=1, table_id=10, tbl="a", columns=("x", "y")), J(5, "truncate table", schema_id=1, table_id=11, old_table_id=10, tbl="a", columns=("x", "y")), J(6, "rename table", schema_id=1, table_id=11, tbl="b", columns=("x", "y")),
-    ]
-
-
-@query("d2_catalog_fold", "SELECT * FROM " + _facts([(10, "app", "a", 2, "x", 4), (10, "app", "a", 4, "x,y", None), (11, "app", "a", 5, "x,y", 6), (11, "app", "b", 6, "x,y", None)], "table_id, db, tbl, version, columns, valid_to"))
-def d2(spark, sf_dir):
-    return catalog.Catalog().apply(_jobs()).versions(spark).select("table_id", "db", "tbl", "version", F.array_join("columns", ",").alias("columns"), "valid_to")
-
-
 @query("d4_default_permission", "SELECT event_id, event_id % 6 = 0 OR schema_version < 3 AS allowed FROM chg", CHANGES)
 def d4(spark, sf_dir):
     return views.changes(spark, sf_dir).select("event_id", catalog.can_fill_default(F.col("event_id") % 6 == 0, F.col("schema_version"), F.lit(3)).alias("allowed"))

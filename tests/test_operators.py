@@ -1,13 +1,14 @@
 """Golden cases and model checks of the change-log operators."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions import ddl, names, tso
 from chronofold.operators import apply, catalog, causality, collapse, filters, merge, ordering, pairing, routing, translate
-from chronofold.plans import queries, views
+from chronofold.plans import views
 
 
 def one(spark, column):
@@ -164,6 +165,25 @@ def test_ddl_targets(spark):
     assert one(spark, ddl.without_placement(F.lit("create table t(a int) placement policy=`p1`"))) == "create table t(a int)"
 
 
+def test_statements_without_a_target(spark):
+    at = lambda sql: one(spark, ddl.problem(F.lit(sql)))
+    assert at("use a; drop table t;") is None and at("insert into t values (1)") == "unknown statement" and at("drop table a; drop table b") == "several statements"
+    assert at("alter table t comment = 'a; b'") is None and at("alter table `x;y` add c int ;  ") is None
+    with pytest.raises(Exception, match="unknown statement"):
+        one(spark, ddl.checked_target(F.lit("optimize t")))
+    assert one(spark, ddl.checked_target(F.lit("use a; drop table t"))).asDict() == {"db": "a", "tbl": "t"}
+
+
+def test_columns_of_durations_sizes_zones(spark):
+    texts = ["7", "1h30m", "+2ms", "soon", "1h x", "", "1.5m", None]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(names.seconds_of(F.col("t")).alias("s")).collect()]
+    assert got == [604800.0, 5400.0, 0.002, None, None, None, 90.0, None]
+    got = [r["s"] for r in spark.createDataFrame([("10 GiB",), ("5kb",), ("7",), ("x",), ("3 parsecs",)], "t string").select(names.bytes_of(F.col("t")).alias("s")).collect()]
+    assert got == [10 << 30, 5000, 7, None, None]
+    got = [r["s"] for r in spark.createDataFrame([("+08:00",), ("-12:59",), ("-13:00",), ("+14:01",), ("Asia/Tokyo",), ("+1:75",)], "t string").select(names.zone_minutes(F.col("t")).alias("s")).collect()]
+    assert got == [480, -779, None, None, None, None]
+
+
 def test_durations_sizes_zones():
     assert names.seconds("7") == 7 * 86400 and names.seconds("1h30m") == 5400 and names.size_bytes("10 GiB") == 10 << 30
     assert names.zone_offset_minutes("+08:00") == 480 and names.zone_offset_minutes("-12:59") == -779 and names.zone_offset_minutes("Asia/Tokyo") is None
@@ -176,9 +196,13 @@ def test_durations_sizes_zones():
 
 def test_catalog(spark):
     J = catalog.Job
-    c = catalog.Catalog().apply(queries._jobs())
+    jobs = [
+        J(1, "create schema", schema_id=1, db="app"), J(2, "create table", schema_id=1, table_id=10, tbl="a", columns=("x",)), J(3, "add column", state="rollback", schema_id=1, table_id=10, columns=("x", "bad")),
+        J(4, "add column", schema_id=1, table_id=10, tbl="a", columns=("x", "y")), J(5, "truncate table", schema_id=1, table_id=11, old_table_id=10, tbl="a", columns=("x", "y")), J(6, "rename table", schema_id=1, table_id=11, tbl="b", columns=("x", "y")),
+    ]
+    c = catalog.Catalog().apply(jobs)
     assert c.names == {11: (1, "b")} and c.truncated == {10} and c.version == 6
-    assert c.apply(queries._jobs()).version == 6  # versions already applied are passed over
+    assert c.apply(jobs).version == 6  # versions already applied are passed over
     with pytest.raises(catalog.CatalogError):
         catalog.Catalog().apply([J(1, "drop table", table_id=3)])
     with pytest.raises(catalog.CatalogError):
@@ -190,22 +214,76 @@ def test_catalog(spark):
     assert sorted(r["version"] for r in catalog.retained(versions, ["t"]).collect()) == [2, 3]
 
 
+def plain_tokens(keys_in_order):
+    """(epoch, token) of each change, by hand: groups of keys as sets; a change that touches two groups starts a new epoch."""
+    epoch, groups, out = 0, [], []
+    for keys in keys_in_order:
+        touched = [g for g in groups if g[1] & set(keys)]
+        if len(touched) > 1:
+            epoch, groups, touched = epoch + 1, [], []
+        if not touched:
+            touched = [(keys[0], set())]
+            groups.append(touched[0])
+        touched[0][1].update(keys)
+        out.append((epoch, touched[0][0]))
+    return out
+
+
 def test_causality(spark):
-    r = causality.Relations()
-    assert r.add(["a", "b"]) == (0, "a") and r.add(["b", "c"]) == (0, "a") and r.add(["d"]) == (0, "d")
-    assert r.add(["c", "d"])[0] == 1 and r.add(["a"]) == (1, "a")
-    rows = [(i, "t", i, 0, [f"k{i % 7}", f"m{i % 5}"] if i % 2 else [f"k{i % 7}"]) for i in range(200)]
+    assert plain_tokens([["a", "b"], ["b", "c"], ["d"], ["c", "d"], ["a"]]) == [(0, "a"), (0, "a"), (0, "d"), (1, "c"), (1, "a")]
+    rng = random.Random(6)
+    rows = [(i, f"t{i % 3}", i, 0, [f"k{rng.randrange(25)}" for _ in range(rng.randrange(1, 4))]) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, tbl string, commit_ts long, txn_seq int, keys array<string>")
-    model, want = causality.Relations(), {}
-    for i, *_, keys in rows:
-        want[i] = model.add(keys)
-    got = {x["commit_ts"]: (x["epoch"], x["token"]) for x in causality.ordered_tokens(df, 4).collect()}
-    assert got == want
+    want = {}
+    for t in ("t0", "t1", "t2"):
+        own = [r for r in rows if r[1] == t]
+        want |= dict(zip([r[0] for r in own], plain_tokens([r[4] for r in own]), strict=True))
+    found = causality.ordered_tokens(df.repartition(5), 4).collect()
+    assert {x["commit_ts"]: (x["epoch"], x["token"]) for x in found} == want
+    assert all(x["worker"] == zlib.crc32(x["token"].encode()) % 4 for x in found)
     # of one epoch, changes with a common key have one token
+    for t in ("t0", "t1", "t2"):
+        by_key = {}
+        for x in found:
+            if x["tbl"] == t:
+                for k in rows[x["commit_ts"]][4]:
+                    by_key.setdefault((x["epoch"], k), set()).add(x["token"])
+        assert all(len(v) == 1 for v in by_key.values())
     links = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["b"]), (4, ["z"]), (5, ["z", "y"])], "id long, keys array<string>")
     assert {x["id"]: x["group"] for x in causality.linked_groups(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def test_conflict_keys_without_unique_keys(spark):
+    """A whole row's text is hashed; an update has both images' keys."""
+    df = spark.createDataFrame([("U", 1, "x", 1, "y"), ("I", 1, None, None, None)], "op string, a int, b string, old_a int, old_b string")
+    got = [r["k"] for r in df.select(causality.conflict_keys(F.lit("t"), [], ["a", "b"], F.col("op") == "U").alias("k")).collect()]
+    crc = lambda text: str(zlib.crc32(text.encode()))
+    assert got == [[crc("(a: 1)(b: x)t"), crc("(a: 1)(b: y)t")], [crc("(a: 1)t")]]
+
+
+def test_hash_slots(spark):
+    keys = ["", "a", "App.click.7", "ключ"]
+    got = [r["s"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(names.hash_slot(F.col("k"), 16).alias("s")).collect()]
+    assert got == [zlib.crc32(k.encode()) % 16 for k in keys]
+
+
+def test_one_far_timestamp_and_one_table(spark):
+    """An outlier does not put all rows into one range, and a table that holds nearly all rows is numbered by ranges."""
+    rows = [(i, "big" if i % 50 else "small") for i in range(3000)] + [(10**15, "big"), (-(10**12), None)]
+    df = spark.createDataFrame(rows, "ts long, tbl string")
+    cuts = ordering.bounds(df, F.col("ts"), 16)
+    sizes = [r["count"] for r in df.groupBy(ordering.range_of(F.col("ts"), cuts).alias("r")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * len(rows) / 16
+    got = {r["ts"]: r["n"] for r in ordering.numbered(df, ["tbl"], F.col("ts"), [], "n", ranges=7).collect()}
+    for tbl in ("big", "small", None):
+        assert [got[ts] for ts in sorted(t for t, x in rows if x == tbl)] == list(range(sum(x == tbl for _, x in rows)))
+    batches = merge.numbered_batches(df, ["tbl"], ["ts"], 100).groupBy("tbl", "batch").count().collect()
+    assert max(r["count"] for r in batches) == 100 and sum(r["count"] for r in batches) == len(rows)
+    epochs = merge.flush_batches(df.filter("ts >= 0").withColumnRenamed("ts", "commit_ts"), F.lit(False), 700).groupBy("epoch", "batch").count().collect()  # a log without any DDL
+    assert sorted(r["count"] for r in epochs) == [201, 700, 700, 700, 700]  # 3,001 rows
+    assert ordering.running(df.limit(0), F.col("ts"), [], F.col("ts"), "m").count() == 0
+
+
 def test_sequence_unnest(spark):
     df = spark.createDataFrame([(1, 2, ["I", "U", "I", "D"], [10, 11], [20], [30])], "commit_ts long, table_id long, sequence array<string>, inserted array<long>, updated array<long>, deleted array<long>")
     got = sorted((r["pos"], r["op"], r["row"]) for r in translate.unnested(df).collect())
@@ -233,6 +311,16 @@ def test_thinned_heartbeats(spark):
     rows = [(1, t << 18) for t in (0, 1000, 3000, 3001, 6000, 6003)] + [(2, 5 << 18)]
     got = sorted((r["source_id"], r["commit_ts"] >> 18) for r in merge.thinned_heartbeats(spark.createDataFrame(rows, "source_id long, commit_ts long")).collect())
     assert got == [(1, 0), (1, 3001), (1, 6003), (2, 5)]
+    rng = random.Random(8)
+    many = sorted({(s, rng.randrange(400_000)) for s in range(3) for _ in range(700)})
+    kept, last = [], {}
+    for s, ms in many:
+        if s not in last or ms - last[s] > 3000:
+            last[s] = ms
+            kept.append((s, ms))
+    rng.shuffle(many)
+    found = merge.thinned_heartbeats(spark.createDataFrame([(s, ms << 18) for s, ms in many], "source_id long, commit_ts long").repartition(4)).collect()
+    assert sorted((r["source_id"], r["commit_ts"] >> 18) for r in found) == kept
 
 
 def test_loop_back_and_replay(spark):
