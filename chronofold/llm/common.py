@@ -84,6 +84,14 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. bytes.split() and lower() know ASCII only."""
     return text.lower().split() if text else []

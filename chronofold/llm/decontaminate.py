@@ -250,7 +250,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    return with_matches(docs, benchmark, "__matches").filter(F.size("__matches") == 0).drop("__matches")
+    name = common.free_name(docs, "__matches")
+    return with_matches(docs, benchmark, name).filter(F.size(name) == 0).drop(name)
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

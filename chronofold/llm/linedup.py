@@ -154,37 +154,39 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return few.join(long, [*_AT, "i"], "left").withColumn("reach", reach).filter("reach > i").select(*_AT, "ln")
 
 
-def _with_marks(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with __keep: for each line up to the last deleted one, whether it stays (null: all stay)."""
+def _with_marks(docs: DataFrame, min_words: int, into: str = "__keep") -> DataFrame:
+    """``docs`` with ``into``: for each line up to the last deleted one, whether it stays (null: all stay)."""
     gone = later_copies(docs, min_words).groupBy(*_AT).agg(F.array_sort(F.collect_list("ln")).alias("gone"))  # within one document
     gone = gone.withColumn("prev", F.expr("concat(array(-1), slice(gone, 1, size(gone) - 1))"))
     keep = F.expr("flatten(transform(arrays_zip(gone, prev), z -> concat(array_repeat(true, z.gone - z.prev - 1), array(false))))")
-    marks = common.settle(gone.select(F.col("d").alias("__d"), F.col("th").alias("__th"), keep.alias("__keep")), "marks")
+    own_d, own_th = common.free_name(docs, "__d"), common.free_name(docs, "__th")
+    marks = common.settle(gone.select(F.col("d").alias(own_d), F.col("th").alias(own_th), keep.alias(into)), "marks")
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
     # the same plan at every size: marks grow with the documents, so they are never broadcast
-    return docs.join(marks.hint("merge"), (d == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left").drop("__d", "__th")
+    return docs.join(marks.hint("merge"), (d == F.col(own_d)) & (F.xxhash64(docs["text"]) == F.col(own_th)), "left").drop(own_d, own_th)
 
 
-_LEFT = "filter(split(text, '\\n'), (x, k) -> coalesce(get(__keep, k), true))"
+def left_over(keep: str = "__keep") -> Column:
+    """The text without the lines that ``keep`` marks."""
+    lines = F.filter(F.split("text", "\n"), lambda x, k: F.coalesce(F.get(F.col(keep), k), F.lit(True)))
+    return F.when(F.col(keep).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later copies of repeated runs. Documents that lose all their words go; n_chars, if there, follows the text."""
-    marked = _with_marks(docs, min_words)
-    out = marked.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(F.array_join(F.expr(_LEFT), "\n")))
-    out = out.filter(F.col("__keep").isNull() | F.col("text").rlike(WORD.replace("\\\\", "\\")))
+    keep = common.free_name(docs, "__keep")
+    out = _with_marks(docs, min_words, keep).withColumn("text", left_over(keep))
+    out = out.filter(F.col(keep).isNull() | F.col("text").rlike(WORD.replace("\\\\", "\\")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop("__keep")
+        out = out.withColumn("n_chars", F.when(F.col(keep).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop(keep)
 
 
 def op4_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines, deleted (lines) and the text that is left, of every document."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = _with_marks(docs, MIN_WORDS)
-    left = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(F.array_join(F.expr(_LEFT), "\n"))
+    marked = _with_marks(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
     deleted = F.coalesce(F.size(F.filter("__keep", lambda x: ~x)), F.lit(0))
-    return marked.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.when(F.col("__keep").isNull(), 0).otherwise(deleted).cast("long").alias("deleted"), left.alias("text"))
+    return marked.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.when(F.col("__keep").isNull(), 0).otherwise(deleted).cast("long").alias("deleted"), left_over().alias("text"))
 
 
 OP4_SQL = f"""

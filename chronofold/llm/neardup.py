@@ -214,9 +214,10 @@ def _across(rows: DataFrame, on: list[str], percent: int, also, block: int = BLO
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, with all columns."""
     groups = group(docs, width, percent)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    name = common.free_name(docs, "__gone")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = common.settle(gone, "gone")
-    return docs.join(common.maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(common.maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def op2_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

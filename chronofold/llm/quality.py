@@ -260,14 +260,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     """``docs`` with its score; all columns pass through."""
-    name = "__statistics"
+    name = common.free_name(docs, "__statistics")
     return with_statistics(docs, name).withColumn(into, model.column(name)).drop(name)
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold; the model is fitted on the training folds."""
     model = fit(docs.filter(~common.in_fold("doc_id", FOLDS, HELD_OUT)), labels)
-    return score(docs, model, "__score").filter(F.col("__score") >= threshold).drop("__score")
+    name = common.free_name(docs, "__score")
+    return score(docs, model, name).filter(F.col(name) >= threshold).drop(name)
 
 
 def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_same_as_all_runs(spark, seed, min_words):
     docs = corpus(seed)
     df = spark.createDataFrame([(d, t, len(t or ""), 0, "clash") for d, t in docs], DOCS).repartition(3)
     marked = linedup._with_marks(df.select("doc_id", "text"), min_words)
-    got = {r["doc_id"]: r["left"] for r in marked.selectExpr("doc_id", f"if(__keep is null, text, array_join({linedup._LEFT}, '\n')) as left").collect()}
+    got = {r["doc_id"]: r["left"] for r in marked.select("doc_id", linedup.left_over().alias("left")).collect()}
     assert got == brute(docs, min_words)
     kept = linedup.deduplicated(df, min_words)
     assert kept.columns == df.columns
