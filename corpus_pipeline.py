@@ -4,6 +4,17 @@ Stages take (spark, docs, sf_dir) and return the columns of documents, but for t
 last, which returns where each piece of each document lies in the packed
 sequences. No SQL can express the stages' models and sketches; tests compare
 them with brute force.
+
+Defined results: a null or empty text gets a score like any other, keeps its (no)
+lines, has no near copies and no benchmark text, and is packed as the end token
+alone; a null doc_id has no label, comes first among equal lines, is kept by the
+near-duplicate stage and packed under null; rows that repeat are judged and edited
+alike, kept or dropped together, and packed each; of equal documents that with the
+smallest doc_id stays; a document that loses all its words to line dedup goes; empty
+documents, labels or benchmark tables give what is left without them (no documents:
+no rows; no labels: every score is 0.5, which passes); a very long text is one row in
+every stage and is cut by the last; columns that the stages do not know pass through
+all but the last, whatever their names.
 """
 
 from __future__ import annotations
