@@ -38,7 +38,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each task first contracts its own links by union-find. Then large-star and
     small-star steps alternate until nothing changes; each halves the depth, and
     both are joins and minima, so a node with very many links is split by
-    partial aggregation and by the skew join.
+    partial aggregation and by the skew join. ``rounds`` allow paths of 2^30 nodes and
+    more; beyond that it is an error.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     edges = common.settle(edges.mapInArrow(forest, "a long, b long"), "links")

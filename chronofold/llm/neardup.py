@@ -148,12 +148,12 @@ def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
 
     buckets = common.settle(classes.select("rep", F.explode("bands").alias("key")).distinct(), "bands")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = common.settle(buckets.join(sizes, "key"), "buckets")  # members of buckets of two or more
+    shared = common.settle(_with_facts(buckets, sizes), "buckets")  # members of buckets of two or more
     # a bucket's centre is the member whose buckets are largest: what the others were made from, if they are edited copies
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = shared.drop("size").join(weight, "rep")
-    centres = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("b"))
-    shared = common.settle(shared.drop("size").join(centres, "key"), "centred")
+    weighed = shared.join(weight, "rep")
+    centres = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("minus"))).alias("c"), F.max("size").alias("size")).select("key", (-F.col("c.minus")).alias("b"), "size")
+    shared = common.settle(_with_facts(shared.drop("size"), centres).drop("size"), "centred")
     ids = common.settle(shared.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     few = common.maybe_broadcast(ids, ids.count())
     sets = common.settle(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi"), width), "sets")
@@ -166,8 +166,8 @@ def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
     # then the buckets that still hold several components, c being the centre: what two members share is
     # at most the smaller of what each shares with c, and what both have beside c
     named = shared.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "b", F.coalesce("label", "rep").alias("label"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    still = common.settle(named.join(open_keys, "key").filter("rep <> b"), "open")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least <> most").select("key", "size")
+    still = common.settle(_with_facts(named, open_keys).drop("size").filter("rep <> b"), "open")
     to_centre = near.groupBy(F.col("a").alias("rep"), "b").agg(F.max("n_a").alias("n"), F.max("shared").alias("shared"))
     held = still.join(to_centre, ["rep", "b"]).select("key", "rep", "label", "n", "shared", F.col("shared").alias("room"))
     enough = F.expr(f"{100 + percent} * least(shared_a, shared_b) >= {percent} * (n_a + n_b)")
@@ -190,6 +190,20 @@ def group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
     return whole.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with what ``facts`` (key, size, ...) say of their keys; rows of other keys go.
+
+    Keys of more than BLOCK rows are few (one for each BLOCK rows at most): they go to the rows, which are not dealt by them.
+    """
+    facts = common.settle(facts, "facts")
+    large = facts.filter(F.col("size") > BLOCK)
+    n = large.count()
+    if not n:
+        return rows.join(facts, "key")
+    rest = rows.join(common.maybe_broadcast(large.select("key"), n), "key", "left_anti")
+    return rest.join(facts.filter(F.col("size") <= BLOCK), "key").unionByName(rows.join(common.maybe_broadcast(large, n), "key"))
+
+
 def _across(rows: DataFrame, on: list[str], percent: int, also, block: int = BLOCK) -> DataFrame:
     """Pairs of ``rows`` (rep, label, n, shared, room) equal in ``on``, of different components and of similar sizes.
 

@@ -251,9 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows
     marks = marks.filter(_share(-(-sample_rows * (1 << 20) // max(ids, 1)), "__id"))
     few = common.maybe_broadcast(marks, marks.count())
     rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).withColumn("__text", F.xxhash64("text"))
-    rows = common.settle(rows.dropDuplicates(["__id", "__label", "__text"]), "labelled")
+    key = ["__id", "__label", "__text"]
+    rows = common.settle(with_statistics(rows, "__s").select(*key, "__s.*").dropDuplicates(key), "labelled")  # texts are not shuffled
     rows = rows.filter(_share(-(-2 * sample_rows * (1 << 20) // max(rows.count(), 1)), "__id", "__text"))  # a doc_id may have many texts
-    got = with_statistics(rows.select("text", "__id", "__label", "__text"), "__s").orderBy("__id", "__label", "__text").select("__label", "__s.*").toArrow()
+    got = rows.orderBy(*key).drop("__id", "__text").toArrow()
     x = np.stack([got.column(s).to_numpy() for s in STATISTICS], 1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return Model(x, got.column("__label").to_numpy().astype(float) if got.num_rows else np.zeros(0), **options)
 

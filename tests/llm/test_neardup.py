@@ -82,6 +82,14 @@ def test_a_bucket_of_unlinked_members(spark):
     assert got == [(a, b) for a in range(0, n, 1000) for b in range(0, a, 1000)]
 
 
+def test_large_keys_meet_their_facts(spark):
+    rows = spark.range(9000).selectExpr("if(id < 5000, 0, id % 1000) as key", "id as rep").repartition(4)
+    facts = rows.groupBy("key").count().withColumnRenamed("count", "size").filter("key < 700")
+    got = {r["key"]: (r["n"], r["size"]) for r in neardup._with_facts(rows, facts).groupBy("key").agg({"rep": "count", "size": "max"}).toDF("key", "n", "size").collect()}
+    want = {r["key"]: (r["size"], r["size"]) for r in facts.collect()}
+    assert got == want and max(x for x, _ in got.values()) > neardup.BLOCK
+
+
 def test_blocks_compare_each_pair_once(spark):
     from pyspark.sql import functions as F
 
