@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,32 +45,41 @@ class Relations:
 def ordered_tokens(changes: DataFrame, workers: int, group: str = "tbl") -> DataFrame:
     """Changes (group, commit_ts, txn_seq, keys) with the epoch in which they may run, their token and worker.
 
-    The rule depends on all changes before, so a table's are read in order as a
-    stream; a task holds the keys of its present epoch.
+    The rule depends on all changes before (a conflict anywhere in a table starts a new
+    epoch for all of it), so a table's are read in order as a stream, one task for each
+    table; a task holds the keys of its present epoch. ``group`` may be any column that
+    parts changes which never share a key, such as linked_groups() gives.
     """
     ship(changes.sparkSession)
     rows = changes.select(group, "commit_ts", "txn_seq", "keys").repartition(group).sortWithinPartitions(group, "commit_ts", "txn_seq")
 
     def run(batches):
-        now, relations = None, Relations()
-        for pdf in batches:
+        now, relations, workers_of = None, Relations(), {}
+        for batch in batches:
             out = []
-            for g, keys in zip(pdf[group], pdf["keys"], strict=True):
+            for g, keys in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if g != now:
-                    now, relations = g, Relations()
-                epoch, token = relations.add(list(keys))
-                out.append((epoch, token, zlib.crc32(token.encode()) % workers))
-            yield pd.concat([pdf.drop(columns="keys").reset_index(drop=True), pd.DataFrame(out, columns=["epoch", "token", "worker"])], axis=1)
+                    now, relations, workers_of = g, Relations(), {}
+                epoch, token = relations.add(keys)
+                if token not in workers_of:
+                    if len(workers_of) > 1_000_000:
+                        workers_of.clear()
+                    workers_of[token] = zlib.crc32(token.encode()) % workers
+                out.append((epoch, token, workers_of[token]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.string(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[group, "commit_ts", "txn_seq", "epoch", "token", "worker"])
 
     kind = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"{group} {kind[group]}, commit_ts long, txn_seq {kind['txn_seq']}, epoch int, token string, worker int")
+    return rows.mapInArrow(run, f"{group} {kind[group]}, commit_ts long, txn_seq {kind['txn_seq']}, epoch int, token string, worker int")
 
 
 def linked_groups(changes: DataFrame, id_column: str = "id", rounds: int = 50) -> DataFrame:
     """(id, group) of changes linked by common keys, whatever their order: each takes the least id it reaches.
 
     Labels spread over key-to-change links by minima, with a jump to the label's own
-    label in each round; every round cuts its lineage in the shared folder.
+    label in each round; every round cuts its lineage in the shared folder. Each round
+    at least halves what is left of a chain, so ``rounds`` allow 2^50 links in a row;
+    beyond that it is an error.
     """
     checkpoint_folder(changes.sparkSession)
     links = changes.select(F.col(id_column).alias("id"), F.explode("keys").alias("key")).distinct()

@@ -17,13 +17,16 @@ LONGEST_TXN_S = 600
 
 
 def paired(log: DataFrame) -> DataFrame:
-    """Commits with the body of their prewrite. A commit without one is left out; heartbeats pass as they are."""
+    """Commits with the body of their prewrite. A commit without one is left out; heartbeats pass as they are.
+
+    One scan and one aggregate by start_ts: a prewrite's body meets the (few) ends of its transaction there.
+    """
     beat = tso.is_heartbeat(F.col("start_ts"), F.col("commit_ts"))
-    commits = log.filter((F.col("tp") == "C") & ~beat).select("start_ts", "commit_ts", "source_id")
-    bodies = log.filter("tp = 'P'").select("start_ts", "body")
-    out = commits.join(bodies, "start_ts").withColumn("heartbeat", F.lit(False))
-    beats = log.filter(beat).select("start_ts", "commit_ts", "source_id", F.lit(None).cast(log.schema["body"].dataType).alias("body"), F.lit(True).alias("heartbeat"))
-    return out.unionByName(beats)
+    ends = F.collect_list(F.when((F.col("tp") == "C") | beat, F.struct("commit_ts", "source_id", beat.alias("heartbeat"))))
+    prewrite = F.any_value(F.when(F.col("tp") == "P", F.struct("body")), F.lit(True))
+    met = log.groupBy("start_ts").agg(prewrite.alias("p"), ends.alias("ends")).select("start_ts", "p", F.explode("ends").alias("e"))
+    met = met.filter(F.col("e.heartbeat") | F.col("p").isNotNull())
+    return met.select("start_ts", "e.commit_ts", "e.source_id", F.when(~F.col("e.heartbeat"), F.col("p.body")).alias("body"), "e.heartbeat")
 
 
 def unmatched(log: DataFrame) -> DataFrame:

@@ -212,20 +212,19 @@ def m19(spark, sf_dir):
 
 @query("m2_stream_release", "SELECT commit_ts, source_id, CAST(event_id AS VARCHAR) AS payload FROM chg WHERE commit_ts <= (SELECT min(m) FROM (SELECT max(commit_ts) AS m FROM chg GROUP BY source_id))", CHANGES)
 def m2_stream(spark, sf_dir):
-    import tempfile
     import uuid
 
+    from chronofold.shipping import shared_folder
     from chronofold.streaming import release
 
     static = views.table(spark, sf_dir, "events")
     events = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, so that one file will do
     commit = tso.encode(tso.millis("ts")) + F.col("event_id") % tso.PER_MS
     rows = events.select(commit.alias("commit_ts"), (F.col("user_id") % 3).alias("source_id"), F.col("event_id").cast("string").alias("payload"))
-    name = f"released_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    q = release.ordered(rows, 3).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/released-{uuid.uuid4().hex}"
+    q = release.ordered(rows, 3).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("commit_ts", "source_id", "payload")
+    return spark.read.parquet(f"{folder}/rows").select("commit_ts", "source_id", "payload")
 
 
 # ---- catalog ----

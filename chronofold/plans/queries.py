@@ -368,10 +368,10 @@ def a5(spark, sf_dir):
 
 @query("a6_final_state", f"""SELECT pk, db, value, commit_ts FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY commit_ts DESC) AS k FROM chg WHERE {_PASSES}) WHERE k = 1 AND op <> 'D'""", CHANGES)
 def a6(spark, sf_dir):
-    """Flagship: three sources merged and deduplicated, filtered, and folded into the table they leave."""
+    """Flagship: four sources merged and deduplicated, filtered, and folded into the table they leave."""
     c = views.changes(spark, sf_dir)
-    sources = [c.filter(F.col("source_id") == k) for k in range(3)] + [c.filter("event_id % 50 = 0").withColumn("source_id", F.lit(9).cast("long"))]
-    rows = merge.deduplicated(sources[0].unionByName(sources[1]).unionByName(sources[2]).unionByName(sources[3]))
+    late = c.filter("event_id % 50 = 0").withColumn("source_id", F.lit(9).cast("long"))  # a source that repeats others' rows
+    rows = merge.deduplicated(c.unionByName(late))
     return collapse.final_state(rows.filter(RULES.passes(F.col("db"), F.col("tbl"))), ["pk"], ["commit_ts"], ["db", "value", "commit_ts"])
 
 
@@ -496,16 +496,20 @@ def m17(spark, sf_dir):
 
 
 def _mutations(spark, sf_dir):
-    o = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))).alias("r"))
-    kind = F.transform("r", lambda x: F.when(x["l_linenumber"] % 3 == 0, "I").when(x["l_linenumber"] % 3 == 1, "U").otherwise("D"))
+    """A mutation for each order: one to seven rows, whose kinds follow one another."""
+    k = F.col("o_orderkey")
+    kinds = F.array(F.lit("I"), F.lit("U"), F.lit("D"))
+    places = F.sequence(F.lit(0).cast("long"), k % 7)
 
-    def rows(k):
-        return F.transform(F.filter("r", lambda x: x["l_linenumber"] % 3 == k), lambda x: x["l_partkey"])
+    def rows(kind: int):
+        return F.transform(F.filter(places, lambda p: (k + p) % 3 == kind), lambda p: k * 10 + p)
 
-    return o.select(F.col("l_orderkey").alias("commit_ts"), F.lit(1).alias("table_id"), kind.alias("sequence"), rows(0).alias("inserted"), rows(1).alias("updated"), rows(2).alias("deleted"))
+    kind_of = F.transform(places, lambda p: F.get(kinds, ((k + p) % 3).cast("int")))
+    o = views.table(spark, sf_dir, "orders")
+    return o.select(k.alias("commit_ts"), F.lit(1).alias("table_id"), kind_of.alias("sequence"), rows(0).alias("inserted"), rows(1).alias("updated"), rows(2).alias("deleted"))
 
 
-@query("t1_sequence_unnest", """SELECT l_orderkey AS commit_ts, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey) - 1 AS INTEGER) AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'U' ELSE 'D' END AS op, l_partkey AS "row" FROM lineitem""")
+@query("t1_sequence_unnest", """SELECT o_orderkey AS commit_ts, CAST(p AS INTEGER) AS pos, ['I', 'U', 'D'][(o_orderkey + p) % 3 + 1] AS op, o_orderkey * 10 + p AS "row" FROM (SELECT o_orderkey, unnest(range(o_orderkey % 7 + 1)) AS p FROM orders)""")
 def t1(spark, sf_dir):
     return translate.unnested(_mutations(spark, sf_dir)).select("commit_ts", "pos", "op", "row")
 

@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from chronofold.functions import tso
 
@@ -25,38 +26,22 @@ class Point:
 
 
 class Checkpoint:
-    """The last point, as a JSON file in any file system Spark knows. The schema version never goes back.
-
-    A point is written whole beside the old one, which then makes way: after an end at
-    any step one of the two is there, and the next start takes it.
-    """
+    """The last point, kept by a backend. The schema version never goes back."""
 
     def __init__(self, spark: SparkSession, path: str):
-        jvm, self.path = spark.sparkContext._jvm, path
-        self._jvm, self._at = jvm, jvm.org.apache.hadoop.fs.Path(path)
-        self._new = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path = spark, path.rstrip("/")
         self.point = self._load()
 
     def _load(self) -> Point:
-        if not self._fs.exists(self._at):
-            if not self._fs.exists(self._new):
-                return Point()
-            self._fs.rename(self._new, self._at)  # the end came between the two steps of save()
-        stream = self._fs.open(self._at)
-        try:
-            return Point(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        raise TypeError(f"{type(self).__name__} does not say how to load")
+
+    def _store(self, point: Point) -> None:
+        raise TypeError(f"{type(self).__name__} does not say how to store")
 
     def save(self, point: Point) -> None:
         point.schema_version = max(point.schema_version, self.point.schema_version)
+        self._store(point)
         self.point = point
-        out = self._fs.create(self._new, True)
-        out.write(bytearray(json.dumps(asdict(point)).encode()))
-        out.close()
-        self._fs.delete(self._at, False)
-        self._fs.rename(self._new, self._at)
 
     def due(self, commit_ts: int, is_ddl: bool = False, applied: bool = False) -> bool:
         """At once after a DDL or an applied timestamp; else when the log moved on far enough."""
@@ -74,5 +59,68 @@ class Checkpoint:
         self.save(Point(max(commit_ts, self.point.commit_ts), self.point.schema_version, clean, self.point.primary_ts, self.point.secondary_ts))
 
 
+class FileCheckpoint(Checkpoint):
+    """A JSON file in any file system Spark knows.
+
+    A point is written whole beside the old one, which then makes way: after an end at
+    any step one of the two is there, and the next start takes it.
+    """
+
+    def _paths(self):
+        jvm = self.spark.sparkContext._jvm
+        at, new = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(self.path + ".tmp")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at, new
+
+    def _load(self) -> Point:
+        fs, at, new = self._paths()
+        if not fs.exists(at):
+            if not fs.exists(new):
+                return Point()
+            fs.rename(new, at)  # the end came between the two steps of _store()
+        stream = fs.open(at)
+        try:
+            return Point(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def _store(self, point: Point) -> None:
+        fs, at, new = self._paths()
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(asdict(point)).encode()))
+        out.close()
+        fs.delete(at, False)
+        fs.rename(new, at)
+
+
+class TableCheckpoint(Checkpoint):
+    """A row for each save in an audit table (parquet): the last save counts. Rows are only ever added."""
+
+    _SCHEMA = "nth long, commit_ts long, schema_version long, consistent boolean, primary_ts long, secondary_ts long"
+
+    def _load(self) -> Point:
+        from pyspark.errors import AnalysisException
+
+        try:
+            last = self.spark.read.schema(self._SCHEMA).parquet(self.path).orderBy(F.desc("nth")).first()
+        except AnalysisException:  # no such table yet
+            last = None
+        self.nth = last["nth"] if last else 0
+        return Point(**{k: v for k, v in last.asDict().items() if k != "nth"}) if last else Point()
+
+    def _store(self, point: Point) -> None:
+        self.nth += 1
+        self.spark.createDataFrame([(self.nth, *asdict(point).values())], self._SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+#: Backends by name.
+BACKENDS = {"file": FileCheckpoint, "table": TableCheckpoint}
+
+
+def make(backend: str, spark: SparkSession, path: str) -> Checkpoint:
+    if backend not in BACKENDS:
+        raise ValueError(f"no checkpoint backend named {backend!r}: {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[backend](spark, path)
+
+
 def synced(now_s: float, last_success_s: float, after_s: float = SYNCED_AFTER_S) -> bool:
     return now_s - last_success_s > after_s

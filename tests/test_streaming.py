@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronofold.streaming import checkpoint, release, sinks
@@ -38,14 +39,15 @@ def test_stream_in_order(spark, tmp_path):
     assert max(got) <= min(max(r[0] for r in rows if r[1] == s) for s in range(3))
 
 
-def test_checkpoint(spark, tmp_path):
-    path = str(tmp_path / "point.json")
-    c = checkpoint.Checkpoint(spark, path)
+@pytest.mark.parametrize("backend", ["file", "table"])
+def test_checkpoint(spark, tmp_path, backend):
+    path = str(tmp_path / "point")
+    c = checkpoint.make(backend, spark, path)
     assert c.success(5000 << 18, 3) and not c.success(6000 << 18, 4) and c.success(6001 << 18, 2, is_ddl=True)
-    again = checkpoint.Checkpoint(spark, path)
+    again = checkpoint.make(backend, spark, path)
     assert again.point.commit_ts == 6001 << 18 and again.point.schema_version == 3 and not again.point.consistent
     again.close(7000 << 18, clean=True)
-    assert checkpoint.Checkpoint(spark, path).point.consistent
+    assert checkpoint.make(backend, spark, path).point.consistent
     assert checkpoint.synced(1000, 600) and not checkpoint.synced(1000, 900)
 
 
@@ -83,20 +85,20 @@ def test_checkpoint_survives_an_end_at_any_step(spark, tmp_path):
     from chronofold.streaming import checkpoint
 
     path = f"file://{tmp_path}/c/point.json"
-    checkpoint.Checkpoint(spark, path).save(checkpoint.Point(commit_ts=5, schema_version=2))
+    checkpoint.FileCheckpoint(spark, path).save(checkpoint.Point(commit_ts=5, schema_version=2))
     local = str(tmp_path / "c" / "point.json")
     with open(local + ".tmp", "w") as f:  # ended while the new point was being written
         f.write('{"commit_')
-    assert checkpoint.Checkpoint(spark, path).point.commit_ts == 5
+    assert checkpoint.FileCheckpoint(spark, path).point.commit_ts == 5
     with open(local + ".tmp", "w") as f:  # ended between the two steps
         json.dump(asdict(checkpoint.Point(commit_ts=9, schema_version=3)), f)
     os.remove(local)
     for crc in (tmp_path / "c").glob(".*.crc"):
         crc.unlink()
-    again = checkpoint.Checkpoint(spark, path)
+    again = checkpoint.FileCheckpoint(spark, path)
     assert again.point.commit_ts == 9 and os.path.exists(local)
     again.save(checkpoint.Point(commit_ts=11))
-    assert checkpoint.Checkpoint(spark, path).point == checkpoint.Point(commit_ts=11, schema_version=3)
+    assert checkpoint.FileCheckpoint(spark, path).point == checkpoint.Point(commit_ts=11, schema_version=3)
 
 
 def test_table_sink_rewrites_only_touched_buckets(spark, tmp_path):
@@ -121,8 +123,6 @@ def test_table_sink_rewrites_only_touched_buckets(spark, tmp_path):
 
 
 def test_sink_contract(spark):
-    import pytest
-
     batch = spark.range(3)
     sink = sinks.make("memory")
     sink.sync(batch, 0)
@@ -144,8 +144,6 @@ def test_sink_contract(spark):
 
 
 def test_the_other_dialect_takes_truncations_only(spark, tmp_path):
-    import pytest
-
     schema = "commit_ts long, ddl_query string, op string, k long, v long"
     sink = sinks.make("oracle", path=str(tmp_path / "t"), keys=["k"], columns=["k", "v"], order=["commit_ts"], buckets=4)
     sink.sync(spark.createDataFrame([(1, None, "I", 1, 1), (2, None, "I", 2, 2)], schema), 0)
