@@ -16,12 +16,17 @@ from pyspark.sql.window import Window
 RANGES = 1024
 
 
-def bounds(df: DataFrame, order: Column, ranges: int = RANGES) -> list[int]:
-    """Quantiles of a long key that cut the rows into ``ranges`` parts at most, each once, in order."""
+#: Rows that a range should hold: a small log has fewer ranges.
+RANGE_ROWS = 20_000
+
+
+def bounds(df: DataFrame, order: Column, ranges: int = RANGES, range_rows: int = 1) -> list[int]:
+    """Quantiles of a long key that cut the rows into ``ranges`` parts at most, of ``range_rows`` at least, each once, in order."""
     if ranges < 2:
         return []
-    found = df.agg(F.percentile_approx(order.cast("long"), [k / ranges for k in range(1, ranges)], 16 * ranges)).first()[0]
-    return sorted(set(found or []))
+    n, found = df.agg(F.count("*"), F.percentile_approx(order.cast("long"), [k / ranges for k in range(1, ranges)], 4 * ranges)).first()
+    step = max(1, ranges * range_rows // max(n, 1))
+    return sorted(set((found or [])[step - 1 :: step]))
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
@@ -41,7 +46,7 @@ def range_of(key: Column, cuts: list[int]) -> Column:
 def _ranged(df: DataFrame, order: Column, ranges: int) -> DataFrame:
     """``df`` with __o (the order key, a long) and __r (its range)."""
     keyed = df.withColumn("__o", order.cast("long"))
-    return keyed.withColumn("__r", range_of(F.col("__o"), bounds(keyed, F.col("__o"), ranges)))
+    return keyed.withColumn("__r", range_of(F.col("__o"), bounds(keyed, F.col("__o"), ranges, RANGE_ROWS)))
 
 
 def running(df: DataFrame, order: Column, ties: list[str], value: Column, into: str, how: str = "max", inclusive: bool = False, ranges: int = RANGES) -> DataFrame:

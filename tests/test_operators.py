@@ -144,7 +144,8 @@ def test_resolved_ts(spark):
     assert pairing.resolved_ts(log(("P", 1, None), ("C", 1, 5), ("P", 2, None), ("P", 6, None), ("C", 6, 9))).first()[0] == 5
 
 
-def test_running_max_over_ranges(spark):
+def test_running_max_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 1)
     rng = random.Random(3)
     rows = [(i, rng.randrange(1000)) for i in range(2000)]
     got = {r["i"]: r["m"] for r in ordering.running(spark.createDataFrame(rows, "i long, v long"), F.col("i"), [], F.col("v"), "m", ranges=7).collect()}
@@ -267,8 +268,9 @@ def test_hash_slots(spark):
     assert got == [zlib.crc32(k.encode()) % 16 for k in keys]
 
 
-def test_one_far_timestamp_and_one_table(spark):
+def test_one_far_timestamp_and_one_table(spark, monkeypatch):
     """An outlier does not put all rows into one range, and a table that holds nearly all rows is numbered by ranges."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 1)
     rows = [(i, "big" if i % 50 else "small") for i in range(3000)] + [(10**15, "big"), (-(10**12), None)]
     df = spark.createDataFrame(rows, "ts long, tbl string")
     cuts = ordering.bounds(df, F.col("ts"), 16)
