@@ -81,3 +81,41 @@ def test_long_document(spark):
     text = "\n".join(f"line {i % 3000} with some more words" for i in range(6000))
     got = linedup.deduplicated(spark.createDataFrame([(1, text, 0, 0, "")], DOCS)).first()
     assert got["text"] == "\n".join(text.split("\n")[:3000])
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_later_runs_are_the_longest_common_prefixes(spark, seed):
+    """Of every suffix the longest prefix that an earlier suffix has too, by comparing all pairs; and ranks are intervals."""
+    rng = random.Random(seed)
+    docs = {d: [rng.choice("abc") for _ in range(rng.randrange(1, 30))] for d in range(12)}
+    docs[20] = docs[3] + docs[5]
+    docs[21] = ["a"] * 40
+    df = spark.createDataFrame([(d, "\n".join(x), 0, 0, "") for d, x in docs.items()], DOCS)
+    levels = linedup.suffix_ranks(linedup.lines_of(df.select("doc_id", "text")).distinct())
+    got = {(r["d"], r["i"]): r["length"] for r in linedup.later_runs(levels).collect()}
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    suffixes = [(d, i, x[i:]) for d, x in sorted(docs.items()) for i in range(len(x))]
+    want = {}
+    for k, (d, i, s) in enumerate(suffixes):
+        longest = max((common(s, t) for _, _, t in suffixes[:k]), default=0)
+        if longest:
+            want[d, i] = longest
+    assert got == want and max(want.values()) > 20
+    for k, level in enumerate(levels):  # of one rank: the first 2^k lines alike; ranks in the order of the suffixes before
+        ranks = {(r["d"], r["i"]): (r["rank"], tuple(r["first"])[0], r["first"]["i"]) for r in level.collect()}
+        heads = {(d, i): tuple(s[: 1 << k]) for d, i, s in suffixes if len(s) >= 1 << k}
+        by_rank, by_head = {}, {}
+        for at, (rank, *_) in ranks.items():
+            by_rank.setdefault(rank, set()).add(at)
+        for at, head in heads.items():
+            by_head.setdefault(head, set()).add(at)
+        assert sorted(map(sorted, by_rank.values())) == sorted(sorted(v) for v in by_head.values() if len(v) > 1)
+        assert all((f, j) == min(by_rank[rank]) for rank, f, j in ranks.values())
+        starts = sorted((rank, len(v)) for rank, v in by_rank.items())
+        assert all(a + n <= b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))  # intervals of places, apart from each other
