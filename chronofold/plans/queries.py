@@ -265,9 +265,7 @@ def p20(spark, sf_dir):
 
 @query("j1_pair_commits", "SELECT c.txn, c.start_ts, c.commit_ts, p.body FROM txl c JOIN txl p ON c.start_ts = p.start_ts AND p.tp = 'P' WHERE c.tp = 'C'", TRANSACTIONS)
 def j1(spark, sf_dir):
-    log = views.transactions(spark, sf_dir)
-    paired = pairing.paired(log.withColumn("body", F.struct("txn", "body")))
-    return paired.select("body.txn", "start_ts", "commit_ts", F.col("body.body").alias("body"))
+    return pairing.paired(views.transactions(spark, sf_dir)).select("txn", "start_ts", "commit_ts", "body")
 
 
 @query("j2_unmatched_prewrites", "SELECT txn, start_ts FROM txl p WHERE tp = 'P' AND NOT EXISTS (SELECT 1 FROM txl o WHERE o.tp <> 'P' AND o.start_ts = p.start_ts)", TRANSACTIONS)
