@@ -60,7 +60,9 @@ WHERE c.tp = 'C' AND c.commit_ts > m AND c.commit_ts <= x""", TRANSACTIONS)
 def s1(spark, sf_dir):
     log = views.transactions(spark, sf_dir)
     low, high = log.agg(F.min("commit_ts"), F.max("commit_ts")).first()
-    return pairing.committed_scan(log, 0, high, low + (high - low) // 2).select("start_ts", "commit_ts", "source_id", "body")
+    if high is None:  # no commits
+        low = high = 0
+    return pairing.committed_scan(log, low - 1, high, low + (high - low) // 2).select("start_ts", "commit_ts", "source_id", "body")
 
 
 @query("s5_range_replay", "SELECT event_id, commit_ts FROM chg, rng WHERE commit_ts BETWEEN a AND b", CHANGES, _MIDDLE)

@@ -47,3 +47,20 @@ def test_each_prewrite_meets_each_commit(spark):
     assert sorted(map(tuple, got.select("start_ts", "commit_ts", "source_id", "body", "heartbeat").collect()), key=repr) == sorted(
         [(5, 5, 4, None, True), *((5, c, s, b, False) for c, s in ((8, 2), (9, 3)) for b in (1.0, None))], key=repr
     )
+
+
+@pytest.mark.parametrize("change", ["o_orderdate", "o_orderdate - interval 60 year", "null::timestamp"])
+def test_scan_of_shared_starts(spark, odd, tmp_path, change):
+    """Before 1970 too, and without any commit."""
+    duckdb.execute(f"copy (select * replace ({change} as o_orderdate) from '{odd}/orders.parquet') to '{tmp_path}/orders.parquet' (format parquet)")
+    got, want = compared(spark, "s1_ordered_commit_scan", str(tmp_path))
+    assert got == want
+    assert bool(got) == ("null" not in change)
+
+
+def test_scan_in_order(spark):
+    """What lies after the bound only, one order for equal commit_ts."""
+    rows = [("P", s, None, 0, float(s)) for s in range(1, 9)] + [("C", s, 20 - s // 2, s % 3, None) for s in range(1, 9)]
+    log = spark.createDataFrame(rows, "tp string, start_ts long, commit_ts long, source_id long, body double").repartition(5)
+    got = [(r["commit_ts"], r["start_ts"], r["body"]) for r in pairing.committed_scan(log, 3, 19, 16).collect()]
+    assert got == [(17, 6, 6.0), (17, 7, 7.0), (18, 4, 4.0), (18, 5, 5.0), (19, 2, 2.0), (19, 3, 3.0)]
