@@ -282,8 +282,8 @@ def j3(spark, sf_dir):
     now = log.agg(F.max("start_ts")).first()[0]
     waiting = pairing.unmatched(log).select("txn", "start_ts")
     state = F.when(F.col("txn") % 7 == 0, "committed").when(F.col("txn") % 7 == 1, "rolled back")
-    status = waiting.filter("txn % 7 < 3").select("start_ts", state.alias("state"), F.when(F.col("txn") % 7 == 2, 30).otherwise(0).alias("lock_ttl"))
-    return pairing.resolved(waiting, status, now).select("txn", "decision")
+    status = waiting.filter("txn % 7 < 3").select("txn", "start_ts", state.alias("state"), F.when(F.col("txn") % 7 == 2, 30).otherwise(0).alias("lock_ttl"))
+    return pairing.resolved(waiting, status, now, keys=("txn", "start_ts")).select("txn", "decision")
 
 
 @query("j4_schema_as_of", "SELECT event_id, (SELECT min(v) FROM (VALUES (2), (4)) AS t(v) WHERE v >= schema_version) AS version FROM chg", CHANGES)

@@ -64,3 +64,19 @@ def test_scan_in_order(spark):
     log = spark.createDataFrame(rows, "tp string, start_ts long, commit_ts long, source_id long, body double").repartition(5)
     got = [(r["commit_ts"], r["start_ts"], r["body"]) for r in pairing.committed_scan(log, 3, 19, 16).collect()]
     assert got == [(17, 6, 6.0), (17, 7, 7.0), (18, 4, 4.0), (18, 5, 5.0), (19, 2, 2.0), (19, 3, 3.0)]
+
+
+def test_decisions_of_shared_starts(spark, odd, tmp_path):
+    """One decision for each prewrite, by its own transaction's state; rows that repeat are decided each."""
+    duckdb.execute(f"copy (select * replace (case when o_custkey % 2 = 0 then 'O' else o_orderstatus end as o_orderstatus) from '{odd}/orders.parquet') to '{tmp_path}/orders.parquet' (format parquet)")
+    got, want = compared(spark, "j3_resolve_missing", str(tmp_path))
+    assert got == want
+    assert {r[1] for r in got} == {"commit", "drop", "wait"} and len(got) > len(set(got))
+
+
+def test_several_answers_about_a_transaction(spark):
+    waiting = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 7), (5, 8)], "txn long, start_ts long")
+    answers = [(5, None, None, 0), (5, "rolled back", None, 0), (5, "committed", 9, 0), (6, None, None, 0), (6, None, None, 30), (7, None, None, 30), (7, "rolled back", None, None)]
+    status = spark.createDataFrame(answers, "start_ts long, state string, commit_ts long, lock_ttl int")
+    got = pairing.resolved(waiting, status, 700_000 << tso.LOGICAL_BITS)
+    assert sorted(map(tuple, got.select("txn", "decision", "commit_ts").collect())) == [(1, "commit", 9), (2, "commit", 9), (3, "wait", None), (4, "drop", None), (5, "drop", None)]
